@@ -33,16 +33,21 @@ def blend(model_price: Column, competitor: Column, rules: Rules = DEFAULT_RULES)
     )
 
 
+def _raised(price: Column, applies: Column, factor: Decimal) -> Column:
+    # times one is exact, and `price` stays a single reference in a chain of steps
+    return m.multiply(price, F.when(applies, F.lit(factor)).otherwise(F.lit(Decimal(1))))
+
+
 def demand_uplift(price: Column, current: Column, average: Column, rules: Rules = DEFAULT_RULES) -> Column:
-    return F.when(current > average, m.multiply(price, rules.demand_factor)).otherwise(price)
+    return _raised(price, current > average, rules.demand_factor)
 
 
 def stock_uplift(price: Column, inventory: Column, rules: Rules = DEFAULT_RULES) -> Column:
-    return F.when(inventory < rules.low_stock_below, m.multiply(price, rules.low_stock_factor)).otherwise(price)
+    return _raised(price, inventory < rules.low_stock_below, rules.low_stock_factor)
 
 
 def surge_uplift(price: Column, factor: Column) -> Column:
-    return F.when(factor > 1.0, m.multiply(price, factor)).otherwise(price)
+    return m.multiply(price, F.greatest(factor, F.lit(1.0)))
 
 
 def clamp(price: Column, lowest: Column, highest: Column) -> Column:

@@ -106,9 +106,9 @@ def demand_metrics(
     def covers(window_end: Column, size: int) -> Column:
         return (cell >= window_end - size) & (cell + short_slide <= window_end)
 
-    ends = F.sequence(
-        ceil_to(cell + first_end, long_slide), floor_to(cell + last_end, long_slide), F.lit(long_slide)
-    )
+    first, last = ceil_to(cell + first_end, long_slide), floor_to(cell + last_end, long_slide)
+    # no long end in reach is possible only on a grid coarser than the windows
+    ends = F.when(first <= last, F.sequence(first, last, F.lit(long_slide)))
     aggregates = [F.sum(F.when(covers(end, long_size), F.col("n"))).alias("long_clicks")]
     for i, offset in enumerate(offsets):
         inside = covers(end + offset, short_size)
@@ -126,11 +126,8 @@ def demand_metrics(
             for i, offset in enumerate(offsets)
         ]
     )
-    # a cell always reaches at least one long end unless the long grid is coarser than its range
-    reaches = ceil_to(cell + first_end, long_slide) <= floor_to(cell + last_end, long_slide)
     joined = (
         _cells(clicks, short_slide, first_end, last_end, slice_us)
-        .where(reaches)
         .withColumn("end", F.explode(ends))
         .where(floor_to(end, slice_us) == F.col("slice"))
         .groupBy("product_id", "slice", "end")

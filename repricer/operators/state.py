@@ -1,10 +1,10 @@
 """Last known values per product, as of each row of the event log.
 
-A product can hold most of the log, so its history is never sorted as one group.
-It is cut into time slices: a pre-aggregation finds each slice's last values, a running
-window over those few summary rows gives what holds at the start of every slice, and
-that start state joins the log as one seed row per slice. The running window over the
-log itself then stays inside (product, slice).
+A product can hold most of the log, so its history is never sorted as one group. It is cut
+into time slices: the running window over the log stays inside (product, slice), each slice
+is also summed up to its last values, and a running window over those few summary rows
+gives what a slice inherits from all earlier ones. The log is shuffled once; both uses
+read that shuffle.
 """
 
 from __future__ import annotations
@@ -19,37 +19,24 @@ from repricer.schemas import PAYLOADS
 
 DEFAULT_SLICE = "1 hour"
 EMERGENCY_TTL = "10 minutes"
-ORDER = ("ts", "rank", "seq")
-_SEED = "SEED"
+# The total order of a product's rows. Kind and name only settle rows that are equal
+# otherwise, and make every use of the log need the same columns of its shuffle.
+ORDER = ("ts", "rank", "seq", "metric_type", "product_name")
 
 
-def _seeds(log: DataFrame) -> DataFrame:
-    """State at the start of each slice, as log rows that sort before the slice's own."""
+def _inherited(log: DataFrame) -> DataFrame:
+    """For each (product, slice) the last values of all earlier slices, as column `before`."""
     last = [
         F.max_by(name, F.when(F.col(name).isNotNull(), F.struct(*ORDER))).alias(name) for name in PAYLOADS
     ]
     earlier = (
-        Window.partitionBy("product_id")
-        .orderBy("slice")
-        .rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("product_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     )
-    carried = [F.last(name, ignorenulls=True).over(earlier).alias(name) for name in PAYLOADS]
-    known = F.coalesce(*[F.when(F.col(name).isNotNull(), True) for name in PAYLOADS])
+    before = [F.last(name, ignorenulls=True).over(earlier).alias(name) for name in PAYLOADS]
     return (
         log.groupBy("product_id", "slice")
         .agg(*last)
-        .select("product_id", "slice", *carried)
-        .where(known)
-        .select(
-            "product_id",
-            F.timestamp_micros("slice").alias("ts"),
-            F.lit(-1).alias("rank"),
-            F.lit(-1).cast("bigint").alias("seq"),
-            F.lit(_SEED).alias("metric_type"),
-            F.lit(None).cast("string").alias("product_name"),
-            *PAYLOADS,
-            "slice",
-        )
+        .select("product_id", "slice", F.struct(*before).alias("before"))
     )
 
 
@@ -58,17 +45,19 @@ def state_asof(log: DataFrame, *, slice_width: str = DEFAULT_SLICE) -> DataFrame
 
     The output keeps `slice`; it is partitioned by (product_id, slice).
     """
-    sliced = log.withColumn("slice", slice_start(F.col("ts"), micros(slice_width)))
+    sliced = log.withColumn("slice", slice_start(F.col("ts"), micros(slice_width))).repartition(
+        "product_id", "slice"
+    )
     so_far = (
         Window.partitionBy("product_id", "slice")
         .orderBy(*ORDER)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     held = [F.last(name, ignorenulls=True).over(so_far).alias(name) for name in PAYLOADS]
-    return (
-        sliced.unionByName(_seeds(sliced))
-        .select("product_id", *ORDER, "metric_type", "product_name", "slice", *held)
-        .where(F.col("metric_type") != _SEED)
+    in_slice = sliced.select("product_id", "slice", *ORDER, *held)
+    known = [F.coalesce(F.col(name), F.col(f"before.{name}")).alias(name) for name in PAYLOADS]
+    return in_slice.join(_inherited(sliced), ["product_id", "slice"], "left").select(
+        "product_id", *ORDER, "slice", *known
     )
 
 
@@ -79,8 +68,6 @@ def with_defaults(state: DataFrame, *, ttl: str = EMERGENCY_TTL) -> DataFrame:
     return state.select(
         "product_id",
         *ORDER,
-        "metric_type",
-        "product_name",
         "slice",
         F.coalesce("demand.current_demand", F.lit(0.0)).alias("current_demand"),
         F.coalesce("demand.historical_average", F.lit(0.0)).alias("historical_average"),

@@ -7,14 +7,14 @@ demand windows and the pricing rules keep their defaults.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from repricer.operators.demand import demand_metrics
 from repricer.operators.eventlog import as_update, event_log, metric_union
 from repricer.operators.pricing import priced_rows
 from repricer.operators.state import inactivity_resets
 from repricer.operators.surge import surge_adjustments, surge_runs
-from repricer.sources import tables
+from repricer.sources.tables import Sample
 
 SURGE = {"n": 3, "within": "24 hours", "slice_width": "10 days"}
 LINE_SURGE = {"n": 3, "within": "90 days", "slice_width": "400 days"}
@@ -23,24 +23,22 @@ TTL = "12 hours"
 SLICE = "10 days"
 
 
-def updates(spark: SparkSession, sf_dir: str, *, mixed_currencies: bool = False) -> DataFrame:
-    surges = surge_adjustments(surge_runs(tables.orders(spark, sf_dir), **SURGE))
+def updates(sample: Sample, *, mixed_currencies: bool = False) -> DataFrame:
+    surges = surge_adjustments(surge_runs(sample.orders(), **SURGE))
     return metric_union(
-        as_update(demand_metrics(tables.clicks(spark, sf_dir)), "DEMAND"),
-        as_update(tables.inventory(spark, sf_dir), "INVENTORY"),
-        as_update(tables.competitor_prices(spark, sf_dir), "COMPETITOR"),
-        as_update(tables.rules(spark, sf_dir, mixed_currencies=mixed_currencies), "RULE"),
+        as_update(demand_metrics(sample.clicks()), "DEMAND"),
+        as_update(sample.inventory(), "INVENTORY"),
+        as_update(sample.competitor_prices(), "COMPETITOR"),
+        as_update(sample.rules(mixed_currencies=mixed_currencies), "RULE"),
         as_update(surges, "EMERGENCY"),
     )
 
 
-def log(spark: SparkSession, sf_dir: str, *, mixed_currencies: bool = False) -> DataFrame:
+def log(sample: Sample, *, mixed_currencies: bool = False) -> DataFrame:
     """Clicks, all updates and the inactivity resets."""
-    clicks = tables.clicks(spark, sf_dir)
-    resets = as_update(inactivity_resets(clicks, gap=GAP, slice_width=SLICE), "RESET")
-    all_updates = updates(spark, sf_dir, mixed_currencies=mixed_currencies)
-    return event_log(clicks, metric_union(all_updates, resets))
+    resets = as_update(inactivity_resets(sample.clicks(), gap=GAP, slice_width=SLICE), "RESET")
+    return event_log(sample.clicks(), metric_union(updates(sample, mixed_currencies=mixed_currencies), resets))
 
 
-def priced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return priced_rows(log(spark, sf_dir), tables.registry(spark, sf_dir), ttl=TTL, slice_width=SLICE)
+def priced(sample: Sample) -> DataFrame:
+    return priced_rows(log(sample), sample.registry(), ttl=TTL, slice_width=SLICE)

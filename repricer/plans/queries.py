@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 from repricer.functions import money as m
 from repricer.operators import demand, eventlog, lookup, model, pricing, state, surge
 from repricer.plans import feeds
-from repricer.sources import ingest, tables
+from repricer.sources import ingest
+from repricer.sources.tables import Sample
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,17 +35,17 @@ def flat(df: DataFrame) -> DataFrame:
     return df.select(*[c for f in df.schema for c in leaves(F.col(f.name), f.dataType, f.name)])
 
 
-def decoded(kind: str) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        good, _ = ingest.decode_json(tables.messages(spark, sf_dir, kind), kind)
+def decoded(kind: str) -> Callable[[Sample], DataFrame]:
+    def run(sample: Sample) -> DataFrame:
+        good, _ = ingest.decode_json(sample.messages(kind), kind)
         return flat(good)
 
     return run
 
 
-def damaged_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def damaged_messages(sample: Sample) -> DataFrame:
     """All events as order messages, damaged in a way that depends on their type."""
-    rows = tables.events(spark, sf_dir)
+    rows = sample.events()
     order = F.struct(
         F.col("seq").cast("string").alias("orderId"),
         F.col("product_id").alias("productId"),
@@ -64,9 +65,9 @@ def damaged_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("whole", whole).select(value.alias("value"), F.col("ts").alias("timestamp"))
 
 
-def decode_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+def decode_quarantine(sample: Sample) -> DataFrame:
     """Both outputs of decoding damaged orders, counted per reason and accepted content."""
-    good, bad = ingest.decode_json(damaged_messages(spark, sf_dir), "order")
+    good, bad = ingest.decode_json(damaged_messages(sample), "order")
     accepted = good.select(
         F.lit("accepted").alias("reason"),
         F.col("product_name").isNull().alias("without_name"),
@@ -78,39 +79,39 @@ def decode_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def demand_short(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat(demand.sliding_rate(tables.clicks(spark, sf_dir), size="5 minutes", slide="1 minute"))
+def demand_short(sample: Sample) -> DataFrame:
+    return flat(demand.sliding_rate(sample.clicks(), size="5 minutes", slide="1 minute"))
 
 
-def demand_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat(demand.sliding_rate(tables.clicks(spark, sf_dir), size="1 hour", slide="5 minutes"))
+def demand_long(sample: Sample) -> DataFrame:
+    return flat(demand.sliding_rate(sample.clicks(), size="1 hour", slide="5 minutes"))
 
 
-def demand_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat(demand.demand_metrics(tables.clicks(spark, sf_dir)).drop("seq"))
+def demand_metrics(sample: Sample) -> DataFrame:
+    return flat(demand.demand_metrics(sample.clicks()).drop("seq"))
 
 
-def surge_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat(surge.surge_runs(tables.orders(spark, sf_dir), **feeds.SURGE))
+def surge_runs(sample: Sample) -> DataFrame:
+    return flat(surge.surge_runs(sample.orders(), **feeds.SURGE))
 
 
-def surge_runs_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat(surge.surge_runs(tables.line_orders(spark, sf_dir), **feeds.LINE_SURGE).drop("product_name"))
+def surge_runs_lines(sample: Sample) -> DataFrame:
+    return flat(surge.surge_runs(sample.line_orders(), **feeds.LINE_SURGE).drop("product_name"))
 
 
-def surge_adjustments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat(surge.surge_adjustments(surge.surge_runs(tables.orders(spark, sf_dir), **feeds.SURGE)))
+def surge_adjustments(sample: Sample) -> DataFrame:
+    return flat(surge.surge_adjustments(surge.surge_runs(sample.orders(), **feeds.SURGE)))
 
 
-def competitor_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clicks = tables.clicks(spark, sf_dir)
-    return flat(lookup.lookup_competitor_table(clicks, tables.competitor_answers(spark, sf_dir)))
+def competitor_lookup(sample: Sample) -> DataFrame:
+    clicks = sample.clicks()
+    return flat(lookup.lookup_competitor_table(clicks, sample.competitor_answers()))
 
 
-def competitor_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+def competitor_parse(sample: Sample) -> DataFrame:
     kind = F.col("event_type")
     priced = F.to_json(F.struct(F.col("value").alias("price")))
-    responses = tables.events(spark, sf_dir).select(
+    responses = sample.events().select(
         "seq",
         "product_id",
         F.when(kind == "view", 404).when(kind == "error", 500).when(kind != "purchase", 200).alias("status"),
@@ -120,49 +121,49 @@ def competitor_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(parsed.select("seq", "product_id", "price", "is_error"))
 
 
-def metric_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat(feeds.updates(spark, sf_dir))
+def metric_union(sample: Sample) -> DataFrame:
+    return flat(feeds.updates(sample))
 
 
-def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat(feeds.log(spark, sf_dir))
+def event_log(sample: Sample) -> DataFrame:
+    return flat(feeds.log(sample))
 
 
-def price_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = eventlog.triggers(feeds.log(spark, sf_dir))
+def price_triggers(sample: Sample) -> DataFrame:
+    rows = eventlog.triggers(feeds.log(sample))
     return flat(rows.select("product_id", "ts", "rank", "seq", "metric_type", "product_name"))
 
 
-def inactivity_resets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clicks = tables.clicks(spark, sf_dir)
+def inactivity_resets(sample: Sample) -> DataFrame:
+    clicks = sample.clicks()
     return flat(state.inactivity_resets(clicks, gap=feeds.GAP, slice_width=feeds.SLICE))
 
 
-def inactivity_resets_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+def inactivity_resets_tail(sample: Sample) -> DataFrame:
     """The default gap, with the reset after a product's last click."""
-    clicks = tables.clicks(spark, sf_dir)
+    clicks = sample.clicks()
     return flat(state.inactivity_resets(clicks, close_tail=True, slice_width=feeds.SLICE))
 
 
-def state_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat(state.state_asof(feeds.log(spark, sf_dir), slice_width=feeds.SLICE).drop("slice"))
+def state_asof(sample: Sample) -> DataFrame:
+    return flat(state.state_asof(feeds.log(sample), slice_width=feeds.SLICE).drop("slice"))
 
 
-def _context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.pricing_context(feeds.log(spark, sf_dir), ttl=feeds.TTL, slice_width=feeds.SLICE)
+def _context(sample: Sample) -> DataFrame:
+    return state.pricing_context(feeds.log(sample), ttl=feeds.TTL, slice_width=feeds.SLICE)
 
 
-def emergency_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat(_context(spark, sf_dir).select("product_id", "ts", "rank", "seq", "adjustment_factor"))
+def emergency_ttl(sample: Sample) -> DataFrame:
+    return flat(_context(sample).select("product_id", "ts", "rank", "seq", "adjustment_factor"))
 
 
-def pricing_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat(_context(spark, sf_dir).drop("slice"))
+def pricing_context(sample: Sample) -> DataFrame:
+    return flat(_context(sample).drop("slice"))
 
 
-def model_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+def model_asof(sample: Sample) -> DataFrame:
     attached = model.attach_model(
-        tables.events(spark, sf_dir).select("seq", "ts", "product_id"), tables.registry(spark, sf_dir)
+        sample.events().select("seq", "ts", "product_id"), sample.registry()
     )
     return flat(
         attached.select(
@@ -176,16 +177,16 @@ def model_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def model_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = model.score(_context(spark, sf_dir), tables.registry(spark, sf_dir))
+def model_score(sample: Sample) -> DataFrame:
+    scored = model.score(_context(sample), sample.registry())
     return flat(
         scored.select("product_id", "ts", "rank", "seq", F.col("model.model_id").alias("model_id"), "model_price")
     )
 
 
-def price_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+def price_steps(sample: Sample) -> DataFrame:
     return flat(
-        feeds.priced(spark, sf_dir).select(
+        feeds.priced(sample).select(
             "product_id",
             "ts",
             "rank",
@@ -200,42 +201,42 @@ def price_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def reprice(spark: SparkSession, sf_dir: str) -> DataFrame:
+def reprice(sample: Sample) -> DataFrame:
     """The flagship: all inputs to the price stream."""
-    rows = feeds.priced(spark, sf_dir).where(~F.col("is_conflict"))
+    rows = feeds.priced(sample).where(~F.col("is_conflict"))
     return flat(rows.select(*pricing.RESULT))
 
 
-def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pricing.price_alerts(feeds.priced(spark, sf_dir))
+def _alerts(sample: Sample) -> DataFrame:
+    return pricing.price_alerts(feeds.priced(sample))
 
 
-def price_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat(_alerts(spark, sf_dir))
+def price_alerts(sample: Sample) -> DataFrame:
+    return flat(_alerts(sample))
 
 
-def alert_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pricing.format_alert(_alerts(spark, sf_dir))
+def alert_text(sample: Sample) -> DataFrame:
+    return pricing.format_alert(_alerts(sample))
 
 
-def encode_result(spark: SparkSession, sf_dir: str) -> DataFrame:
-    results = feeds.priced(spark, sf_dir).where(~F.col("is_conflict"))
+def encode_result(sample: Sample) -> DataFrame:
+    results = feeds.priced(sample).where(~F.col("is_conflict"))
     return pricing.encode_result(results)
 
 
-def currency_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = feeds.log(spark, sf_dir, mixed_currencies=True)
+def currency_mismatch(sample: Sample) -> DataFrame:
+    log = feeds.log(sample, mixed_currencies=True)
     return flat(
         pricing.currency_mismatches(
-            log, tables.registry(spark, sf_dir), ttl=feeds.TTL, slice_width=feeds.SLICE
+            log, sample.registry(), ttl=feeds.TTL, slice_width=feeds.SLICE
         )
     )
 
 
-def money_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+def money_ops(sample: Sample) -> DataFrame:
     """Every money function over the order lines."""
     a, b = m.amount(F.col("l_extendedprice")), m.amount(F.col("l_quantity"))
-    lines = tables.table(spark, sf_dir, "lineitem")
+    lines = sample.table("lineitem")
     return flat(
         lines.select(
             "l_orderkey",
@@ -252,7 +253,11 @@ def money_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {
+def _over_tables(query: Callable[[Sample], DataFrame]) -> Query:
+    return lambda spark, sf_dir: query(Sample(spark, sf_dir))
+
+
+_REGISTERED: dict[str, Callable[[Sample], DataFrame]] = {
     "decode_clicks": decoded("click"),
     "decode_orders": decoded("order"),
     "decode_inventory": decoded("inventory"),
@@ -284,3 +289,4 @@ QUERIES: dict[str, Query] = {
     "currency_mismatch": currency_mismatch,
     "money_ops": money_ops,
 }
+QUERIES: dict[str, Query] = {name: _over_tables(query) for name, query in _REGISTERED.items()}
