@@ -9,7 +9,7 @@ its slice without another shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repricer.functions.intervals import ceil_to, floor_to, micros
@@ -36,10 +36,13 @@ def _cells(clicks: DataFrame, width: int, first_end: int, last_end: int, slice_w
     return counted.withColumn("slice", F.explode(slices)).repartition("product_id", "slice")
 
 
-def _first_name(when: Column | None = None) -> Column:
+def _first_name() -> Column:
     """Name on the earliest click; equal instants are settled by the name itself."""
-    order = F.struct("first_at", "product_name")
-    return F.min_by("product_name", order if when is None else F.when(when, order))
+    return F.min_by("product_name", F.struct("first_at", "product_name"))
+
+
+def _window_of(long_end: Column, short_end: Column) -> Column:
+    return F.struct(long_end.alias("end"), short_end.cast("bigint").alias("short_end"))
 
 
 def sliding_rate(
@@ -84,10 +87,10 @@ def demand_metrics(
 ) -> DataFrame:
     """Short-window rate paired with each long-window rate ending within the tolerance.
 
-    Both kinds of window end on the short grid, so the interval join is a fixed set of
-    offsets: around each long window end lie the short ends `end + k * short slide` with
-    |k * slide| <= tolerance. One aggregation per long end therefore counts the long window
-    and each of those short windows, and the join needs no shuffle and no pair search.
+    Both kinds of window end on the short grid, so a cell knows all the windows it counts in
+    and all the pairs those windows form. It contributes one row per pair and one per long
+    window, both keyed by the long end; after counting, the pairs of a long end lie next to
+    its count, and the join is a window function over rows already in place.
     """
     short_size, short_slide = map(micros, short)
     long_size, long_slide = map(micros, long)
@@ -95,53 +98,48 @@ def demand_metrics(
     if long_slide % short_slide or short_size % short_slide or long_size % short_slide:
         raise ValueError("sizes and the long slide must be multiples of the short slide")
 
-    steps = reach // short_slide
-    offsets = [k * short_slide for k in range(-steps, steps + 1)]
-    # window ends touched by a cell, before rounding to the long grid
-    first_end = short_slide - offsets[-1]
-    last_end = max(long_size, short_size + offsets[-1])
-
     cell, end = F.col("cell"), F.col("end")
 
-    def covers(window_end: Column, size: int) -> Column:
-        return (cell >= window_end - size) & (cell + short_slide <= window_end)
-
-    first, last = ceil_to(cell + first_end, long_slide), floor_to(cell + last_end, long_slide)
-    # no long end in reach is possible only on a grid coarser than the windows
-    ends = F.when(first <= last, F.sequence(first, last, F.lit(long_slide)))
-    aggregates = [F.sum(F.when(covers(end, long_size), F.col("n"))).alias("long_clicks")]
-    for i, offset in enumerate(offsets):
-        inside = covers(end + offset, short_size)
-        aggregates += [
-            F.sum(F.when(inside, F.col("n"))).alias(f"clicks_{i}"),
-            _first_name(inside).alias(f"name_{i}"),
-        ]
-    pairs = F.array(
-        *[
-            F.struct(
-                F.lit(offset).cast("bigint").alias("offset"),
-                F.col(f"clicks_{i}").alias("clicks"),
-                F.col(f"name_{i}").alias("name"),
-            )
-            for i, offset in enumerate(offsets)
-        ]
+    def pairs_of(short_end: Column) -> Column:
+        near = F.sequence(
+            floor_to(short_end - reach, long_slide), ceil_to(short_end + reach, long_slide), F.lit(long_slide)
+        )
+        joined = F.filter(near, lambda long_end: F.abs(long_end - short_end) <= reach)
+        return F.transform(joined, lambda long_end: _window_of(long_end, short_end))
+
+    shorts = F.sequence(cell + short_slide, cell + short_size, F.lit(short_slide))
+    longs = F.filter(
+        F.sequence(floor_to(cell, long_slide), cell + long_size, F.lit(long_slide)),
+        lambda long_end: long_end >= cell + short_slide,
+    )
+    counted_in = F.concat(
+        F.flatten(F.transform(shorts, pairs_of)),
+        F.transform(longs, lambda long_end: _window_of(long_end, F.lit(None))),
     )
+    of_long_end = Window.partitionBy("product_id", "slice", "end")
+    of_pair = Window.partitionBy("product_id", "slice", "end", "short_end").orderBy("first_at", "product_name")
+    whole_pair = of_pair.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    is_pair = F.col("short_end").isNotNull()
+    # counted per name on fixed-width values, which hash aggregation can hold; a product
+    # has one name almost always, so the windows that settle the name see one row per pair
     joined = (
-        _cells(clicks, short_slide, first_end, last_end, slice_us)
-        .withColumn("end", F.explode(ends))
+        _cells(clicks, short_slide, short_slide - reach, max(long_size, short_size + reach), slice_us)
+        .select("*", F.inline(counted_in))
         .where(floor_to(end, slice_us) == F.col("slice"))
-        .groupBy("product_id", "slice", "end")
-        .agg(*aggregates)
-        .where(F.col("long_clicks").isNotNull())
-        .withColumn("pair", F.explode(F.filter(pairs, lambda p: p["clicks"].isNotNull())))
+        .groupBy("product_id", "slice", "end", "short_end", "product_name")
+        .agg(F.sum("n").alias("n"), F.min("first_at").alias("first_at"))
+        .withColumn("clicks", F.sum("n").over(whole_pair))
+        .withColumn("nth_name", F.row_number().over(of_pair))
+        .withColumn("long_clicks", F.sum(F.when(~is_pair, F.col("n"))).over(of_long_end))
+        .where(is_pair & (F.col("nth_name") == 1) & F.col("long_clicks").isNotNull())
     )
-    short_end = end + F.col("pair.offset")
+    short_end = F.col("short_end")
     return joined.select(
         "product_id",
-        F.coalesce("pair.name", F.lit("")).alias("product_name"),
+        F.coalesce("product_name", F.lit("")).alias("product_name"),
         F.timestamp_micros(short_end).alias("short_end"),
         F.timestamp_micros(end).alias("long_end"),
-        (F.col("pair.clicks") / F.lit(short_size / micros("1 minute"))).alias("current_demand"),
+        (F.col("clicks") / F.lit(short_size / micros("1 minute"))).alias("current_demand"),
         (F.col("long_clicks") / F.lit(long_size / micros("1 minute"))).alias("historical_average"),
         F.timestamp_micros(F.greatest(short_end, end) + micros(availability_delay)).alias("ts"),
         short_end.alias("seq"),

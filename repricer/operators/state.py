@@ -45,8 +45,13 @@ def state_asof(log: DataFrame, *, slice_width: str = DEFAULT_SLICE) -> DataFrame
 
     The output keeps `slice`; it is partitioned by (product_id, slice).
     """
-    sliced = log.withColumn("slice", slice_start(F.col("ts"), micros(slice_width))).repartition(
-        "product_id", "slice"
+    # rows without product or time belong to no state; ruling them out here, for both uses
+    # of the shuffle, also keeps the join from filtering one of the two differently
+    sliced = (
+        log.where(F.col("product_id").isNotNull() & F.col("ts").isNotNull())
+        .withColumn("slice", slice_start(F.col("ts"), micros(slice_width)))
+        .where(F.col("slice").isNotNull())
+        .repartition("product_id", "slice")
     )
     so_far = (
         Window.partitionBy("product_id", "slice")
