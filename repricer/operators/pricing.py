@@ -118,9 +118,9 @@ def price_alerts(priced: DataFrame, *, rules: Rules = DEFAULT_RULES) -> DataFram
     )
 
 
-def format_alert(alerts: DataFrame) -> DataFrame:
-    """Alert messages; the text is key and value at once."""
-    text = F.concat(
+def alert_value() -> Column:
+    """The alert message of a result row."""
+    return F.concat(
         F.lit("ALERT: price jump for "),
         F.col("product_id"),
         F.lit(" new=Money(amount="),
@@ -129,11 +129,15 @@ def format_alert(alerts: DataFrame) -> DataFrame:
         F.col("new_price.currency"),
         F.lit(")"),
     )
-    return alerts.select(text.alias("key"), text.alias("value"))
 
 
-def encode_result(results: DataFrame) -> DataFrame:
-    """Price messages: key is the product id, value the result as JSON in record order."""
+def format_alert(alerts: DataFrame) -> DataFrame:
+    """Alert messages; the text is key and value at once."""
+    return alerts.select(alert_value().alias("key"), alert_value().alias("value"))
+
+
+def result_value() -> Column:
+    """A result row as JSON, fields in record order."""
     record = F.struct(
         F.col("product_id").alias("productId"),
         F.col("product_name").alias("productName"),
@@ -143,7 +147,9 @@ def encode_result(results: DataFrame) -> DataFrame:
         F.col("inventory_level").alias("inventoryLevel"),
         F.col("current_demand").alias("currentDemand"),
     )
-    return results.select(
-        F.col("product_id").alias("key"),
-        F.to_json(record, {"ignoreNullFields": "false"}).alias("value"),
-    )
+    return F.to_json(record, {"ignoreNullFields": "false"})
+
+
+def encode_result(results: DataFrame) -> DataFrame:
+    """Price messages: key is the product id, value the result as JSON."""
+    return results.select(F.col("product_id").alias("key"), result_value().alias("value"))
