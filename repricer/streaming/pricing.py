@@ -130,17 +130,16 @@ class _ContextKeeper(StatefulProcessor):
         pass
 
     def _remember(self, row: Row) -> None:
-        if row.demand is not None:
-            self._demand.update(tuple(row.demand))
+        if row.has_demand:
+            self._demand.update((row.current_demand, row.historical_average))
         if row.quantity is not None:
             self._quantity.update((row.quantity,))
-        if row.competitor is not None:
-            self._competitor.update(tuple(row.competitor))
-        if row.rule is not None:
-            low, high = row.rule.min_price, row.rule.max_price
-            self._rule.update((*(low or (None, None)), *(high or (None, None))))
-        if row.emergency is not None:
-            self._emergency.update((row.emergency.factor,))
+        if row.has_competitor:
+            self._competitor.update((row.competitor_amount, row.competitor_currency))
+        if row.has_rule:
+            self._rule.update((row.min_amount, row.min_currency, row.max_amount, row.max_currency))
+        if row.factor is not None:
+            self._emergency.update((row.factor,))
 
     def _restart_timer(self, now: int, name: str | None) -> None:
         if self._deadline.exists():
@@ -191,7 +190,28 @@ def pricing_facts(
     Surge factors expire and inactive products are repriced by processing time.
     """
     keeper = _ContextKeeper(latest_model, micros(ttl) // 1000, micros(gap) // 1000)
-    return log.groupBy("product_id").transformWithState(keeper, _ddl(_OUTPUT), "append", "processingTime")
+    flat = log.select(
+        "product_id",
+        "product_name",
+        "ts",
+        "rank",
+        "seq",
+        "metric_type",
+        F.col("demand").isNotNull().alias("has_demand"),
+        F.col("demand.current_demand").alias("current_demand"),
+        F.col("demand.historical_average").alias("historical_average"),
+        "quantity",
+        F.col("competitor").isNotNull().alias("has_competitor"),
+        F.col("competitor.amount").alias("competitor_amount"),
+        F.col("competitor.currency").alias("competitor_currency"),
+        F.col("rule").isNotNull().alias("has_rule"),
+        F.col("rule.min_price.amount").alias("min_amount"),
+        F.col("rule.min_price.currency").alias("min_currency"),
+        F.col("rule.max_price.amount").alias("max_amount"),
+        F.col("rule.max_price.currency").alias("max_currency"),
+        F.col("emergency.factor").alias("factor"),
+    )
+    return flat.groupBy("product_id").transformWithState(keeper, _ddl(_OUTPUT), "append", "processingTime")
 
 
 def price_stream(

@@ -4,7 +4,10 @@ import sys
 import pytest
 from pyspark.sql import SparkSession
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+_TESTS = os.path.dirname(os.path.abspath(__file__))
+sys.path.insert(0, os.path.dirname(_TESTS))
+# the Python workers import the package and the test modules too
+os.environ["PYTHONPATH"] = os.pathsep.join([os.path.dirname(_TESTS), _TESTS, os.environ.get("PYTHONPATH", "")])
 
 BASE = 1_735_689_600  # 2025-01-01T00:00:00Z
 
