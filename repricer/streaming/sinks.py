@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from repricer.operators.pricing import alert_value, result_value
+from repricer.streaming.session import ends_with_its_data
 
 PRICES, ALERTS = "prices", "alerts"
 
@@ -30,11 +31,14 @@ def messages(priced: DataFrame, *, prices: str = PRICES, alerts: str = ALERTS) -
 
 def _write(out: DataFrame, sink: str, checkpoint: str, path: str | None, brokers: str | None, once: bool) -> StreamingQuery:
     writer = out.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
-    if once:
-        writer = writer.trigger(availableNow=True)
     if sink == "kafka":
-        return writer.format("kafka").option("kafka.bootstrap.servers", brokers).start()
-    return writer.format(sink).partitionBy("topic").start(path)
+        writer = writer.format("kafka").option("kafka.bootstrap.servers", brokers)
+    else:
+        writer = writer.format(sink).partitionBy("topic").option("path", path)
+    if not once:
+        return writer.start()
+    with ends_with_its_data(out.sparkSession):
+        return writer.trigger(availableNow=True).start()
 
 
 def write_messages(
@@ -48,7 +52,10 @@ def write_messages(
     alerts: str = ALERTS,
     once: bool = False,
 ) -> StreamingQuery:
-    """Start delivering prices and alerts to Kafka topics or to a folder per topic."""
+    """Start delivering prices and alerts to Kafka topics or to a folder per topic.
+
+    `once` delivers what there is now and ends.
+    """
     return _write(messages(priced, prices=prices, alerts=alerts), sink, checkpoint, path, brokers, once)
 
 

@@ -2,6 +2,7 @@ import datetime as dt
 import os
 import random
 import time
+from contextlib import nullcontext
 from decimal import Decimal
 
 import pytest
@@ -13,7 +14,7 @@ from repricer.operators.lookup import lookup_competitor
 from repricer.schemas import EVENT_LOG
 from repricer.streaming import demand, surge
 from repricer.streaming.pricing import RegistryReader, price_stream
-from repricer.streaming.session import prepare
+from repricer.streaming.session import ends_with_its_data, prepare
 from repricer.streaming.sinks import messages, write_alerts, write_messages, write_prices
 
 CLICK = "product_id string, product_name string, ts timestamp, seq bigint"
@@ -40,13 +41,20 @@ def add(spark, folder, schema, rows, i):
     os.utime(target, (BASE + i, BASE + i))
 
 
-def drain(df, tmp_path, name):
-    query = (
+def finish(query):
+    ended = query.awaitTermination(90)
+    query.stop()
+    assert ended and query.exception() is None
+
+
+def drain(df, tmp_path, name, *, timers=False):
+    writer = (
         df.writeStream.format("memory").queryName(name).outputMode("append")
-        .option("checkpointLocation", str(tmp_path / f"{name}-checkpoint")).trigger(availableNow=True).start()
+        .option("checkpointLocation", str(tmp_path / f"{name}-checkpoint")).trigger(availableNow=True)
     )
-    query.awaitTermination(240)
-    assert query.exception() is None
+    with ends_with_its_data(df.sparkSession) if timers else nullcontext():
+        query = writer.start()
+    finish(query)
     return df.sparkSession.table(name)
 
 
@@ -153,7 +161,7 @@ def test_pricing_state(streaming, tmp_path):
         ],
     ]
     log = stream(streaming, str(tmp_path / "in"), EVENT_LOG, batches)
-    got = drain(price_stream(log, lambda: model()), tmp_path, "priced")
+    got = drain(price_stream(log, lambda: model()), tmp_path, "priced", timers=True)
     rows = {
         "p": [
             (r.metric_type, str(r.new_price.amount), r.previous_price and str(r.previous_price), r.is_alert)
@@ -171,7 +179,7 @@ def test_pricing_state(streaming, tmp_path):
 
 def test_no_model_no_price(streaming, tmp_path):
     log = stream(streaming, str(tmp_path / "in"), EVENT_LOG, [[update("p", 0, "CLICK", 0)]])
-    assert drain(price_stream(log, lambda: None), tmp_path, "unpriced").count() == 0
+    assert drain(price_stream(log, lambda: None), tmp_path, "unpriced", timers=True).count() == 0
 
 
 def test_surge_factor_and_inactivity_by_processing_time(streaming, tmp_path):
@@ -213,7 +221,7 @@ def test_delivery(streaming, tmp_path):
 
     def deliver(write, name):
         out = str(tmp_path / name)
-        write(priced, path=out, checkpoint=str(tmp_path / f"{name}-checkpoint"), once=True).awaitTermination(240)
+        finish(write(priced, path=out, checkpoint=str(tmp_path / f"{name}-checkpoint"), once=True))
         return streaming.read.parquet(out)
 
     both = deliver(write_messages, "both")
