@@ -32,26 +32,29 @@ def _payload(kind: str) -> tuple[str, Column]:
     }[kind]()
 
 
+def tag(df: DataFrame, kind: Column, rank: Column, payloads: dict[str, Column]) -> DataFrame:
+    """Rows of an input that carries several kinds already, in the shape of the log, in one pass."""
+    seq = F.col("seq") if "seq" in df.columns else F.unix_micros("ts")
+    return df.select(
+        "product_id",
+        "ts",
+        rank.cast("int").alias("rank"),
+        seq.cast("bigint").alias("seq"),
+        kind.alias("metric_type"),
+        "product_name",
+        *[payloads.get(name, F.lit(None)).cast(dtype).alias(name) for name, dtype in PAYLOADS.items()],
+    )
+
+
 def as_update(df: DataFrame, kind: str) -> DataFrame:
     """Tag the rows of one input and move their values to the payload column of its kind.
 
     LOOKUP is a competitor price fetched for a click: the same update as COMPETITOR,
     ordered after the click that asked for it.
     """
-    name, value = (None, None) if kind == "CLICK" else _payload(kind)
-    seq = F.col("seq") if "seq" in df.columns else F.unix_micros("ts")
-    columns = [
-        F.col("product_id"),
-        F.col("ts"),
-        F.lit(RANK[kind]).alias("rank"),
-        seq.cast("bigint").alias("seq"),
-        F.lit("COMPETITOR" if kind == "LOOKUP" else kind).alias("metric_type"),
-        F.col("product_name"),
-    ]
-    for payload, dtype in PAYLOADS.items():
-        source = value if payload == name else F.lit(None)
-        columns.append(source.cast(dtype).alias(payload))
-    return df.select(*columns)
+    payloads = {} if kind == "CLICK" else dict([_payload(kind)])
+    metric_type = F.lit("COMPETITOR" if kind == "LOOKUP" else kind)
+    return tag(df, metric_type, F.lit(RANK[kind]), payloads)
 
 
 def metric_union(*updates: DataFrame) -> DataFrame:

@@ -99,38 +99,34 @@ def inactivity_resets(
 ) -> DataFrame:
     """An instant `gap` after each click that saw no newer click until later than that.
 
-    The next click is looked up inside a time slice; a marker row holding the first click
-    of the product's next non-empty slice closes each slice. `close_tail` also resets after
-    a product's last click.
+    The next click is looked up inside a time slice. A slice's last click takes it from the
+    first one of the product's next slice: only those edge rows, two per slice, are ordered
+    across the whole product. `close_tail` also resets after a product's last click.
     """
     gap_us, width = micros(gap), micros(slice_width)
-    sliced = clicks.select("product_id", "product_name", "ts", "seq").withColumn(
-        "slice", slice_start(F.col("ts"), width)
+    in_slice = Window.partitionBy("product_id", "slice").orderBy("ts", "seq")
+    whole = Window.partitionBy("product_id").orderBy("ts", "seq")
+    framed = (
+        clicks.select("product_id", "product_name", "ts", "seq")
+        .withColumn("slice", slice_start(F.col("ts"), width))
+        .withColumn("next_ts", F.lead("ts").over(in_slice))
+        .withColumn("is_first", F.lag("ts").over(in_slice).isNull())
     )
-    next_slice = Window.partitionBy("product_id").orderBy("slice")
-    markers = (
-        sliced.groupBy("product_id", "slice")
-        .agg(F.min("ts").alias("first_ts"))
-        .select("product_id", "slice", F.lead("first_ts").over(next_slice).alias("ts"))
-        .where(F.col("ts").isNotNull())
-        .select(
-            "product_id",
-            F.lit(None).cast("string").alias("product_name"),
-            "ts",
-            F.lit(None).cast("bigint").alias("seq"),
-            "slice",
-            F.lit(True).alias("is_marker"),
-        )
+    is_last = F.col("next_ts").isNull()
+    edges = (
+        framed.where(F.col("is_first") | is_last)
+        .withColumn("edge_ts", F.lead("ts").over(whole))
+        .where(is_last)
+        .withColumn("next_ts", F.col("edge_ts"))
+        .drop("edge_ts")
     )
-    in_slice = Window.partitionBy("product_id", "slice").orderBy("ts", "seq")
     quiet = F.unix_micros("next_ts") > F.unix_micros("ts") + gap_us
     if close_tail:
         quiet = quiet | F.col("next_ts").isNull()
     return (
-        sliced.withColumn("is_marker", F.lit(False))
-        .unionByName(markers)
-        .withColumn("next_ts", F.lead("ts").over(in_slice))
-        .where(~F.col("is_marker") & quiet)
+        framed.where(~is_last)
+        .unionByName(edges)
+        .where(quiet)
         .select(
             "product_id",
             "product_name",

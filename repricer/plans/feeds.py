@@ -8,13 +8,15 @@ demand windows and the pricing rules keep their defaults.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from repricer.operators.demand import demand_metrics
-from repricer.operators.eventlog import as_update, event_log, metric_union
+from repricer.operators.eventlog import as_update, event_log, metric_union, tag
 from repricer.operators.pricing import priced_rows
 from repricer.operators.state import inactivity_resets
 from repricer.operators.surge import surge_adjustments, surge_runs
-from repricer.sources.tables import Sample
+from repricer.schemas import RANK
+from repricer.sources.tables import STREAMS, Sample, competitor_price, quantity, rule_bounds
 
 SURGE = {"n": 3, "within": "24 hours", "slice_width": "10 days"}
 LINE_SURGE = {"n": 3, "within": "90 days", "slice_width": "400 days"}
@@ -23,21 +25,49 @@ TTL = "12 hours"
 SLICE = "10 days"
 
 
-def updates(sample: Sample, *, mixed_currencies: bool = False) -> DataFrame:
+def updates(sample: Sample) -> DataFrame:
+    """The five update streams united."""
     surges = surge_adjustments(surge_runs(sample.orders(), **SURGE))
     return metric_union(
         as_update(demand_metrics(sample.clicks()), "DEMAND"),
         as_update(sample.inventory(), "INVENTORY"),
         as_update(sample.competitor_prices(), "COMPETITOR"),
-        as_update(sample.rules(mixed_currencies=mixed_currencies), "RULE"),
+        as_update(sample.rules(), "RULE"),
         as_update(surges, "EMERGENCY"),
     )
 
 
+def united_log(sample: Sample) -> DataFrame:
+    """The log as the union of separate streams, as it is built from separate topics."""
+    resets = as_update(inactivity_resets(sample.clicks(), gap=GAP, slice_width=SLICE), "RESET")
+    return event_log(sample.clicks(), metric_union(updates(sample), resets))
+
+
+def _direct(sample: Sample, *, mixed_currencies: bool) -> DataFrame:
+    """Clicks, inventory, rules and competitor prices, read in one pass: they share a table."""
+    kind = F.col("event_type")
+    names = {"CLICK": "click", "INVENTORY": "inventory", "RULE": "rule", "COMPETITOR": "competitor"}
+    tagged, rank = F.lit(None), F.lit(None)
+    for name, stream in names.items():
+        tagged = F.when(kind == STREAMS[stream], name).otherwise(tagged)
+        rank = F.when(kind == STREAMS[stream], RANK[name]).otherwise(rank)
+    payloads = {
+        "quantity": F.when(kind == STREAMS["inventory"], quantity()),
+        "competitor": F.when(kind == STREAMS["competitor"], competitor_price()),
+        "rule": F.when(kind == STREAMS["rule"], F.struct(*rule_bounds(mixed_currencies))),
+    }
+    return tag(sample.events(*names.values()), tagged, rank, payloads)
+
+
 def log(sample: Sample, *, mixed_currencies: bool = False) -> DataFrame:
     """Clicks, all updates and the inactivity resets."""
-    resets = as_update(inactivity_resets(sample.clicks(), gap=GAP, slice_width=SLICE), "RESET")
-    return event_log(sample.clicks(), metric_union(updates(sample, mixed_currencies=mixed_currencies), resets))
+    clicks = sample.clicks()
+    return metric_union(
+        _direct(sample, mixed_currencies=mixed_currencies),
+        as_update(demand_metrics(clicks), "DEMAND"),
+        as_update(surge_adjustments(surge_runs(sample.orders(), **SURGE)), "EMERGENCY"),
+        as_update(inactivity_resets(clicks, gap=GAP, slice_width=SLICE), "RESET"),
+    )
 
 
 def priced(sample: Sample) -> DataFrame:

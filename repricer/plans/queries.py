@@ -126,7 +126,7 @@ def metric_union(sample: Sample) -> DataFrame:
 
 
 def event_log(sample: Sample) -> DataFrame:
-    return flat(feeds.log(sample))
+    return flat(feeds.united_log(sample))
 
 
 def price_triggers(sample: Sample) -> DataFrame:

@@ -32,6 +32,27 @@ _COLUMNS = {
 }
 
 
+def quantity() -> Column:
+    return F.floor("value").cast("int")
+
+
+def competitor_price() -> Column:
+    return money(F.col("value"))
+
+
+def rule_bounds(mixed_currencies: bool = False) -> list[Column]:
+    """Price bounds at one and three times the event's value."""
+    value = F.col("value")
+    low, high = F.lit("EUR"), F.lit("EUR")
+    if mixed_currencies:
+        low = F.when(value >= 100, "USD").otherwise("EUR")
+        high = F.when(value >= 50, "USD").otherwise("EUR")
+    return [
+        money(amount(value), low).alias("min_price"),
+        money(amount(value) * 3, high).alias("max_price"),
+    ]
+
+
 class Sample:
     """The tables of one folder; each is opened once however many streams use it."""
 
@@ -44,11 +65,11 @@ class Sample:
             self._open[name] = reader.parquet(f"{self._dir}/{name}.parquet")
         return self._open[name]
 
-    def events(self, kind: str | None = None) -> DataFrame:
-        """Event rows as (product_id, product_name, ts, seq, event_type, value)."""
+    def events(self, *kinds: str) -> DataFrame:
+        """Event rows of the given streams, or all, as (product_id, product_name, ts, seq, event_type, value)."""
         rows = self.table("events")
-        if kind:
-            rows = rows.where(F.col("event_type") == STREAMS[kind])
+        if kinds:
+            rows = rows.where(F.col("event_type").isin(*[STREAMS[kind] for kind in kinds]))
         keyed = rows.select(
             F.get_json_object("props", "$.k").alias("product_id"),
             F.col("ts").cast("timestamp").alias("ts"),
@@ -81,28 +102,15 @@ class Sample:
 
     def inventory(self) -> DataFrame:
         return self.events("inventory").select(
-            "product_id", "product_name", "ts", "seq", F.floor("value").cast("int").alias("quantity")
+            "product_id", "product_name", "ts", "seq", quantity().alias("quantity")
         )
 
-    def rules(self, *, mixed_currencies: bool = False) -> DataFrame:
-        """Price bounds at one and three times the event's value."""
-        value = F.col("value")
-        low, high = F.lit("EUR"), F.lit("EUR")
-        if mixed_currencies:
-            low = F.when(value >= 100, "USD").otherwise("EUR")
-            high = F.when(value >= 50, "USD").otherwise("EUR")
-        return self.events("rule").select(
-            "product_id",
-            "product_name",
-            "ts",
-            "seq",
-            money(amount(value), low).alias("min_price"),
-            money(amount(value) * 3, high).alias("max_price"),
-        )
+    def rules(self) -> DataFrame:
+        return self.events("rule").select("product_id", "product_name", "ts", "seq", *rule_bounds())
 
     def competitor_prices(self) -> DataFrame:
         return self.events("competitor").select(
-            "product_id", "product_name", "ts", "seq", money(F.col("value")).alias("price")
+            "product_id", "product_name", "ts", "seq", competitor_price().alias("price")
         )
 
     def competitor_answers(self) -> DataFrame:
@@ -150,11 +158,11 @@ class Sample:
 
         product = [F.col("product_id").alias("productId"), F.col("product_name").alias("productName")]
         sent = F.unix_millis("ts").alias("timestamp")
-        quantity = F.floor("value").cast("int").alias("quantity")
+        counted = quantity().alias("quantity")
         record = {
             "click": F.struct(*product, sent),
-            "order": F.struct(F.col("seq").cast("string").alias("orderId"), *product, quantity, sent),
-            "inventory": F.struct(*product, quantity),
+            "order": F.struct(F.col("seq").cast("string").alias("orderId"), *product, counted, sent),
+            "inventory": F.struct(*product, counted),
             "rule": F.struct(
                 *product, F.struct(bound(1).alias("minPrice"), bound(3).alias("maxPrice")).alias("priceRule")
             ),
