@@ -33,7 +33,10 @@ def _cells(clicks: DataFrame, width: int, first_end: int, last_end: int, slice_w
         floor_to(F.col("cell") + last_end, slice_width),
         F.lit(slice_width),
     )
-    return counted.withColumn("slice", F.explode(slices)).repartition("product_id", "slice")
+    # a fixed number of partitions: adaptive merging would go by the size of the cells, but
+    # each of them is about to be copied to every window it counts in
+    partitions = int(clicks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return counted.withColumn("slice", F.explode(slices)).repartition(partitions, "product_id", "slice")
 
 
 def _first_name() -> Column:
