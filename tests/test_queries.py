@@ -31,7 +31,7 @@ def comparable(value):
     return repr(value)
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(driver.oracle_sql()))
 def test_query_equals_its_sql(spark, sql, name):
     df = driver.queries()[name](spark, SAMPLE)
     names = sorted(df.columns)
