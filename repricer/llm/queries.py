@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repricer.llm import dedup, mixing, quality, shards
+from repricer.llm import dedup, jaccard, language, mixing, packing, quality, shards
 from repricer.llm.common import table
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def op2_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shards.byte_shards(table(spark, sf_dir, "documents"))
     return placed.select(
@@ -18,6 +22,16 @@ def op2_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language.identified(docs).select(
+        "doc_id",
+        language.is_held_out(F.col("doc_id")).alias("held_out"),
+        F.col("_predicted.lang").alias("lang_pred"),
+        F.col("_predicted.score").alias("score"),
+    )
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select(
@@ -29,6 +43,12 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    similarity = jaccard.Similarity(words=4, percent=85)
+    linked = jaccard.linked_documents(table(spark, sf_dir, "documents"), similarity)
+    return linked.select("doc_id", "n_shingles", "component_id")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     decisions = dedup.open_index(spark).add(table(spark, sf_dir, "documents"))
     return decisions.select(
@@ -37,9 +57,12 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op2_byte_shards": op2_byte_shards,
+    "op4_language_id": op4_language_id,
     "op6_quality_rules": op6_quality_rules,
     "op7_source_mixing": op7_source_mixing,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
