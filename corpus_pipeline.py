@@ -15,7 +15,7 @@ from repricer.llm import dedup, jaccard, language, mixing, packing
 from repricer.llm.common import table, written
 
 #: Share of its grams that a document must have in common with the language it is taken for.
-LEAST_SCORE = 0.3
+LEAST_SCORE = 0.5
 
 #: No SQL: tokens, languages and random draws are beyond it.
 ORACLE_SQL = None
@@ -27,8 +27,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Those without letters go, and those that have little in common with all of the languages.
     """
     found = language.identified(docs)
-    known = (F.col("_predicted.lang") != language.UNDETERMINED) & (F.col("_predicted.score") >= LEAST_SCORE)
-    return found.filter(known).select(docs.columns)
+    known = (F.col("predicted.lang") != language.UNDETERMINED) & (F.col("predicted.score") >= LEAST_SCORE)
+    return found.filter(known).select("doc.*")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -97,8 +97,9 @@ def open_index(spark: SparkSession, path: str | None = None, buckets: int | None
 def distinct_documents(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """The rows whose texts are new to the index (to a fresh one by default), one per text, all columns kept."""
     index = index or open_index(docs.sparkSession)
-    kept = index.add(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-    marked = docs.withColumns({"_row_id": F.col("doc_id").cast("long"), "_row_digest": digest("text")})
-    once = marked.dropDuplicates(["_row_id", "_row_digest"])
-    same = F.col("_row_id").eqNullSafe(F.col("_id")) & (F.col("_row_digest") == F.col("_digest"))
-    return once.join(kept, same, "left_semi").select(docs.columns)
+    kept = index.add(docs).filter("kept").select("doc_id", "digest")
+    # the row as one value, whatever its columns are called
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), digest("text").alias("digest"), F.struct("*").alias("doc"))
+    once = rows.dropDuplicates(["id", "digest"])
+    same = F.col("id").eqNullSafe(F.col("k.doc_id")) & (F.col("r.digest") == F.col("k.digest"))
+    return once.alias("r").join(kept.alias("k"), same, "left_semi").select("doc.*")

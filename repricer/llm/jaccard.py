@@ -398,6 +398,7 @@ def one_of_each_group(docs: DataFrame, similarity: Similarity = Similarity()) ->
 
     Documents without words stay. Rows that repeat the doc_id and text of one that stays are repeats of it and go.
     """
-    stay = linked_documents(docs, similarity).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_id"))
-    marked = docs.withColumn("_key", F.col("doc_id").cast("long"))
-    return marked.join(stay.distinct(), F.col("_key").eqNullSafe(F.col("_id")), "left_semi").select(docs.columns)
+    stay = linked_documents(docs, similarity).filter("doc_id <=> component_id").select("doc_id").distinct()
+    # the row as one value, whatever its columns are called
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct("*").alias("doc"))
+    return rows.join(stay, F.col("id").eqNullSafe(F.col("doc_id")), "left_semi").select("doc.*")

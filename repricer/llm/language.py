@@ -186,6 +186,6 @@ def predictor(docs: DataFrame, filters: LanguageFilters):
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """The rows with `_predicted` (lang, score), learned from the rows that are not held out."""
+    """Columns doc (the row) and predicted (lang, score), learned from the rows that are not held out."""
     filters = learn(docs.filter(~is_held_out(F.col("doc_id"))))
-    return docs.withColumn("_predicted", predictor(docs, filters)("text"))
+    return docs.select(F.struct("*").alias("doc"), predictor(docs, filters)("text").alias("predicted"))

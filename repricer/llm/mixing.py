@@ -163,26 +163,29 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     Repeated rows of one doc_id, source and size share their number of copies evenly, so each may
     differ from the others by one copy.
     """
-    taken = mix(docs, **settings).groupBy("doc_id", "source", "size").agg(
-        F.sum("copies").alias("_copies"), F.count("*").alias("_rows")
+    taken = written(
+        mix(docs, **settings)
+        .groupBy("doc_id", "source", "size")
+        .agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+        .filter("copies > 0"),
+        "copies",
     )
-    taken = written(taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_copies", "_rows").filter("_copies > 0"), "copies")
-    marked = docs.withColumn("_words", word_count(text_of("text")))
-    same = (
-        F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
-        & F.col("source").cast("string").eqNullSafe(F.col("_source"))
-        & (F.col("_words") == F.col("_size"))
+    # the row as one value, whatever its columns are called
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("id"),
+        F.col("source").cast("string").alias("from"),
+        word_count(text_of("text")).alias("words"),
+        F.struct("*").alias("doc"),
     )
-    each = Window.partitionBy("_id", "_source", "_size").orderBy("_id")
-    joined = marked.join(taken, same)
-    once = joined.filter("_rows = 1").withColumn("_times", F.col("_copies"))
-    several = joined.filter("_rows > 1").withColumn("_nth", F.row_number().over(each) - 1)
-    several = several.withColumn(
-        "_times",
-        F.floor((F.col("_nth") + 1) * F.col("_copies") / F.col("_rows")) - F.floor(F.col("_nth") * F.col("_copies") / F.col("_rows")),
-    ).drop("_nth")
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & F.col("from").eqNullSafe(F.col("source")) & (F.col("words") == F.col("size"))
+    joined = rows.join(taken, same)
+    nth = F.row_number().over(Window.partitionBy("id", "from", "words").orderBy("id"))
+    upto = lambda n: F.floor(n * F.col("copies") / F.col("rows"))
+    several = joined.filter("rows > 1").withColumn("nth", nth)
+    several = several.withColumn("times", upto(F.col("nth")) - upto(F.col("nth") - 1)).drop("nth")
+    once = joined.filter("rows = 1").withColumn("times", F.col("copies"))
     return (
         once.unionByName(several)
-        .withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_times").cast("int"))))
-        .select(docs.columns)
+        .select("doc", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int"))))
+        .select("doc.*")
     )

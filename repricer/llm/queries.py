@@ -29,10 +29,10 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return language.identified(docs).select(
-        "doc_id",
-        language.is_held_out(F.col("doc_id")).alias("held_out"),
-        F.col("_predicted.lang").alias("lang_pred"),
-        F.col("_predicted.score").alias("score"),
+        "doc.doc_id",
+        language.is_held_out(F.col("doc.doc_id")).alias("held_out"),
+        F.col("predicted.lang").alias("lang_pred"),
+        F.col("predicted.score").alias("score"),
     )
 
 

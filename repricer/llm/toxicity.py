@@ -1,10 +1,11 @@
 """Toxicity grades by cumulative-link ordinal regression on sparse text features.
 
 P(grade >= k) = sigmoid(w . x - theta_k): the weights w are shared by all thresholds, which only move
-the cut. The result is the expected grade, the sum of these probabilities over k.
+the cut. The result is the expected grade, the sum of these probabilities over k. A document is called
+toxic if P(grade >= 1) reaches the value that best tells the toxic documents of the sample from the clean ones.
 
 Features are lower-cased words (runs of letters) and their first four and five letters; a feature's
-value is log(1 + its count). Kept are those that toxic documents of the sample hold at least
+value is 1 + log(its count). Kept are those that toxic documents of the sample hold at least
 RATIO times as often as clean ones. Labels say only whether a document is toxic; documents labelled
 toxic are graded 1 to GRADES by the share of their words that have a kept feature, cut at equal
 parts. Grades given as labels are used as they are.
@@ -57,6 +58,7 @@ class OrdinalModel:
     places: dict[str, int]
     weights: np.ndarray
     thresholds: np.ndarray
+    cut: float = 0.5
     _known: dict[str, list[int]] = field(default_factory=dict)
 
     def vector(self, text: str | None) -> tuple[dict[int, float], float]:
@@ -75,7 +77,7 @@ class OrdinalModel:
                 marked += n
                 for place in found:
                     counts[place] += n
-        return {place: math.log1p(n) for place, n in counts.items()}, marked / total if total else 0.0
+        return {place: 1 + math.log(n) for place, n in counts.items()}, marked / total if total else 0.0
 
     def at_least(self, text: str | None) -> np.ndarray:
         """P(grade >= k) for k from 1."""
@@ -182,16 +184,26 @@ def learn(docs: DataFrame, labels: DataFrame, grades: int = GRADES, sample: int
     model.weights, model.thresholds = fit(
         np.repeat(np.arange(len(table)), many), np.concatenate(table["places"]).astype(np.int64), np.concatenate(table["at"]), given, len(places)
     )
+    p = 1 / (1 + np.exp(model.thresholds[0] - np.array([sum(model.weights[k] * v for k, v in zip(*row)) for row in zip(table["places"], table["at"])])))
+    model.cut = _best_cut(p, toxic)
     return model
 
 
+def _best_cut(p: np.ndarray, toxic: np.ndarray) -> float:
+    """The middle of the gap above which the share of toxic documents exceeds that of clean ones most."""
+    steps = np.unique(p)
+    at_least = lambda kind: 1 - np.searchsorted(np.sort(p[kind]), steps) / kind.sum()
+    best = int(np.argmax(at_least(toxic) - at_least(~toxic)))
+    return float((steps[best] + steps[max(0, best - 1)]) / 2)
+
+
 def graded(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     """Columns doc_id, severity (expected grade), p_toxic (of grade 1 or more), grade (most likely) and toxic, a row per document."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_FEATURES
 
     @F.pandas_udf("severity double, p_toxic double, grade int")
     def grade(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = OrdinalModel(held.value.places, held.value.weights, held.value.thresholds)
+        own = OrdinalModel(held.value.places, held.value.weights, held.value.thresholds, held.value.cut)
         for texts in batches:
             rows = []
             for text in texts:
@@ -200,5 +212,5 @@ def graded(docs: DataFrame, model: OrdinalModel) -> DataFrame:
             yield pd.DataFrame(rows, columns=["severity", "p_toxic", "grade"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), grade("text").alias("_g")).select(
-        "doc_id", "_g.severity", "_g.p_toxic", "_g.grade", (F.col("_g.p_toxic") >= 0.5).alias("toxic")
+        "doc_id", "_g.severity", "_g.p_toxic", "_g.grade", (F.col("_g.p_toxic") >= model.cut).alias("toxic")
     )

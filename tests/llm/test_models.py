@@ -1,0 +1,257 @@
+"""Language, toxicity, page text, token counts and packing: held-out accuracy, round trips and brute force."""
+
+import base64
+import math
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from repricer.llm import html, language, packing, tokencount, toxicity
+
+# language
+
+
+@pytest.fixture(scope="module")
+def speech():
+    """Texts in three invented languages, of different letters mostly."""
+    draw = random.Random(1)
+    letters = {"xx": "abcdeöß", "yy": "mnopqrs", "zz": "жзийклм"}
+
+    def make(lang, words):
+        return " ".join("".join(draw.choice(letters[lang]) for _ in range(draw.randint(2, 6))) for _ in range(words))
+
+    return make
+
+
+def test_language_held_out(documents, speech):
+    draw = random.Random(2)
+    rows = [(i, speech(lang := draw.choice(["xx", "yy", "zz"]), draw.randint(3, 120)), lang) for i in range(400)]
+    truth = {i: lang for i, _, lang in rows}
+    odd = [(1000, None, "xx"), (1001, "", "yy"), (1002, " 12 !? ", "zz"), (None, speech("xx", 9), None), (1003, speech("yy", 40_000), None)]
+    found = language.identified(documents(rows + odd)).select("doc.doc_id", "predicted.*").collect()
+    assert Counter(r["doc_id"] for r in found) == Counter(r[0] for r in rows + odd)
+    by = {r["doc_id"]: r for r in found}
+    held = [i for i in truth if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert len(held) > 80 and sum(by[i]["lang"] == truth[i] for i in held) >= 0.98 * len(held)
+    assert all(by[i]["lang"] == "und" and by[i]["score"] == 0 for i in (1000, 1001, 1002))
+    assert by[1003]["lang"] == "yy" and by[None]["lang"] == "xx" and all(0 <= r["score"] <= 1 for r in found)
+
+
+def test_language_ignores_held_out_labels(documents, speech):
+    rows = [(i, speech("xx" if i % 2 else "yy", 30), "xx" if i % 2 else "yy") for i in range(200)]
+    wrong = [(i, t, "other" if zlib.crc32(str(i).encode()) % 3 == 1 else lang) for i, t, lang in rows]
+    a, b = (language.identified(documents(r)).select("doc.doc_id", "predicted.*").collect() for r in (rows, wrong))
+    assert sorted(a) == sorted(b)
+
+
+def test_language_nothing_to_learn(documents):
+    assert language.identified(documents([(1, "text", None)])).select("predicted.lang").collect()[0][0] == "und"
+    assert language.identified(documents([])).count() == 0
+
+
+def test_slices_lose_no_gram(monkeypatch):
+    text = " ".join(f"ab{i}cd" * (i % 5) for i in range(200))
+    whole = np.concatenate(list(language.gram_hashes(text)))
+    monkeypatch.setattr(language, "_SLICE", 17)
+    assert np.array_equal(whole, np.concatenate(list(language.gram_hashes(text))))
+
+
+def test_more_than_64_languages():
+    grams = {f"l{i:03}": np.arange(i * 100, i * 100 + 50).astype(np.int64) * 7919**3 for i in range(70)}
+    filters = language.LanguageFilters.build(grams)
+    assert filters.masks.shape == (language.SLOTS, 2) and (filters.false_rate < 1e-6).all()
+
+
+# toxicity
+
+
+def test_toxicity_held_out(spark, documents):
+    draw = random.Random(4)
+    words = [f"{a}{b}" for a in "kal mor tin sup der".split() for b in "em an os ir ut el".split()]
+    rude = ["grobian", "grobheit", "lumpig"]
+
+    def make(toxic, n):
+        text = [draw.choice(words) for _ in range(n)]
+        for _ in range(draw.randint(1, 6) if toxic else 0):
+            text.insert(draw.randrange(len(text)), draw.choice(rude))
+        return " ".join(text)
+
+    rows = [(i, make(i % 4 == 0, draw.randint(5, 90))) for i in range(900)]
+    rows += [(None, make(True, 9)), (5000, None), (5001, ""), (5001, make(True, 9))]
+    labels = [(i, 0, int(i % 4 == 0)) for i in range(600)] + [(3, 1, 1), (None, 0, 1), (899, 0, None)]
+    docs = documents(rows)
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    found = toxicity.graded(docs, toxicity.learn(docs, table)).collect()
+    assert Counter(r["doc_id"] for r in found) == Counter(r[0] for r in rows)
+    held = [r for r in found if r["doc_id"] is not None and 600 <= r["doc_id"] < 900]
+    assert all(r["toxic"] == (r["doc_id"] % 4 == 0) for r in held)
+    assert all(0 <= r["severity"] <= 3 for r in found)
+    assert min(r["severity"] for r in held if r["toxic"]) > max(r["severity"] for r in held if not r["toxic"])
+    assert len({r["grade"] for r in held}) > 2
+    none = toxicity.learn(docs, table.filter("toxic = 1"))
+    assert not toxicity.graded(docs, none).filter("toxic OR severity > 0").count()
+    assert toxicity.graded(documents([]), none).count() == 0
+
+
+def test_ordinal_fit_recovers_the_order():
+    draw = np.random.default_rng(0)
+    x = draw.normal(size=(4000, 3))
+    score = x @ np.array([2.0, -1.0, 0.0]) + draw.logistic(size=4000)
+    grades = np.searchsorted([0.0, 1.5, 3.0], score)
+    rows, places = np.indices(x.shape)
+    weights, thresholds = toxicity.fit(rows.ravel(), places.ravel(), x.ravel(), grades, 3, penalty=0.0)
+    assert weights == pytest.approx([2, -1, 0], abs=0.2) and thresholds == pytest.approx([0, 1.5, 3], abs=0.2)
+
+
+# page text
+
+WEIGHTS = {f"word:{name}": 2.0 for name in html.CONTENT} | {"word:other": -0.5, "word:body": 0.5, "word:out": -1.0}
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (None, ""),
+        ("", ""),
+        ("<html><body></body></html>", ""),
+        ("<article><h1>A&amp;B</h1><p>one\n  two<br>three<p>four &lt;x&gt;</article>", "A&B\n\none two three\n\nfour <x>"),
+        ("<nav><p>menu here</p></nav><article><p>text <a href='x'>link</a>.</p></article><footer><p>foot</p></footer>", "text link."),
+        ("<article><p>a b</p><script>var x='</p>';</script><div class=\"ad\"><p>buy now</p></div><p>c d</p></article>", "a b\n\nc d"),
+        ("<article><p>a b</p><section id='user-comments'><p>I disagree</p></section></article>", "a b"),
+        ("<main><form><p>name</p><input></form><p>story goes on</p><aside><p>more</p></aside></main>", "story goes on"),
+        ("<div class=cookieNotice><p>we use cookies a lot here</p></div><p>the story</p>", "the story"),
+        ("<article><p>cut off in the mid&am", "cut off in the mid&am"),
+        ("<article><p>cut off in a tag</p><p cla", "cut off in a tag"),
+        ("<article><!-- <p>no</p> --><p>x &#233; &eacute; y</p><ul><li>i</li><li>j</li></ul></article>", "x é é y\n\ni\n\nj"),
+        ("</p></div><p>badly <b>nested</p></i> again</b></article></p>", "badly nested\n\nagain"),
+        ("<title>t</title><p>only</p><style>p{}</style>", "only"),
+    ],
+)
+def test_main_text(page, text):
+    assert html.main_text(page, WEIGHTS) == text
+
+
+def test_best_run_is_the_highest():
+    draw = random.Random(6)
+    for _ in range(60):
+        page = "".join(draw.choice(["<p>a b c</p>", "<div>q r</div>", "<li>x", "<br>", "<nav>n</nav>", "y "]) for _ in range(12))
+        weights = {k: draw.uniform(-2, 2) for k in WEIGHTS} | {"tag:p": -0.3, "tag:div": -0.8}
+        found, first, last = html.score_page(page, weights)
+        scores = [n * weights.get(k, -1.0) if k[0] == "w" else weights.get(k, html.TAG) for k, _, _, _, n in found]
+        best = max([0.0, *(sum(scores[a:b]) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1))])
+        assert sum(scores[first:last]) == pytest.approx(best)
+
+
+def test_extraction_learns_from_marked_pages(spark):
+    article = "<h1>Title {0}</h1><p>" + "word " * 30 + "</p><p>end {0}</p>"
+    pages = [
+        (i, "u", f"<body><nav><li>menu</li></nav><{'article' if i % 2 else 'div'}>{article.format(i)}</{'article' if i % 2 else 'div'}><footer>foot</footer></body>", "x")
+        for i in range(40)
+    ] + [(None, None, None, None), (41, "u", "", "x"), (0, "u", "<p>again", "x")]
+    rows = html.extracted(spark.createDataFrame(pages, "page_id long, url string, html string, text string")).collect()
+    assert len(rows) == len(pages)
+    expected = Counter((i, f"Title {i}\n\n{'word ' * 29}word\n\nend {i}") for i in range(40)) + Counter([(None, ""), (41, ""), (0, "again")])
+    assert Counter((r["page_id"], r["text"]) for r in rows) == expected
+    assert all(r["n_chars"] == len(r["text"]) for r in rows)
+    assert html.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+# token counts
+
+
+def test_automaton_is_greedy():
+    draw = random.Random(8)
+    for _ in range(400):
+        tokens = {bytes(draw.choice(b"abc") for _ in range(draw.randint(1, 5))) for _ in range(8)}
+        tokens |= {b" " + bytes(draw.choice(b"abc") for _ in range(draw.randint(1, 4))) for _ in range(5)}
+        tokens |= {b"a", b"b", b"c"} if draw.random() < 0.6 else set()
+        counter = tokencount.GreedyCounter(tokens)
+        for _ in range(10):
+            word = bytes(draw.choice(b"abc") for _ in range(draw.randint(0, 12)))
+            assert counter.count(word) == tokencount.greedy_count(tokens, word)
+
+
+def test_token_counts(documents, messy):
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
+        tokens = {base64.b64decode(line.split()[0]) for line in file}
+    known: dict[bytes, int] = {}
+
+    def count(text):
+        words = (text or "").encode().split()
+        for w in words:
+            known.setdefault(w, tokencount.greedy_count(tokens, w))
+        return len(words), sum(known[w] for w in words)
+
+    found = tokencount.counted(documents(messy)).collect()
+    assert Counter(map(tuple, found)) == Counter((i, *count(t)) for i, t, *_ in messy)
+    assert tokencount.counted(documents([])).count() == 0
+
+
+# packing
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@pytest.mark.parametrize("capacity", [1024, 16])
+def test_packing(documents, messy, tokenizer, capacity):
+    rows = packing.packed(documents(messy), capacity, with_ids=True).collect()
+    expected = Counter()
+    for doc_id, text, *_ in messy:
+        ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [2]
+        at, size = 0, len(ids) % capacity or capacity
+        piece = 0
+        while at < len(ids):
+            own = ids[at : at + size]
+            expected[doc_id, piece, at, len(own), zlib.crc32(np.array(own, "<i4").tobytes()), tuple(own)] += 1
+            at, size, piece = at + size, capacity, piece + 1
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"], tuple(r["ids"])) for r in rows) == expected
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for own in bins.values():
+        assert all(a[0] + a[1] == b[0] for a, b in zip(sorted(own), sorted(own)[1:])) and min(own)[0] == 0
+        assert sum(n for _, n in own) <= capacity
+    least = math.ceil(sum(r["length"] for r in rows) / capacity)
+    assert least <= len(bins) <= 1.02 * least + 1
+    assert packing.packed(documents([])).count() == 0
+
+
+def test_fullest_is_the_best_subset():
+    draw = random.Random(9)
+    for _ in range(200):
+        left = {draw.randint(1, 40): draw.randint(1, 3) for _ in range(draw.randint(1, 5))}
+        room = draw.randint(0, 90)
+        taken = packing.fullest(left, room)
+        assert all(n <= left[length] for length, n in Counter(taken).items())
+        sums = {0}
+        for length, n in left.items():
+            sums = {s + k * length for s in sums for k in range(n + 1)}
+        assert sum(taken) == max(s for s in sums if s <= room)
+
+
+def test_plan_uses_every_piece():
+    counts = {length: (length * 7919) % 50 for length in range(1, 1025)} | {1024: 10**9}
+    used = Counter()
+    for combination, times in packing.plan(counts):
+        assert sum(combination) <= 1024
+        for length in combination:
+            used[length] += times
+    assert used == Counter({k: n for k, n in counts.items() if n})
+
+
+def test_chunked_ids_are_the_tokenizers(tokenizer):
+    chunked = packing.ChunkTokenizer()
+    draw = random.Random(10)
+    parts = ["it's", "don't", "a", "Ärger", "12", "3.5", "\U0001f600", " ", "  ", "\n", "\t", " ", "　", "\x1c", "!?", "'s", "<|endoftext|>", "<|", "ß\n"]
+    for _ in range(1500):
+        text = "".join(draw.choice(parts) + draw.choice(["", " ", " "]) for _ in range(draw.randint(0, 9)))
+        assert list(np.frombuffer(chunked.ids(text), "<u4")) == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
