@@ -12,7 +12,8 @@ from repricer.schemas import MODEL
 
 RAW = "value string, timestamp timestamp"
 
-_NUMBER = "decimal(38,6)"
+#: Milliseconds that fit a timestamp.
+_MOST_MILLIS = 9_223_372_036_854_775
 # JSON paths of a message kind's objects with the fields each may hold
 _FIELDS = {
     "click": {"$": ("productId", "productName", "timestamp")},
@@ -68,23 +69,30 @@ def read_raw(
     brokers: str = "",
     options: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Messages as (value, timestamp), the timestamp being the transport's own.
+    """Messages as (value, timestamp, seq), the timestamp and the position being the transport's own.
 
-    `parquet` holds those two columns, `text` one message per line stamped with the file's
-    modification time, `kafka` a topic.
+    `parquet` holds the first two columns, `text` one message per line stamped with the file's
+    modification time, `kafka` a topic. `seq` orders messages of one instant: by offset and
+    partition of a topic (products are its keys, so a product's messages lie in one partition),
+    by file and row of a parquet file, by line of a text file.
     """
     reader = spark.read if bounded else spark.readStream
     if fmt == "kafka":
         chosen = kafka_options(path_or_topic, brokers=brokers, bounded=bounded, options=options)
         loaded = reader.format("kafka").options(**chosen).load()
-        return loaded.select(F.col("value").cast("string").alias("value"), "timestamp")
+        position = F.shiftleft(F.col("offset"), 16) + F.col("partition")
+        return loaded.select(F.col("value").cast("string").alias("value"), "timestamp", position.alias("seq"))
     reader = reader.options(**dict(options or {}))
     if fmt == "text":
         return reader.text(path_or_topic).select(
-            "value", F.col("_metadata.file_modification_time").alias("timestamp")
+            "value",
+            F.col("_metadata.file_modification_time").alias("timestamp"),
+            F.monotonically_increasing_id().alias("seq"),
         )
     if fmt == "parquet":
-        return reader.schema(RAW).parquet(path_or_topic)
+        file = F.pmod(F.xxhash64("_metadata.file_path"), F.lit(1 << 23))
+        position = F.shiftleft(file, 40) + F.col("_metadata.row_index")
+        return reader.schema(RAW).parquet(path_or_topic).select("*", position.alias("seq"))
     raise ValueError(f"unknown format: {fmt}")
 
 
@@ -100,11 +108,29 @@ def _unknown_fields(kind: str) -> Column:
     return found
 
 
+def _whole(text: Column) -> Column:
+    """The integral part of a number given as text, fractions cut off; NULL for what is no number."""
+    digits = F.regexp_extract(text, r"^\s*([+-]?\d+)(?:\.\d*)?\s*$", 1)
+    scientific = text.try_cast("decimal(38,18)")
+    cut = F.when(scientific < 0, F.ceil(scientific)).otherwise(F.floor(scientific))
+    return F.when(digits != "", digits.try_cast("decimal(38,0)")).otherwise(cut.cast("decimal(38,0)"))
+
+
+def _value(name: str) -> Column:
+    """A number field in its own type, rounded once; NULL where it is absent, no number or out of range."""
+    text = F.col(f"_message.{name}")
+    if name.endswith("amount"):
+        return text.try_cast("decimal(18,2)")
+    if name == "timestamp":
+        whole = _whole(text)
+        return F.when(F.abs(whole) <= _MOST_MILLIS, whole.cast("bigint"))
+    return _whole(text).try_cast("int")
+
+
 def _wrong_numbers(kind: str) -> Column:
     bad = F.lit(False)
     for name in _NUMBERS[kind]:
-        text = F.col(f"_message.{name}")
-        bad = bad | (text.isNotNull() & text.try_cast(_NUMBER).isNull())
+        bad = bad | (F.col(f"_message.{name}").isNotNull() & _value(name).isNull())
     return bad
 
 
@@ -130,26 +156,26 @@ def classify_json(raw: DataFrame, kind: str) -> DataFrame:
     )
     if kind == "rule":
         reason = reason.when(_one_sided_rule(), "one_sided_rule")
+    # no state can be kept for it
+    reason = reason.when(F.col("_message.productId").isNull(), "no_product")
     return parsed.withColumn("reason", reason)
 
 
-def _number(name: str, dtype: str) -> Column:
-    """A number field; absent or null gives zero, fractions of integers are cut off."""
-    value = F.col(f"_message.{name}").try_cast(_NUMBER)
-    whole = F.when(value < 0, F.ceil(value)).otherwise(F.floor(value))
-    return F.coalesce(whole.cast(dtype), F.lit(0).cast(dtype))
+def _number(name: str) -> Column:
+    """A number field; absent or null gives zero."""
+    return F.coalesce(_value(name), F.lit(0))
 
 
 def _bound(side: str) -> Column:
     field = F.col(f"_message.priceRule.{side}")
     return F.when(
         field["amount"].isNotNull(),
-        F.struct(field["amount"].try_cast(_NUMBER).cast("decimal(18,2)"), field["currency"]),
+        F.struct(_value(f"priceRule.{side}.amount").alias("amount"), field["currency"]),
     ).cast(MONEY)
 
 
 def bind(classified: DataFrame, kind: str) -> DataFrame:
-    """Typed columns of the messages that can be bound.
+    """Typed columns of the messages that can be bound, with `seq` where the transport gives one.
 
     Clicks live on the time in the message, all other kinds on the transport's.
     """
@@ -158,27 +184,24 @@ def bind(classified: DataFrame, kind: str) -> DataFrame:
         F.col("_message.productId").alias("product_id"),
         F.col("_message.productName").alias("product_name"),
     ]
-    sent = F.timestamp_millis(_number("timestamp", "bigint"))
+    place = ["seq"] if "seq" in classified.columns else []
+    quantity = _number("quantity").alias("quantity") if kind in ("order", "inventory") else None
+    sent = F.timestamp_millis(_number("timestamp")) if kind in ("click", "order") else None
     if kind == "click":
-        return good.select(*product, sent.alias("ts"))
+        return good.select(*product, sent.alias("ts"), *place)
     transport = F.col("timestamp").alias("ts")
     if kind == "order":
-        return good.select(
-            F.col("_message.orderId").alias("order_id"),
-            *product,
-            _number("quantity", "int").alias("quantity"),
-            sent.alias("order_ts"),
-            transport,
-        )
+        order_id = F.col("_message.orderId").alias("order_id")
+        return good.select(order_id, *product, quantity, sent.alias("order_ts"), transport, *place)
     if kind == "inventory":
-        return good.select(*product, _number("quantity", "int").alias("quantity"), transport)
+        return good.select(*product, quantity, transport, *place)
     return good.select(
-        *product, _bound("minPrice").alias("min_price"), _bound("maxPrice").alias("max_price"), transport
+        *product, _bound("minPrice").alias("min_price"), _bound("maxPrice").alias("max_price"), transport, *place
     )
 
 
 def decode_json(raw: DataFrame, kind: str, *, on_error: str = "quarantine") -> tuple[DataFrame, DataFrame]:
-    """Bound messages and the quarantine (value, timestamp, reason).
+    """Bound messages and the quarantine (value, timestamp, reason), which the caller has to deliver.
 
     With `on_error="fail"` reading the first of the two stops at the first bad message.
     """
@@ -194,10 +217,11 @@ def decode_json(raw: DataFrame, kind: str, *, on_error: str = "quarantine") -> t
     return bind(classified, kind), bad
 
 
-def read_events(spark: SparkSession, kind: str, path_or_topic: str, *, on_error: str = "quarantine", **source) -> DataFrame:
-    """One of the four message streams: click, order, inventory or rule."""
-    good, _ = decode_json(read_raw(spark, path_or_topic, **source), kind, on_error=on_error)
-    return good
+def read_events(
+    spark: SparkSession, kind: str, path_or_topic: str, *, on_error: str = "quarantine", **source
+) -> tuple[DataFrame, DataFrame]:
+    """One of the four message streams (click, order, inventory or rule) and its quarantine."""
+    return decode_json(read_raw(spark, path_or_topic, **source), kind, on_error=on_error)
 
 
 def read_model_registry(spark: SparkSession, path: str) -> DataFrame:

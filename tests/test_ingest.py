@@ -49,6 +49,16 @@ def test_rule_bounds_are_rescaled(spark):
         ("click", "[1]", "malformed"),
         ("click", '{"productId":"p","colour":"red"}', "unknown_field"),
         ("click", '{"productId":"p","timestamp":"soon"}', "wrong_type"),
+        ("order", '{"productId":"p","quantity":99999999999}', "wrong_type"),
+        ("order", '{"productId":"p","timestamp":9223372036854776}', "wrong_type"),
+        ("click", '{"productId":"p","timestamp":1e30}', "wrong_type"),
+        ("click", '{"productName":"n","timestamp":5}', "no_product"),
+        ("inventory", '{"productId":null,"quantity":1}', "no_product"),
+        (
+            "rule",
+            '{"productId":"p","priceRule":{"minPrice":{"amount":1e20,"currency":"EUR"},"maxPrice":{"amount":2,"currency":"EUR"}}}',
+            "wrong_type",
+        ),
         ("rule", '{"priceRule":{"minPrice":{"amount":1,"unit":"x"}}}', "unknown_field"),
         ("rule", '{"priceRule":{"minPrice":{"amount":1,"currency":"EUR"}}}', "one_sided_rule"),
     ],
@@ -70,10 +80,10 @@ def test_sources(spark, tmp_path):
     text = '{"productId":"p","productName":"n","quantity":3}'
     raw(spark, text, text, text).write.parquet(str(tmp_path / "raw"))
     (tmp_path / "lines.json").write_text(text + "\n")
-    assert read_events(spark, "inventory", str(tmp_path / "raw")).count() == 3
-    lines = read_events(spark, "inventory", str(tmp_path / "lines.json"), fmt="text").first()
+    assert read_events(spark, "inventory", str(tmp_path / "raw"))[0].count() == 3
+    lines = read_events(spark, "inventory", str(tmp_path / "lines.json"), fmt="text")[0].first()
     assert lines.quantity == 3 and lines.ts is not None
-    assert read_events(spark, "inventory", str(tmp_path / "raw"), bounded=False).isStreaming
+    assert read_events(spark, "inventory", str(tmp_path / "raw"), bounded=False)[0].isStreaming
 
 
 def test_kafka_offsets():
@@ -90,3 +100,28 @@ def test_registry_is_read_with_its_schema(spark, tmp_path):
     )
     row = read_model_registry(spark, str(tmp_path / "models")).first()
     assert row.model_id == "a" and row.bias is None
+
+
+def test_numbers_are_rounded_once(spark):
+    text = (
+        '{"productId":"p","priceRule":{"minPrice":{"amount":1.0049999,"currency":"EUR"},'
+        '"maxPrice":{"amount":"1.005","currency":"EUR"}}}'
+    )
+    rule = decode(spark, "rule", text)[0][0]
+    assert (rule["min_price"]["amount"], rule["max_price"]["amount"]) == (Decimal("1.00"), Decimal("1.01"))
+    texts = ["2.9999999", "-2.9999999999999999999999", "1e2", " 7 ", "2147483647.9"]
+    good, bad = decode(spark, "inventory", *[f'{{"productId":"{i}","quantity":"{t}"}}' for i, t in enumerate(texts)])
+    assert [g["quantity"] for g in good] == [2, -2, 100, 7, 2147483647] and not bad
+
+
+def test_messages_of_one_instant_keep_their_order(spark, tmp_path):
+    texts = [f'{{"productId":"p","quantity":{i}}}' for i in range(50)]
+    raw(spark, *texts).coalesce(1).write.parquet(str(tmp_path / "raw"))
+    (tmp_path / "lines.json").write_text("\n".join(texts))
+    for path, fmt in [("raw", "parquet"), ("lines.json", "text")]:
+        good, _ = read_events(spark, "inventory", str(tmp_path / path), fmt=fmt)
+        assert [r.quantity for r in good.orderBy("ts", "seq").collect()] == list(range(50))
+    streamed, _ = read_events(spark, "inventory", str(tmp_path / "raw"), bounded=False)
+    query = streamed.writeStream.format("memory").queryName("placed").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert [r.quantity for r in spark.table("placed").orderBy("ts", "seq").collect()] == list(range(50))
