@@ -9,10 +9,11 @@ space bounds their overlap) before the texts themselves are compared, once per p
 
 The order comes from a table of counts of fixed size that all documents add to; any order gives the
 same result, counts only make it fast. What is wanted is which documents hang together, so pairs
-are not spelled out: first every shingle's nodes are compared with one of them (another for each
-shingle), and only where nodes of different components still meet in a prefix is every remaining
-pair of them compared, as an ordinary join, which Spark splits where it is skewed. Nodes of very
-common shingles are dealt over several tasks in the first step.
+are not spelled out: in rounds, every shingle's nodes are compared with a few of them (others for each
+shingle and round), and only nodes of different components that meet in a prefix go on. When few
+pairs of these are left, or a round joins hardly any, every one of them is compared, as an ordinary
+join, which Spark splits where it is skewed. Nodes of very common shingles are dealt over several
+tasks when prefixes meet.
 
 Null texts and texts without words have no shingle and link with nothing. Rows that repeat a doc_id
 are linked by their own texts. An empty table gives no rows. Only `doc_id` and `text` are read.
@@ -21,6 +22,7 @@ Shingles are told apart by 64-bit hashes while candidates are sought; pairs are
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,12 +37,16 @@ from repricer.llm.common import written
 from repricer.llm.components import components
 
 #: Counters of the shingle counts, a power of two, and those that travel in one row.
-COUNTERS = 1 << 21
+COUNTERS = 1 << 22
 _CHUNK = 1 << 12
 #: Ranges of the hash space for the suffix filter.
 RANGES = 16
 #: Nodes of a shingle that one task handles in the first step, about.
 HOT = 20_000
+#: Leads that each node of a shingle is compared with in a round.
+LEADS = 4
+#: Pairs for each row that may still pass the filters when all pairs that are left are compared at once.
+FEW = 1
 #: Bits of the map of candidates, at most.
 _MAP_BITS = 1 << 27
 
@@ -201,33 +207,47 @@ def _prefixes(docs: DataFrame, counts, similarity: Similarity) -> DataFrame:
     return docs.select("text").mapInPandas(emit, _PREFIX)
 
 
-def _met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of rows sorted by shingle, part and node: those of shingles with several nodes, each with one of these as its lead.
+def _meet(similarity: Similarity):
+    """Of rows sorted by shingle, part and node: rows (shingle, node, n, at) of shingles with several nodes (or several
+    parts), once each, and the first candidate pairs (a, b, n, m): every node with LEADS others of its shingle and part."""
 
-    The lead differs from shingle to shingle, so that a node meets many others in the end.
-    """
-    rest = None
-    for batch in batches:
-        rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-        last = (rows["shingle"] == rows["shingle"].iat[-1]) & (rows["part"] == rows["part"].iat[-1])
-        rest, rows = rows[last], rows[~last]
-        if len(rows):
-            yield _led(rows)
-    if rest is not None and len(rest):
-        yield _led(rest)
-
-
-def _led(rows: pd.DataFrame) -> pd.DataFrame:
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in batches:
+            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            last = (rows["shingle"] == rows["shingle"].iat[-1]) & (rows["part"] == rows["part"].iat[-1])
+            rest, rows = rows[last], rows[~last]
+            if len(rows):
+                yield from _shared(rows, similarity)
+        if rest is not None and len(rest):
+            yield from _shared(rest, similarity)
+
+    return meet
+
+
+def _shared(rows: pd.DataFrame, similarity: Similarity) -> Iterator[pd.DataFrame]:
     rows = rows.drop_duplicates(["shingle", "part", "node"], ignore_index=True)
     shingle, part = rows["shingle"].to_numpy(), rows["part"].to_numpy()
     starts = np.flatnonzero(np.r_[True, (shingle[1:] != shingle[:-1]) | (part[1:] != part[:-1])])
     sizes = np.diff(np.r_[starts, len(rows)])
-    pick = (shingle[starts].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
-    leads = np.repeat(starts + pick % sizes, sizes)
-    led = rows.assign(
-        lead=rows["node"].to_numpy()[leads], lead_n=rows["n"].to_numpy()[leads], lead_at=rows["at"].to_numpy()[leads]
-    )
-    return led[np.repeat(sizes > 1, sizes) | (part > 0)]
+    node, n, at = rows["node"].to_numpy(), rows["n"].to_numpy(np.int64), rows["at"].to_numpy(np.int64)
+    pairs = []
+    for k in range(LEADS):
+        # another lead for each shingle, so that a node meets many others in the end
+        pick = (shingle[starts].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * k) >> np.uint64(33)).astype(np.int64)
+        lead = np.repeat(starts + pick % sizes, sizes)
+        m = n[lead]
+        good = np.minimum(n, m) * 100 >= np.maximum(n, m) * similarity.percent
+        good &= np.minimum(n - at, m - at[lead]) >= -(-similarity.percent * (n + m) // (100 + similarity.percent))
+        own = np.flatnonzero(good & (lead != np.arange(len(rows))))
+        x, y = np.minimum(own, lead[own]), np.maximum(own, lead[own])  # sorted by node within a shingle
+        pairs.append(pd.DataFrame({"a": node[x], "b": node[y], "size_a": n[x], "size_b": n[y]}))
+    kept = rows[np.repeat(sizes > 1, sizes) | (part > 0)].drop(columns="part")
+    yield kept.assign(a=None, b=None, size_a=None, size_b=None)
+    yield pd.concat(pairs, ignore_index=True).drop_duplicates(["a", "b"]).assign(shingle=None, node=None, n=None, at=None)
+
+
+_MET = "shingle long, node binary, n int, at int, a binary, b binary, size_a int, size_b int"
 
 
 def _can_reach(similarity: Similarity, n: Column, at: Column, m: Column, at_m: Column) -> Column:
@@ -319,48 +339,52 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: Similarity) -> Dat
     )
 
 
-def linked_documents(docs: DataFrame, similarity: Similarity = Similarity()) -> DataFrame:
-    """Columns doc_id, n_shingles, component_id (the smallest doc_id reachable) and node (of its words), a row per document."""
-    spark = docs.sparkSession
-    read = written(_read(docs, similarity.words), "read")
-    counts = spark.sparkContext.broadcast(_total(read.filter("chunk IS NOT NULL").select("chunk", "counts")))
-    rows = read.filter("chunk IS NULL").select("doc_id", "node", "n")
-    nodes = written(
-        rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n")), "nodes"
-    )
-    met = written(
-        _prefixes(docs, counts, similarity)
-        .repartition("shingle", "part")
-        .sortWithinPartitions("shingle", "part", "node")
-        .mapInPandas(_met, f"{_PREFIX}, lead binary, lead_n int, lead_at int"),
-        "met",
-    )
-    meeting = met.select("node").distinct().join(nodes, "node")
-    texts = written(_texts(docs, meeting.select(F.col("first_id").alias("doc_id")), similarity.words).dropDuplicates(["node"]), "texts")
-
-    swapped = F.col("node") > F.col("lead")
-    pick = lambda x, y: F.when(swapped, F.col(y)).otherwise(F.col(x))
-    first_pairs = (
-        met.filter("node != lead")
-        .filter(_can_reach(similarity, F.col("n"), F.col("at"), F.col("lead_n"), F.col("lead_at")))
-        .select(pick("node", "lead").alias("a"), pick("lead", "node").alias("b"), pick("n", "lead_n").alias("n"), pick("lead_n", "n").alias("m"))
-        .distinct()
-    )
-    first_pairs = written(first_pairs, "pairs")
-    links = written(_verified(first_pairs, texts, similarity), "links")
-    joined = written(components(links), "components")
+def _mixed(left: DataFrame, joined: DataFrame) -> tuple[DataFrame, int, int]:
+    """The rows with their new components, of shingles whose nodes are not all in one.
 
-    # where nodes of different components still meet, every pair of them counts
+    With their number, and that of the pairs of nodes of different components that share a shingle.
+    """
     labelled = written(
-        met.select("shingle", "node", "n", "at")
+        left.select("shingle", "node", "n", "at")
         .join(joined, "node", "left")
         .withColumn("component", F.coalesce("component", "node")),
         "labelled",
     )
-    mixed = labelled.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high")
+    same = labelled.groupBy("shingle", "component").agg(F.count("*").cast("double").alias("c"))
+    groups = same.groupBy("shingle").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("inside"))
+    mixed = written(groups.filter(F.col("all") * F.col("all") > F.col("inside")), "mixed")
+    row = mixed.agg(F.sum("all").alias("rows"), F.sum((F.col("all") * F.col("all") - F.col("inside")) / 2).alias("pairs")).first()
     left = written(labelled.join(mixed.select("shingle"), "shingle"), "left")
+    return left, int(row["rows"] or 0), int(row["pairs"] or 0)
+
+
+def _pairs_with_leads(left: DataFrame, similarity: Similarity, step: int) -> DataFrame:
+    """Every node with LEADS nodes of each of its shingles, chosen anew for each shingle and step."""
+    lead = F.struct("node", "n", "at", "component")
+    draw = lambda k: F.xxhash64("node", "shingle", F.lit(step * LEADS + k))
+    leads = left.groupBy("shingle").agg(*[F.min_by(lead, draw(k)).alias(f"lead{k}") for k in range(LEADS)])
+    leads = leads.select("shingle", F.array_distinct(F.array(*[f"lead{k}" for k in range(LEADS)])).alias("leads"))
+    x, y = "node", F.col("lead.node")
+    first = F.col(x) < y
+    return (
+        left.join(written(leads, "leads"), "shingle")
+        .withColumn("lead", F.explode("leads"))
+        .filter((F.col("component") != F.col("lead.component")))
+        .filter(_can_reach(similarity, F.col("n"), F.col("at"), F.col("lead.n"), F.col("lead.at")))
+        .select(
+            F.when(first, F.col(x)).otherwise(y).alias("a"),
+            F.when(first, y).otherwise(F.col(x)).alias("b"),
+            F.when(first, F.col("n")).otherwise(F.col("lead.n")).alias("n"),
+            F.when(first, F.col("lead.n")).otherwise(F.col("n")).alias("m"),
+        )
+        .distinct()
+    )
+
+
+def _every_pair(left: DataFrame, similarity: Similarity) -> DataFrame:
+    """All pairs of nodes of different components that share a shingle."""
     x, y = left.alias("x"), left.alias("y")
-    more = (
+    return (
         x.join(
             y,
             (F.col("x.shingle") == F.col("y.shingle"))
@@ -370,11 +394,46 @@ def linked_documents(docs: DataFrame, similarity: Similarity = Similarity()) ->
         )
         .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m"))
         .distinct()
-        .join(first_pairs.select("a", "b"), ["a", "b"], "left_anti")
     )
-    more_links = written(_verified(written(more, "pairs"), texts, similarity), "links")
-    if not more_links.isEmpty():
-        joined = written(components(links.union(more_links)), "components")
+
+
+def linked_documents(docs: DataFrame, similarity: Similarity = Similarity()) -> DataFrame:
+    """Columns doc_id, n_shingles, component_id (the smallest doc_id reachable) and node (of its words), a row per document."""
+    spark = docs.sparkSession
+    read = written(_read(docs, similarity.words), "read")
+    counts = spark.sparkContext.broadcast(_total(read.filter("chunk IS NOT NULL").select("chunk", "counts")))
+    rows = read.filter("chunk IS NULL").select("doc_id", "node", "n")
+    nodes = written(
+        rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n")), "nodes"
+    )
+    met = written(
+        _prefixes(docs, counts, similarity)
+        .repartition("shingle", "part")
+        .sortWithinPartitions("shingle", "part", "node")
+        .mapInPandas(_meet(similarity), _MET),
+        "met",
+    )
+    left = met.filter("node IS NOT NULL").select("shingle", "node", "n", "at")
+    meeting = left.select("node").distinct().join(nodes, "node")
+    texts = written(_texts(docs, meeting.select(F.col("first_id").alias("doc_id")), similarity.words).dropDuplicates(["node"]), "texts")
+
+    rows_left, pairs_left = left.count(), None
+    pairs = met.filter("a IS NOT NULL").select("a", "b", F.col("size_a").alias("n"), F.col("size_b").alias("m")).distinct()
+    links = None
+    for step in itertools.count(1):
+        pairs = written(pairs, "pairs")
+        share = pairs.count() / max(1, LEADS * rows_left)  # of the pairs looked at, what the filters let pass
+        found = written(_verified(pairs, texts, similarity), "links")
+        links = found if links is None else links.union(found)
+        joined = written(components(links), "components")
+        before = pairs_left
+        left, rows_left, pairs_left = _mixed(left, joined)
+        if share * pairs_left <= FEW * rows_left or before is not None and pairs_left > 0.98 * before:
+            break
+        pairs = _pairs_with_leads(left, similarity, step)
+    found = written(_verified(written(_every_pair(left, similarity), "pairs"), texts, similarity), "links")
+    if not found.isEmpty():
+        joined = written(components(links.union(found)), "components")
 
     # the smallest doc_id of each component, and of copies where there is no link
     least = (
