@@ -39,11 +39,6 @@ def _cells(clicks: DataFrame, width: int, first_end: int, last_end: int, slice_w
     return counted.withColumn("slice", F.explode(slices)).repartition(partitions, "product_id", "slice")
 
 
-def _first_name() -> Column:
-    """Name on the earliest click; equal instants are settled by the name itself."""
-    return F.min_by("product_name", F.struct("first_at", "product_name"))
-
-
 def _window_of(long_end: Column, short_end: Column) -> Column:
     return F.struct(long_end.alias("end"), short_end.cast("bigint").alias("short_end"))
 
@@ -62,12 +57,19 @@ def sliding_rate(
         raise ValueError("window size must be a multiple of its slide")
     minutes = per_minutes or size_us / micros("1 minute")
     ends = F.sequence(F.col("cell") + slide_us, F.col("cell") + size_us, F.lit(slide_us))
+    # the name is that of the earliest click, equal instants settled by the name itself; counted per
+    # name on fixed-width values, which hash aggregation can hold
+    of_window = Window.partitionBy("product_id", "slice", "end").orderBy("first_at", "product_name")
+    whole = of_window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return (
         _cells(clicks, slide_us, slide_us, size_us, slice_us)
         .withColumn("end", F.explode(ends))
         .where(floor_to(F.col("end"), slice_us) == F.col("slice"))
-        .groupBy("product_id", "slice", "end")
-        .agg(F.sum("n").alias("clicks"), _first_name().alias("product_name"))
+        .groupBy("product_id", "slice", "end", "product_name")
+        .agg(F.sum("n").alias("n"), F.min("first_at").alias("first_at"))
+        .withColumn("clicks", F.sum("n").over(whole))
+        .withColumn("nth_name", F.row_number().over(of_window))
+        .where(F.col("nth_name") == 1)
         .select(
             "product_id",
             F.coalesce("product_name", F.lit("")).alias("product_name"),

@@ -14,6 +14,9 @@ from repricer.functions.pricing import linear_price
 from repricer.schemas import MODEL_FIELDS
 
 _DAY = micros("1 day")
+#: Versions, counted once per day in force, that are broadcast: some 20 MB.
+BROADCAST_ROWS = 50_000
+SALTS = 64
 
 # Takes one Arrow batch (product_id, inventory_level, current_demand, competitor_price as
 # float32 features, model_id, artifact_uri) and returns its predicted prices.
@@ -44,22 +47,38 @@ def model_days(registry: DataFrame) -> DataFrame:
     )
 
 
-def attach_model(rows: DataFrame, registry: DataFrame) -> DataFrame:
+def _small(held: DataFrame, most: int) -> DataFrame | None:
+    """The rows as a local table, if there are at most `most`; they are computed once, here."""
+    rows = held.limit(most + 1).collect()
+    return held.sparkSession.createDataFrame(rows, held.schema) if len(rows) <= most else None
+
+
+def attach_model(
+    rows: DataFrame, registry: DataFrame, *, broadcast_rows: int = BROADCAST_ROWS, salts: int = SALTS
+) -> DataFrame:
     """Add the struct `model`, the newest version at `ts`; NULL before the first release.
 
-    An equi-join on the day. Days after the last release share that release's day. The
-    planner broadcasts the versions while they are below its size threshold; above it the
-    join is shuffled and a skewed day is split at run time.
+    An equi-join on the day; days after the last release share that release's day. Up to
+    `broadcast_rows` versions (one per day in force) are computed once and broadcast, and the
+    rows stay where they are. Beyond it the join is shuffled on day and salt, the salt a hash
+    of the product and the versions copied to each, so that no day is one task.
     """
-    last_release = registry.agg(floor_to(F.unix_micros(F.max("effective_ts")), _DAY)).scalar()
     held = model_days(registry)
-    keyed = rows.withColumn("on_day", F.least(floor_to(F.unix_micros("ts"), _DAY), last_release))
+    local = _small(held, broadcast_rows)
+    last_release = registry if local is None else local.select("model.effective_ts")
+    last_day = last_release.agg(floor_to(F.unix_micros(F.max("effective_ts")), _DAY)).scalar()
+    keyed = rows.withColumn("on_day", F.least(floor_to(F.unix_micros("ts"), _DAY), last_day))
     in_force = (
         (F.col("on_day") == F.col("held_day"))
         & (F.col("model.effective_ts") <= F.col("ts"))
         & (F.col("valid_to").isNull() | (F.col("ts") < F.col("valid_to")))
     )
-    return keyed.join(held, in_force, "left").drop("on_day", "held_day", "valid_to")
+    if local is not None:
+        return keyed.join(F.broadcast(local), in_force, "left").drop("on_day", "held_day", "valid_to")
+    dealt = keyed.withColumn("salt", F.pmod(F.xxhash64("product_id", "ts"), F.lit(salts)).cast("int"))
+    copied = held.withColumn("held_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    same = in_force & (F.col("salt") == F.col("held_salt"))
+    return dealt.join(copied, same, "left").drop("on_day", "held_day", "valid_to", "salt", "held_salt")
 
 
 def _scored_by(scorer: Scorer, ctx: Column, model: Column) -> Column:

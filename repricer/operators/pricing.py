@@ -81,7 +81,9 @@ def with_previous_price(emitted: DataFrame) -> DataFrame:
     """
     in_slice = Window.partitionBy("product_id", "slice").orderBy(*ORDER)
     whole = Window.partitionBy("product_id").orderBy("slice", *ORDER)
-    framed = emitted.withColumn("previous_price", F.lag("new_price.amount").over(in_slice)).withColumn(
+    # both uses below read this shuffle, so nothing before it is computed twice
+    placed = emitted.repartition("product_id", "slice")
+    framed = placed.withColumn("previous_price", F.lag("new_price.amount").over(in_slice)).withColumn(
         "is_last", F.lead("ts").over(in_slice).isNull()
     )
     is_first = F.col("previous_price").isNull()

@@ -24,20 +24,16 @@ EMERGENCY_TTL = "10 minutes"
 ORDER = ("ts", "rank", "seq", "metric_type", "product_name")
 
 
-def _inherited(log: DataFrame) -> DataFrame:
-    """For each (product, slice) the last values of all earlier slices, as column `before`."""
-    last = [
-        F.max_by(name, F.when(F.col(name).isNotNull(), F.struct(*ORDER))).alias(name) for name in PAYLOADS
-    ]
+def _inherited(in_slice: DataFrame) -> DataFrame:
+    """For each (product, slice) the last values of all earlier slices, as column `before`.
+
+    A slice's last row holds the last values of the slice already.
+    """
     earlier = (
         Window.partitionBy("product_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     )
     before = [F.last(name, ignorenulls=True).over(earlier).alias(name) for name in PAYLOADS]
-    return (
-        log.groupBy("product_id", "slice")
-        .agg(*last)
-        .select("product_id", "slice", F.struct(*before).alias("before"))
-    )
+    return in_slice.where("is_last").select("product_id", "slice", F.struct(*before).alias("before"))
 
 
 def state_asof(log: DataFrame, *, slice_width: str = DEFAULT_SLICE) -> DataFrame:
@@ -59,9 +55,10 @@ def state_asof(log: DataFrame, *, slice_width: str = DEFAULT_SLICE) -> DataFrame
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     held = [F.last(name, ignorenulls=True).over(so_far).alias(name) for name in PAYLOADS]
-    in_slice = sliced.select("product_id", "slice", *ORDER, *held)
+    is_last = F.lead(F.lit(1)).over(Window.partitionBy("product_id", "slice").orderBy(*ORDER)).isNull()
+    in_slice = sliced.select("product_id", "slice", *ORDER, *held, is_last.alias("is_last"))
     known = [F.coalesce(F.col(name), F.col(f"before.{name}")).alias(name) for name in PAYLOADS]
-    return in_slice.join(_inherited(sliced), ["product_id", "slice"], "left").select(
+    return in_slice.join(_inherited(in_slice), ["product_id", "slice"], "left").select(
         "product_id", *ORDER, "slice", *known
     )
 
@@ -94,14 +91,15 @@ def inactivity_resets(
     clicks: DataFrame,
     *,
     gap: str = "5 minutes",
-    close_tail: bool = False,
+    close_tail: bool = True,
     slice_width: str = DEFAULT_SLICE,
 ) -> DataFrame:
     """An instant `gap` after each click that saw no newer click until later than that.
 
     The next click is looked up inside a time slice. A slice's last click takes it from the
     first one of the product's next slice: only those edge rows, two per slice, are ordered
-    across the whole product. `close_tail` also resets after a product's last click.
+    across the whole product. A product's last click is followed by a reset too, as its
+    timer needs no later click; without `close_tail` it is left out, for a log that goes on.
     """
     gap_us, width = micros(gap), micros(slice_width)
     in_slice = Window.partitionBy("product_id", "slice").orderBy("ts", "seq")
@@ -109,6 +107,7 @@ def inactivity_resets(
     framed = (
         clicks.select("product_id", "product_name", "ts", "seq")
         .withColumn("slice", slice_start(F.col("ts"), width))
+        .repartition("product_id", "slice")
         .withColumn("next_ts", F.lead("ts").over(in_slice))
         .withColumn("is_first", F.lag("ts").over(in_slice).isNull())
     )

@@ -5,17 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from repricer.functions.intervals import floor_to, micros
-
-
-def _with_halo(orders: DataFrame, within: int, width: int) -> DataFrame:
-    """Each order in its own time slice, and again in the next one when it lies in the
-    last `within` of its slice: every run then lies whole inside one slice."""
-    at = F.unix_micros("ts")
-    own = floor_to(at, width)
-    return orders.withColumn(
-        "slice", F.explode(F.sequence(own, floor_to(at + within, width), F.lit(width)))
-    ).withColumn("is_halo", F.col("slice") != own)
+from repricer.functions.intervals import micros, slice_start
 
 
 def surge_runs(
@@ -28,21 +18,36 @@ def surge_runs(
     """One row per run of `n` consecutive orders spanning strictly less than `within`.
 
     Runs may overlap: k orders close together give k - n + 1 rows, each at its last order.
-    The product is cut into time slices, so a product with most of the orders is spread
-    over many tasks; slices must not be shorter than `within`.
+    The product is cut into time slices, so a product with most of the orders is spread over
+    many tasks. Inside a slice a run's first order is found where it is; the first n - 1
+    orders of a slice find it among the last n - 1 of the slices before, and only these edge
+    rows are ordered across the whole product. The width of a slice does not depend on `within`.
     """
-    within_us, width = micros(within), micros(slice_width)
-    if width < within_us:
-        raise ValueError("slice_width must be at least as long as within")
+    within_us = micros(within)
     in_slice = Window.partitionBy("product_id", "slice").orderBy("ts", "seq")
-    return (
-        _with_halo(orders.select("product_id", "product_name", "ts", "seq"), within_us, width)
-        .withColumn("first_ts", F.lag("ts", n - 1).over(in_slice))
-        .withColumn("first_name", F.lag("product_name", n - 1).over(in_slice))
-        .where(
-            ~F.col("is_halo")
-            & (F.unix_micros("ts") - F.unix_micros("first_ts") < within_us)
+    whole = Window.partitionBy("product_id").orderBy("ts", "seq")
+
+    def first_of_run(rows: DataFrame, window) -> DataFrame:
+        return rows.withColumn("first_ts", F.lag("ts", n - 1).over(window)).withColumn(
+            "first_name", F.lag("product_name", n - 1).over(window)
         )
+
+    sliced = (
+        orders.select("product_id", "product_name", "ts", "seq")
+        .withColumn("slice", slice_start(F.col("ts"), micros(slice_width)))
+        .repartition("product_id", "slice")
+    )
+    placed = sliced.withColumn("nth", F.row_number().over(in_slice))
+    inner = first_of_run(placed, in_slice).where(F.col("nth") >= n)
+    early = F.col("nth") < n
+    edges = (
+        placed.withColumn("is_late", F.lead("ts", n - 1).over(in_slice).isNull())
+        .where(early | F.col("is_late"))
+        .drop("is_late")
+    )
+    return (
+        inner.unionByName(first_of_run(edges, whole).where(early))
+        .where(F.unix_micros("ts") - F.unix_micros("first_ts") < within_us)
         .select("product_id", F.col("first_name").alias("product_name"), "first_ts", "ts", "seq")
     )
 

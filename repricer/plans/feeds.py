@@ -18,11 +18,11 @@ from repricer.operators.surge import surge_adjustments, surge_runs
 from repricer.schemas import RANK
 from repricer.sources.tables import STREAMS, Sample, competitor_price, quantity, rule_bounds
 
-SURGE = {"n": 3, "within": "24 hours", "slice_width": "10 days"}
-LINE_SURGE = {"n": 3, "within": "90 days", "slice_width": "400 days"}
+SURGE = {"n": 3, "within": "24 hours", "slice_width": "1 hour"}
+LINE_SURGE = {"n": 3, "within": "90 days", "slice_width": "30 days"}
 GAP = "1 day"
 TTL = "12 hours"
-SLICE = "10 days"
+SLICE = "1 hour"
 
 
 def updates(sample: Sample) -> DataFrame:

@@ -51,7 +51,7 @@ _RESETS = """
 resets AS (
   SELECT product_id, product_name, ts + INTERVAL '1 day' AS ts, seq, ts AS last_click_ts FROM (
     SELECT *, lead(ts) OVER (PARTITION BY product_id ORDER BY ts, seq) AS next_ts FROM clicks
-  ) WHERE next_ts > ts + INTERVAL '1 day'
+  ) WHERE next_ts IS NULL OR next_ts > ts + INTERVAL '1 day'
 )
 """
 _NONE = {
@@ -213,15 +213,15 @@ def _typed(columns: str = "*") -> str:
 
 
 ORACLE: dict[str, str] = {
-    "decode_clicks": f"WITH {_FEEDS} SELECT product_id, product_name, date_trunc('millisecond', ts) AS ts FROM clicks",
+    "decode_clicks": f"WITH {_FEEDS} SELECT product_id, product_name, date_trunc('millisecond', ts) AS ts, seq FROM clicks",
     "decode_orders": f"""WITH {_FEEDS} SELECT CAST(seq AS VARCHAR) AS order_id, product_id, product_name,
-        CAST(floor(value) AS INTEGER) AS quantity, date_trunc('millisecond', ts) AS order_ts, ts
+        CAST(floor(value) AS INTEGER) AS quantity, date_trunc('millisecond', ts) AS order_ts, ts, seq
         FROM ev WHERE event_type = 'purchase'""",
     "decode_inventory": f"""WITH {_FEEDS} SELECT product_id, product_name,
-        CAST(floor(value) AS INTEGER) AS quantity, ts FROM ev WHERE event_type = 'signup'""",
+        CAST(floor(value) AS INTEGER) AS quantity, ts, seq FROM ev WHERE event_type = 'signup'""",
     "decode_rules": f"""WITH {_FEEDS} SELECT product_id, product_name,
         CAST(value AS DECIMAL(18,2))::DOUBLE AS min_price_amount, 'EUR' AS min_price_currency,
-        (CAST(value AS DECIMAL(18,2)) * 3)::DOUBLE AS max_price_amount, 'EUR' AS max_price_currency, ts
+        (CAST(value AS DECIMAL(18,2)) * 3)::DOUBLE AS max_price_amount, 'EUR' AS max_price_currency, ts, seq
         FROM ev WHERE event_type = 'error'""",
     "decode_quarantine": """
         SELECT CASE event_type WHEN 'click' THEN 'malformed' WHEN 'view' THEN 'unknown_field'

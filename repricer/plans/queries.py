@@ -59,7 +59,7 @@ def damaged_messages(sample: Sample) -> DataFrame:
         F.when(kind == "click", F.expr("substr(whole, 1, length(whole) - 1)"))
         .when(kind == "view", F.to_json(F.struct(F.lit("x").alias("colour"), order["orderId"].alias("orderId"))))
         .when(kind == "error", F.to_json(F.struct(order["orderId"].alias("orderId"), F.lit("many").alias("quantity"))))
-        .when(kind == "signup", F.to_json(F.struct(order["orderId"].alias("orderId"))))
+        .when(kind == "signup", F.to_json(F.struct(order["orderId"].alias("orderId"), order["productId"].alias("productId"))))
         .otherwise(F.col("whole"))
     )
     return rows.withColumn("whole", whole).select(value.alias("value"), F.col("ts").alias("timestamp"))

@@ -167,4 +167,4 @@ class Sample:
                 *product, F.struct(bound(1).alias("minPrice"), bound(3).alias("maxPrice")).alias("priceRule")
             ),
         }[kind]
-        return self.events(kind).select(F.to_json(record).alias("value"), F.col("ts").alias("timestamp"))
+        return self.events(kind).select(F.to_json(record).alias("value"), F.col("ts").alias("timestamp"), "seq")

@@ -81,9 +81,13 @@ def test_surge_across_slices_and_names(rows, second):
     assert {r.adjustment_factor for r in surge_adjustments(surge_runs(orders)).collect()} == {1.2}
 
 
-def test_short_slices_are_refused(rows):
-    with pytest.raises(ValueError):
-        surges(rows, [0], slice_width="30 seconds")
+@pytest.mark.parametrize("width", ["1 second", "7 seconds", "30 seconds", "1 hour"])
+def test_runs_do_not_depend_on_the_slices(rows, width):
+    times = [t for start in (0, 40, 55, 300, 320) for t in range(start, start + 9, 2)] + [900 + 6.5 * i for i in range(12)]
+    ordered = sorted(times)
+    got = surges(rows, ordered, slice_width=width)
+    runs = [(i, i + 9) for i in range(len(ordered) - 9) if ordered[i + 9] - ordered[i] < 60]
+    assert sorted(r.seq for r in got.collect()) == [last for _, last in runs]
 
 
 def test_resets(rows, second):
@@ -91,11 +95,11 @@ def test_resets(rows, second):
         got = inactivity_resets(clicks_at(rows, *times), **options).selectExpr(second("ts"), "seq")
         return sorted(map(tuple, got.collect()))
 
-    assert resets(0, 360) == [(300, 0)]
-    assert resets(0, 300) == []
-    assert resets(0, 300.001) == [(300, 0)]
-    assert resets(0, 360, close_tail=True) == [(300, 0), (660, 1)]
-    assert resets(0, 10, 50_000, 50_010, slice_width="1 minute") == [(310, 1)]
+    assert resets(0, 360) == [(300, 0), (660, 1)]
+    assert resets(0, 360, close_tail=False) == [(300, 0)]
+    assert resets(0, 300, close_tail=False) == []
+    assert resets(0, 300.001, close_tail=False) == [(300, 0)]
+    assert resets(0, 10, 50_000, 50_010, slice_width="1 minute") == [(310, 1), (50_310, 3)]
 
 
 # --- state and pricing over one small event log -------------------------------------------
