@@ -5,7 +5,8 @@ from __future__ import annotations
 import time
 from collections import deque
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+from queue import Empty, Queue
+from threading import Thread
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -40,23 +41,39 @@ def parse_competitor_response(responses: DataFrame) -> DataFrame:
     )
 
 
-def _fetch_all(ids: list[str], fetch: Fetch, pool: ThreadPoolExecutor, timeout: float, capacity: int) -> dict:
-    """Fetch each id once with at most `capacity` calls in flight; a failed or late call gives no status."""
-    waiting, answers = deque(), {}
+def _fetch_all(ids: list[str], fetch: Fetch, timeout: float, capacity: int) -> dict:
+    """Fetch each id once, with at most `capacity` calls waited for; a failed or late call gives no status.
 
-    def settle() -> None:
-        product, call, deadline = waiting.popleft()
+    The time of a call runs from its start. A late one is given up and its place goes to the next id, so
+    calls that hang delay others by `timeout` at most. Their threads end with the calls: a fetch
+    that has a timeout of its own leaves none behind.
+    """
+    waiting, answers = deque(ids), {}
+    running: dict[str, float] = {}
+    done: Queue[tuple[str, tuple[int | None, str | None]]] = Queue()
+
+    def call(product: str) -> None:
+        try:
+            answer = fetch(product)
+        except Exception:  # a refused or broken answer is an error row, never a failed task
+            answer = (None, None)
+        done.put((product, answer))
+
+    while waiting or running:
+        while waiting and len(running) < capacity:
+            product = waiting.popleft()
+            running[product] = time.monotonic() + timeout
+            Thread(target=call, args=(product,), daemon=True).start()
         try:
-            answers[product] = call.result(timeout=max(0.0, deadline - time.monotonic()))
-        except Exception:  # a refused, broken or late answer is an error row, never a failed task
-            answers[product] = (None, None)
-
-    for product in ids:
-        if len(waiting) >= capacity:
-            settle()
-        waiting.append((product, pool.submit(fetch, product), time.monotonic() + timeout))
-    while waiting:
-        settle()
+            product, answer = done.get(timeout=max(0.0, min(running.values()) - time.monotonic()))
+            if product in running:
+                answers[product] = answer
+                del running[product]
+        except Empty:
+            now = time.monotonic()
+            for product in [p for p, deadline in running.items() if deadline <= now]:
+                answers[product] = (None, None)
+                del running[product]
     return answers
 
 
@@ -64,17 +81,13 @@ def _responses(rows: DataFrame, fetch: Fetch, timeout_ms: int, capacity: int) ->
     """Rows with the status and body of their product; one call per product and Arrow batch."""
 
     def call_service(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pool = ThreadPoolExecutor(max_workers=capacity)
-        try:
-            for batch in batches:
-                ids = batch["product_id"].dropna().unique().tolist()
-                answers = _fetch_all(ids, fetch, pool, timeout_ms / 1000, capacity)
-                pairs = [answers.get(product, (None, None)) for product in batch["product_id"]]
-                batch["status"] = pd.array([status for status, _ in pairs], dtype="Int32")
-                batch["body"] = [body for _, body in pairs]
-                yield batch
-        finally:
-            pool.shutdown(wait=False, cancel_futures=True)
+        for batch in batches:
+            ids = batch["product_id"].dropna().unique().tolist()
+            answers = _fetch_all(ids, fetch, timeout_ms / 1000, capacity)
+            pairs = [answers.get(product, (None, None)) for product in batch["product_id"]]
+            batch["status"] = pd.array([status for status, _ in pairs], dtype="Int32")
+            batch["body"] = [body for _, body in pairs]
+            yield batch
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInPandas(call_service, f"{fields}, status int, body string")
@@ -114,8 +127,14 @@ def lookup_competitor(
 
 
 def lookup_competitor_table(clicks: DataFrame, responses: DataFrame, *, on_error: str = "zero") -> DataFrame:
-    """The same from a table of answers, one row per product; a product not listed is unknown (404)."""
-    listed = responses.select("product_id", "status", "body", F.lit(True).alias("is_listed"))
+    """The same from a table of answers; a product not listed is unknown (404).
+
+    Of several answers for a product the newest counts (by `ts` where the table has it), so that a
+    click gets one price; equally new ones are settled by status and body.
+    """
+    order = ["ts", "status", "body"] if "ts" in responses.columns else ["status", "body"]
+    newest = responses.groupBy("product_id").agg(F.max(F.struct(*order)).alias("answer"))
+    listed = newest.select("product_id", "answer.status", "answer.body", F.lit(True).alias("is_listed"))
     answered = clicks.select("product_id", "ts", "seq").join(listed, "product_id", "left")
     return _as_updates(
         answered.withColumn("status", F.when(F.col("is_listed"), F.col("status")).otherwise(404)), on_error

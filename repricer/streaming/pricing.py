@@ -12,6 +12,7 @@ import time
 from collections.abc import Callable, Iterator
 from decimal import Decimal
 
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -62,11 +63,16 @@ def _ddl(fields: dict[str, str]) -> str:
 class RegistryReader:
     """Newest model version in a registry folder, read again at most every `refresh` seconds.
 
-    Runs inside the tasks; the registry is refused beyond `max_versions` rows.
+    Runs inside the tasks, so the folder is given as a URI of storage that all executors see.
+    A damaged file fails the task, as an older version in its place would go unnoticed; so does
+    a missing folder, unless `allow_missing` says that there may be no model yet. Any number of
+    versions can be held: they are read in batches and only the newest so far is kept.
     """
 
-    def __init__(self, path: str, *, refresh: float = 10.0, max_versions: int = 10_000):
-        self._path, self._refresh, self._max = path, refresh, max_versions
+    def __init__(self, uri: str, *, refresh: float = 10.0, allow_missing: bool = False):
+        if "://" not in uri and not uri.startswith("file:"):
+            raise ValueError(f"not a URI of shared storage: {uri}")
+        self._uri, self._refresh, self._allow_missing = uri, refresh, allow_missing
         self._read_at, self._model = None, None
 
     def __call__(self) -> dict | None:
@@ -79,13 +85,24 @@ class RegistryReader:
         import pyarrow.dataset as ds
 
         try:
-            versions = ds.dataset(self._path, format="parquet", exclude_invalid_files=True)
+            versions = ds.dataset(self._uri, format="parquet", exclude_invalid_files=False)
         except FileNotFoundError:
-            return None
-        if versions.count_rows() > self._max:
-            raise ValueError(f"model registry holds more than {self._max} versions")
-        rows = versions.to_table(columns=list(MODEL_FIELDS)).to_pylist()
-        return max(rows, key=lambda r: (r["effective_ts"], r["model_id"]), default=None)
+            if self._allow_missing:
+                return None
+            raise
+        newest = None
+        for batch in versions.to_batches(columns=list(MODEL_FIELDS)) if versions.files else ():
+            if not batch.num_rows:
+                continue
+            order = [("effective_ts", "descending"), ("model_id", "descending")]
+            row = batch.take(pc.select_k_unstable(batch, 1, order)).to_pylist()[0]
+            if newest is None or _age(row) > _age(newest):
+                newest = row
+        return newest
+
+
+def _age(model: dict) -> tuple:
+    return model["effective_ts"], model["model_id"]
 
 
 class _ContextKeeper(StatefulProcessor):
@@ -94,82 +111,100 @@ class _ContextKeeper(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._demand = handle.getValueState("demand", "current_demand double, historical_average double")
-        self._quantity = handle.getValueState("inventory", "quantity int")
-        self._competitor = handle.getValueState("competitor", "amount decimal(18,2), currency string")
-        self._rule = handle.getValueState(
-            "rule",
-            "min_amount decimal(18,2), min_currency string, max_amount decimal(18,2), max_currency string",
-        )
-        self._emergency = handle.getValueState("emergency", "factor double", self._ttl_ms)
-        self._previous = handle.getValueState("previous", _ddl(_FACTS))
+        self._states = {
+            "demand": handle.getValueState("demand", "current_demand double, historical_average double"),
+            "inventory": handle.getValueState("inventory", "quantity int"),
+            "competitor": handle.getValueState("competitor", "amount decimal(18,2), currency string"),
+            "rule": handle.getValueState(
+                "rule",
+                "min_amount decimal(18,2), min_currency string, max_amount decimal(18,2), max_currency string",
+            ),
+            "emergency": handle.getValueState("emergency", "factor double", self._ttl_ms),
+            "previous": handle.getValueState("previous", _ddl(_FACTS)),
+        }
         self._deadline = handle.getValueState("inactivity", "at_ms bigint")
         self._click_name = handle.getValueState("click_name", "product_name string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        """State is read once, the rows are applied to it, and what changed is written once."""
         now = timerValues.getCurrentProcessingTimeInMs()
+        model, held, changed, clicked = self._latest_model(), self._held(), set(), None
         # one product's share of one micro-batch, bounded by the source's per-trigger limits
-        ordered = sorted(rows, key=lambda r: (r.ts, r.rank, r.seq))
-        for row in ordered:
-            self._remember(row)
+        for row in sorted(rows, key=lambda r: (r.ts, r.rank, r.seq)):
+            for name, value in _news(row):
+                held[name] = value
+                changed.add(name)
             if row.metric_type == "CLICK":
-                self._restart_timer(now, row.product_name)
-            if row.metric_type in TRIGGERS:
-                yield from self._emit(key[0], row.product_name, row.metric_type, now)
+                clicked = row
+            if row.metric_type in TRIGGERS and (facts := _facts(held, model)):
+                yield _priced(key[0], row.product_name, row.metric_type, now, facts, held["previous"])
+                held["previous"] = facts
+                changed.add("previous")
+        for name in changed:
+            self._states[name].update(held[name])
+        if clicked is not None:
+            if self._deadline.exists():
+                self._handle.deleteTimer(self._deadline.get()[0])
+            self._handle.registerTimer(now + self._gap_ms)
+            self._deadline.update((now + self._gap_ms,))
+            self._click_name.update((clicked.product_name,))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         due = expiredTimerInfo.getExpiryTimeInMs()
         if not self._deadline.exists() or self._deadline.get()[0] != due:
             return
         name = self._click_name.get()[0] if self._click_name.exists() else None
-        for state in (self._demand, self._deadline, self._click_name):
+        for state in (self._states["demand"], self._deadline, self._click_name):
             state.clear()
-        yield from self._emit(key[0], name, "RESET", timerValues.getCurrentProcessingTimeInMs())
+        held = self._held()
+        if facts := _facts(held, self._latest_model()):
+            now = timerValues.getCurrentProcessingTimeInMs()
+            yield _priced(key[0], name, "RESET", now, facts, held["previous"])
+            self._states["previous"].update(facts)
 
     def close(self) -> None:
         pass
 
-    def _remember(self, row: Row) -> None:
-        if row.has_demand:
-            self._demand.update((row.current_demand, row.historical_average))
-        if row.quantity is not None:
-            self._quantity.update((row.quantity,))
-        if row.has_competitor:
-            self._competitor.update((row.competitor_amount, row.competitor_currency))
-        if row.has_rule:
-            self._rule.update((row.min_amount, row.min_currency, row.max_amount, row.max_currency))
-        if row.factor is not None:
-            self._emergency.update((row.factor,))
-
-    def _restart_timer(self, now: int, name: str | None) -> None:
-        if self._deadline.exists():
-            self._handle.deleteTimer(self._deadline.get()[0])
-        self._handle.registerTimer(now + self._gap_ms)
-        self._deadline.update((now + self._gap_ms,))
-        self._click_name.update((name,))
-
-    def _emit(self, product: str, name: str | None, metric_type: str, now: int) -> Iterator[Row]:
-        model = self._latest_model()
-        if model is None:
-            return
+    def _held(self) -> dict[str, tuple | None]:
+        return {name: tuple(state.get()) if state.exists() else None for name, state in self._states.items()}
 
-        def held(state, default: tuple) -> tuple:
-            return tuple(state.get()) if state.exists() else default
 
-        facts = (
-            *held(self._demand, (0.0, 0.0)),
-            *held(self._quantity, (0,)),
-            *held(self._competitor, (Decimal("0.00"), DEFAULT_CURRENCY)),
-            *held(self._rule, (None, None, None, None)),
-            *held(self._emergency, (1.0,)),
-            *(model[field] for field in _MODEL_VALUES),
-        )
-        if not _same_currency(dict(zip(_FACTS, facts, strict=True))):
-            return
-        before = tuple(self._previous.get()) if self._previous.exists() else None
-        self._previous.update(facts)
-        values = (product, name, metric_type, now, *facts, before is not None, *(before or (None,) * len(facts)))
-        yield Row(*_OUTPUT)(*values)
+# what a product has before anything is known of it
+_DEFAULTS = {
+    "demand": (0.0, 0.0),
+    "inventory": (0,),
+    "competitor": (Decimal("0.00"), DEFAULT_CURRENCY),
+    "rule": (None, None, None, None),
+    "emergency": (1.0,),
+}
+
+
+def _news(row: Row) -> Iterator[tuple[str, tuple]]:
+    """The states that a row changes, with their values."""
+    if row.has_demand:
+        yield "demand", (row.current_demand, row.historical_average)
+    if row.quantity is not None:
+        yield "inventory", (row.quantity,)
+    if row.has_competitor:
+        yield "competitor", (row.competitor_amount, row.competitor_currency)
+    if row.has_rule:
+        yield "rule", (row.min_amount, row.min_currency, row.max_amount, row.max_currency)
+    if row.factor is not None:
+        yield "emergency", (row.factor,)
+
+
+def _facts(held: dict[str, tuple | None], model: dict | None) -> tuple | None:
+    """What a price is computed from; nothing without a model or with currencies that differ."""
+    if model is None:
+        return None
+    facts = tuple(value for name, default in _DEFAULTS.items() for value in held[name] or default)
+    facts += tuple(model[field] for field in _MODEL_VALUES)
+    return facts if _same_currency(dict(zip(_FACTS, facts, strict=True))) else None
+
+
+def _priced(product: str, name: str | None, metric_type: str, now: int, facts: tuple, before: tuple | None) -> Row:
+    values = (product, name, metric_type, now, *facts, before is not None, *(before or (None,) * len(facts)))
+    return Row(*_OUTPUT)(*values)
 
 
 def _same_currency(facts: dict) -> bool:

@@ -79,3 +79,26 @@ def test_table_of_answers(rows, spark):
     )
     got = {r.seq: (str(r.price.amount), r.is_error) for r in lookup_competitor_table(clicks, answers).collect()}
     assert got == {0: ("1.50", False), 1: ("0.00", True), 2: ("0.00", False)}
+
+
+def test_hung_calls_do_not_starve_others(rows):
+    def sometimes(product):
+        if product.startswith("hung"):
+            time.sleep(30)
+        return 200, '{"price": 7.0}'
+
+    names = [f"hung{i}" for i in range(4)] + [f"ok{i}" for i in range(8)]
+    clicks = rows(CLICK, *[(name, 0.0, i) for i, name in enumerate(names)])
+    got = lookup_competitor(clicks, sometimes, timeout_ms=1000, capacity=4, tasks=1)
+    answered = {r.product_id: r.is_error for r in got.collect()}
+    assert answered == {name: name.startswith("hung") for name in names}
+
+
+def test_a_click_gets_one_price_of_several_answers(spark, rows):
+    clicks = rows(CLICK, ("a", 0.0, 0), ("b", 1.0, 1))
+    answers = spark.createDataFrame(
+        [("a", 1, 200, '{"price": 1}'), ("a", 3, 200, '{"price": 3}'), ("a", 2, 500, None)], "product_id string, t long, status int, body string"
+    ).selectExpr("product_id", "timestamp_seconds(t) ts", "status", "body")
+    for table, price in [(answers, "3.00"), (answers.drop("ts"), "0.00")]:
+        got = {r.seq: str(r.price.amount) for r in lookup_competitor_table(clicks, table).collect()}
+        assert got == {0: price, 1: "0.00"}

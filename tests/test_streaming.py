@@ -234,15 +234,25 @@ def test_delivery(streaming, tmp_path):
     assert messages(priced).isStreaming
 
 
+def versions(spark, count):
+    return spark.range(count).selectExpr(
+        "concat('m', id) model_id", "timestamp_seconds(1735689600 + id) effective_ts", "'linear' kind",
+        "cast(1 as decimal(18,4)) bias", "cast(0 as decimal(10,4)) w_inventory", "cast(0 as decimal(10,4)) w_demand",
+        "cast(0 as decimal(10,4)) w_competitor", "cast(null as string) artifact_uri",
+    )
+
+
 def test_registry_reader(spark, tmp_path):
-    reader = RegistryReader(str(tmp_path / "models"), refresh=0.0)
-    assert reader() is None
-    for name, day in [("b", 2), ("a", 1)]:
-        spark.sql(
-            f"select '{name}' model_id, timestamp'2025-01-0{day}' effective_ts, 'linear' kind, cast(1 as decimal(18,4)) bias, "
-            "cast(0 as decimal(10,4)) w_inventory, cast(0 as decimal(10,4)) w_demand, cast(0 as decimal(10,4)) w_competitor, "
-            "cast(null as string) artifact_uri"
-        ).write.mode("append").parquet(str(tmp_path / "models"))
-    assert reader()["model_id"] == "b"
+    folder = tmp_path / "models"
     with pytest.raises(ValueError):
-        RegistryReader(str(tmp_path / "models"), max_versions=1)()
+        RegistryReader(str(folder))
+    with pytest.raises(FileNotFoundError):
+        RegistryReader(folder.as_uri())()
+    reader = RegistryReader(folder.as_uri(), refresh=0.0, allow_missing=True)
+    assert reader() is None
+    for first in (0, 1):
+        versions(spark, 12_000).where(f"cast(substr(model_id, 2) as int) % 2 = {first}").write.mode("append").parquet(str(folder))
+        assert reader()["model_id"] == f"m{11_998 + first}"
+    (folder / "damaged.parquet").write_bytes(b"PAR1 not a model")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        reader()
