@@ -2,7 +2,7 @@
 
 P(grade >= k) = sigmoid(w . x - theta_k): the weights w are shared by all thresholds, which only move
 the cut. The result is the expected grade, the sum of these probabilities over k. A document is called
-toxic if P(grade >= 1) reaches the value that best tells the toxic documents of the sample from the clean ones.
+toxic if P(grade >= 1) reaches the value that would make the fewest errors among all labelled documents.
 
 Features are lower-cased words (runs of letters) and their first four and five letters; a feature's
 value is 1 + log(its count). Kept are those that toxic documents of the sample hold at least
@@ -34,8 +34,9 @@ from repricer.llm.common import unit
 GRADES = 3
 #: Labelled documents of each kind that are used, about.
 SAMPLE = 6000
-#: Documents of the sample that must hold a feature, and how much more often toxic ones must.
+#: Toxic documents of the sample that must hold a feature, as a number and a share, and how much more often than clean ones.
 LEAST_DOCS = 4
+LEAST_SHARE = 0.005
 RATIO = 4.0
 #: Features at most, those that tell most: bounds the model.
 MOST_FEATURES = 8192
@@ -154,7 +155,7 @@ def learn(docs: DataFrame, labels: DataFrame, grades: int = GRADES, sample: int
     # two standard deviations more clean documents than were seen, as a word may be rare by chance
     clean = F.col("c") + 2 * F.sqrt(F.col("c") + 1)
     ratio = (F.col("t") / sizes[True]) / (clean / sizes[False])
-    kept = counted.filter((F.col("t") >= LEAST_DOCS) & (ratio >= RATIO)).orderBy(F.desc("t"), "feature").limit(MOST_FEATURES)
+    kept = counted.filter((F.col("t") >= max(LEAST_DOCS, LEAST_SHARE * sizes[True])) & (ratio >= RATIO)).orderBy(F.desc("t"), "feature").limit(MOST_FEATURES)
     places = {row["feature"]: i for i, row in enumerate(kept.select("feature").collect())}
     if not places:
         return nothing
@@ -185,15 +186,15 @@ def learn(docs: DataFrame, labels: DataFrame, grades: int = GRADES, sample: int
         np.repeat(np.arange(len(table)), many), np.concatenate(table["places"]).astype(np.int64), np.concatenate(table["at"]), given, len(places)
     )
     p = 1 / (1 + np.exp(model.thresholds[0] - np.array([sum(model.weights[k] * v for k, v in zip(*row)) for row in zip(table["places"], table["at"])])))
-    model.cut = _best_cut(p, toxic)
+    model.cut = _best_cut(p, toxic, kinds[True], kinds[False])
     return model
 
 
-def _best_cut(p: np.ndarray, toxic: np.ndarray) -> float:
-    """The middle of the gap above which the share of toxic documents exceeds that of clean ones most."""
+def _best_cut(p: np.ndarray, toxic: np.ndarray, n_toxic: int, n_clean: int) -> float:
+    """The middle of the gap at which the fewest errors are made, the sample's shares standing for all n labelled."""
     steps = np.unique(p)
     at_least = lambda kind: 1 - np.searchsorted(np.sort(p[kind]), steps) / kind.sum()
-    best = int(np.argmax(at_least(toxic) - at_least(~toxic)))
+    best = int(np.argmax(n_toxic * at_least(toxic) - n_clean * at_least(~toxic)))
     return float((steps[best] + steps[max(0, best - 1)]) / 2)
 
 
