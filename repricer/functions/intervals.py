@@ -33,8 +33,3 @@ def ceil_to(value: Column, width: int) -> Column:
 def slice_start(ts: Column, width: int) -> Column:
     """Start, in epoch microseconds, of the time slice that holds `ts`."""
     return floor_to(F.unix_micros(ts), width)
-
-
-def shift(ts: Column, by: int) -> Column:
-    """`ts` moved by a number of microseconds."""
-    return F.timestamp_micros(F.unix_micros(ts) + F.lit(by))

@@ -52,7 +52,7 @@ def as_update(df: DataFrame, kind: str) -> DataFrame:
     LOOKUP is a competitor price fetched for a click: the same update as COMPETITOR,
     ordered after the click that asked for it.
     """
-    payloads = {} if kind == "CLICK" else dict([_payload(kind)])
+    payloads = {} if kind in ("CLICK", "SALE") else dict([_payload(kind)])
     metric_type = F.lit("COMPETITOR" if kind == "LOOKUP" else kind)
     return tag(df, metric_type, F.lit(RANK[kind]), payloads)
 

@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 
 from repricer.operators.demand import demand_metrics
 from repricer.operators.eventlog import as_update, event_log, metric_union, tag
+from repricer.operators.lookup import lookup_competitor_table
 from repricer.operators.pricing import priced_rows
 from repricer.operators.state import inactivity_resets
 from repricer.operators.surge import surge_adjustments, surge_runs
+from repricer.operators.training import training_set
 from repricer.schemas import RANK
+from repricer.sources.ingest import decode_json
 from repricer.sources.tables import STREAMS, Sample, competitor_price, quantity, rule_bounds
 
 SURGE = {"n": 3, "within": "24 hours", "slice_width": "1 hour"}
@@ -70,5 +73,25 @@ def log(sample: Sample, *, mixed_currencies: bool = False) -> DataFrame:
     )
 
 
+def message_log(sample: Sample) -> DataFrame:
+    """The log from JSON messages of all kinds; competitor prices are looked up for each click."""
+    clicks, orders, inventory, rules = (
+        decode_json(sample.messages(kind), kind)[0] for kind in ("click", "order", "inventory", "rule")
+    )
+    return metric_union(
+        as_update(clicks, "CLICK"),
+        as_update(inventory, "INVENTORY"),
+        as_update(rules, "RULE"),
+        as_update(lookup_competitor_table(clicks, sample.competitor_answers()), "LOOKUP"),
+        as_update(demand_metrics(clicks), "DEMAND"),
+        as_update(surge_adjustments(surge_runs(orders, **SURGE)), "EMERGENCY"),
+        as_update(inactivity_resets(clicks, gap=GAP, slice_width=SLICE), "RESET"),
+    )
+
+
+def examples(sample: Sample) -> DataFrame:
+    return training_set(log(sample), sample.sales(), ttl=TTL, slice_width=SLICE)
+
+
 def priced(sample: Sample) -> DataFrame:
     return priced_rows(log(sample), sample.registry(), ttl=TTL, slice_width=SLICE)

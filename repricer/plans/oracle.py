@@ -77,7 +77,18 @@ def _log_rows(source: str, kind: str, rank: int, seq: str = "seq", **values: str
     )
 
 
-def _updates(min_currency: str = "'EUR'", max_currency: str = "'EUR'") -> str:
+# a competitor price of its own stream, or one looked up for each click
+_COMPETITOR = _log_rows(
+    "ev WHERE event_type = 'view'", "COMPETITOR", 1, competitor_amount="value", competitor_currency="'EUR'"
+)
+_LOOKUP = _log_rows(
+    "looked_up", "COMPETITOR", 3, competitor_amount="price", competitor_currency="'EUR'"
+)
+
+
+def _updates(
+    min_currency: str = "'EUR'", max_currency: str = "'EUR'", competitor: str = _COMPETITOR
+) -> str:
     return " UNION ALL ".join(
         [
             _log_rows(
@@ -85,10 +96,7 @@ def _updates(min_currency: str = "'EUR'", max_currency: str = "'EUR'") -> str:
                 demand_current_demand="current_demand", demand_historical_average="historical_average",
             ),
             _log_rows("ev WHERE event_type = 'signup'", "INVENTORY", 1, quantity="floor(value)"),
-            _log_rows(
-                "ev WHERE event_type = 'view'", "COMPETITOR", 1,
-                competitor_amount="value", competitor_currency="'EUR'",
-            ),
+            competitor,
             _log_rows(
                 "ev WHERE event_type = 'error'", "RULE", 1,
                 rule_min_price_amount="value", rule_min_price_currency=min_currency,
@@ -99,17 +107,25 @@ def _updates(min_currency: str = "'EUR'", max_currency: str = "'EUR'") -> str:
     )
 
 
-def _log(**currencies: str) -> str:
-    return f"""{_FEEDS}, {_DEMAND}, {_RUNS}, {_RESETS},
-updates AS ({_updates(**currencies)}),
+def _log(feeds: str = _FEEDS, more: str = "", **updates: str) -> str:
+    return f"""{feeds}, {_DEMAND}, {_RUNS}, {_RESETS},
+updates AS ({_updates(**updates)}),
 log AS (
   {_log_rows("clicks", "CLICK", 2)}
   UNION ALL SELECT * FROM updates
   UNION ALL {_log_rows("resets", "RESET", 4, demand_current_demand="0.0", demand_historical_average="0.0")}
+  {more}
 )
 """
 
 
+# the same streams as they come out of messages: clicks have milliseconds, prices are looked up per click
+_DECODED = f"""{_FEEDS.replace("clicks AS (SELECT product_id, product_name, ts, seq", "clicks AS (SELECT product_id, product_name, date_trunc('millisecond', ts) AS ts, seq")},
+looked_up AS (
+  SELECT c.product_id, '' AS product_name, c.ts, c.seq, coalesce(p.p_retailprice, 0) AS price
+  FROM clicks c LEFT JOIN part p ON CAST(p.p_partkey AS VARCHAR) = c.product_id
+)
+"""
 _KEYS = "product_id, ts, rank, seq, metric_type, product_name"
 _STATE = ", ".join(
     f"last_value({c} IGNORE NULLS) OVER so_far AS {c}" for c in _NONE if not c.startswith("rule_")
@@ -142,6 +158,21 @@ context AS (
 """
 
 
+# a sale sees what was known before its instant
+_EXAMPLES = f"""{_state(more="UNION ALL " + _log_rows("orders_in", "SALE", -1))},
+examples AS (
+  SELECT s.product_id, s.ts, s.seq, coalesce(demand_current_demand, 0.0::DOUBLE) AS current_demand,
+    coalesce(demand_historical_average, 0.0::DOUBLE) AS historical_average,
+    coalesce(quantity, 0) AS inventory_level,
+    coalesce(competitor_amount, 0.00::DECIMAL(18,2)) AS competitor_amount,
+    coalesce(competitor_currency, 'EUR') AS competitor_currency,
+    rule_min_price_amount, rule_min_price_currency, rule_max_price_amount, rule_max_price_currency,
+    CASE WHEN s.ts < emergency_written_at + INTERVAL '12 hours' THEN emergency_factor ELSE 1.0::DOUBLE END
+      AS adjustment_factor,
+    CAST(e.value AS DECIMAL(18,2)) AS label
+  FROM state s JOIN ev e ON e.seq = s.seq WHERE metric_type = 'SALE'
+)
+"""
 _REGISTRY = """
 registry AS (
   SELECT 'week-' || (wk::BIGINT)::VARCHAR AS model_id,
@@ -160,13 +191,16 @@ def _money(expression: str) -> str:
     return f"CAST(round({expression}, 2) AS DECIMAL(18,2))"
 
 
+_MODEL_PRICE = _money('''CAST(r.bias AS DECIMAL(18,4)) + CAST(-0.05 AS DECIMAL(10,4)) * CAST(c.inventory_level AS DECIMAL(10,0))
+      + CAST(0.75 AS DECIMAL(10,4)) * CAST(c.current_demand AS DECIMAL(18,4))
+      + CAST(0.4 AS DECIMAL(10,4)) * c.competitor_amount''')
+
+
 def _priced(**currencies: str) -> str:
     return f"""{_state(**currencies)}, {_REGISTRY},
 scored AS (
   SELECT c.*, r.model_id,
-    {_money('''CAST(r.bias AS DECIMAL(18,4)) + CAST(-0.05 AS DECIMAL(10,4)) * CAST(c.inventory_level AS DECIMAL(10,0))
-      + CAST(0.75 AS DECIMAL(10,4)) * CAST(c.current_demand AS DECIMAL(18,4))
-      + CAST(0.4 AS DECIMAL(10,4)) * c.competitor_amount''')} AS model_price
+    {_MODEL_PRICE} AS model_price
   FROM context c ASOF JOIN registry r ON c.ts >= r.effective_ts
 ),
 s1 AS (SELECT *, CAST({_money("model_price * CAST(0.7 AS DECIMAL(2,1))")}
@@ -280,6 +314,23 @@ ORACLE: dict[str, str] = {
         blended::DOUBLE AS blended, after_demand::DOUBLE AS after_demand, after_stock::DOUBLE AS after_stock,
         after_surge::DOUBLE AS after_surge, new_price::DOUBLE AS new_price FROM priced""",
     "reprice": f"WITH {_priced()} SELECT {_RESULT} FROM priced WHERE NOT is_conflict",
+    "reprice_from_messages": f"""WITH {_priced(feeds=_DECODED, competitor=_LOOKUP)}
+        SELECT {_RESULT} FROM priced WHERE NOT is_conflict""",
+    "training_set": f"""WITH {_EXAMPLES} SELECT product_id, ts, seq, current_demand, historical_average, inventory_level,
+        competitor_amount::DOUBLE AS competitor_price_amount, competitor_currency AS competitor_price_currency,
+        rule_min_price_amount::DOUBLE AS price_rule_min_price_amount,
+        rule_min_price_currency AS price_rule_min_price_currency,
+        rule_max_price_amount::DOUBLE AS price_rule_max_price_amount,
+        rule_max_price_currency AS price_rule_max_price_currency, adjustment_factor, label::DOUBLE AS label
+        FROM examples""",
+    "model_eval": f"""WITH {_EXAMPLES}, {_REGISTRY}, scored AS (
+        SELECT c.*, r.model_id, {_MODEL_PRICE} AS model_price
+        FROM examples c ASOF JOIN registry r ON c.ts >= r.effective_ts)
+        SELECT model_id, count(*) AS examples,
+          sum(CAST((model_price - label) * (model_price - label) AS DECIMAL(30,4)))::DOUBLE / count(*) AS mse,
+          sum(CAST(CASE WHEN label <> 0 THEN abs((model_price - label)::DOUBLE / label::DOUBLE) END AS DECIMAL(18,8)))::DOUBLE
+            / count(*) FILTER (label <> 0) * 100 AS mape
+        FROM scored GROUP BY model_id""",
     "price_alerts": f"""WITH {_ALERTS} SELECT {_RESULT}, previous_price::DOUBLE AS previous_price, seq FROM alerts""",
     "alert_text": f"""WITH {_ALERTS}, texts AS (
         SELECT 'ALERT: price jump for ' || product_id || ' new=Money(amount=' || CAST(new_price AS VARCHAR)

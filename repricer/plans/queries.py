@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from repricer.functions import money as m
-from repricer.operators import demand, eventlog, lookup, model, pricing, state, surge
+from repricer.operators import demand, eventlog, lookup, model, pricing, state, surge, training
 from repricer.plans import feeds
 from repricer.sources import ingest
 from repricer.sources.tables import Sample
@@ -207,6 +207,20 @@ def reprice(sample: Sample) -> DataFrame:
     return flat(rows.select(*pricing.RESULT))
 
 
+def reprice_from_messages(sample: Sample) -> DataFrame:
+    """The same from JSON messages, decoded and run through every operator."""
+    log = feeds.message_log(sample)
+    return flat(pricing.price_batch(log, sample.registry(), ttl=feeds.TTL, slice_width=feeds.SLICE))
+
+
+def training_set(sample: Sample) -> DataFrame:
+    return flat(feeds.examples(sample).drop("slice", "rank", "metric_type", "product_name"))
+
+
+def model_eval(sample: Sample) -> DataFrame:
+    return training.model_errors(feeds.examples(sample), sample.registry())
+
+
 def _alerts(sample: Sample) -> DataFrame:
     return pricing.price_alerts(feeds.priced(sample))
 
@@ -283,6 +297,9 @@ _REGISTERED: dict[str, Callable[[Sample], DataFrame]] = {
     "model_score": model_score,
     "price_steps": price_steps,
     "reprice": reprice,
+    "reprice_from_messages": reprice_from_messages,
+    "training_set": training_set,
+    "model_eval": model_eval,
     "price_alerts": price_alerts,
     "alert_text": alert_text,
     "encode_result": encode_result,

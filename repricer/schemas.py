@@ -4,21 +4,6 @@ from __future__ import annotations
 
 from repricer.functions.money import MONEY
 
-# JSON messages as they travel on the topics.
-CLICK_JSON = "productId string, productName string, timestamp bigint"
-ORDER_JSON = "orderId string, productId string, productName string, quantity int, timestamp bigint"
-INVENTORY_JSON = "productId string, productName string, quantity int"
-RULE_JSON = (
-    "productId string, productName string, "
-    f"priceRule struct<minPrice: {MONEY}, maxPrice: {MONEY}>"
-)
-MESSAGE_JSON = {
-    "click": CLICK_JSON,
-    "order": ORDER_JSON,
-    "inventory": INVENTORY_JSON,
-    "rule": RULE_JSON,
-}
-
 # Payload columns of the event log; each update fills one of them.
 RULE = f"struct<min_price: {MONEY}, max_price: {MONEY}>"
 DEMAND = "struct<current_demand: double, historical_average: double>"
@@ -38,6 +23,7 @@ EVENT_LOG = (
 
 # Order of a product's rows that share one instant.
 RANK = {
+    "SALE": -1,
     "DEMAND": 0,
     "INVENTORY": 1,
     "RULE": 1,

@@ -88,6 +88,10 @@ class Sample:
     def orders(self) -> DataFrame:
         return self.events("order").select("product_id", "product_name", "ts", "seq")
 
+    def sales(self) -> DataFrame:
+        """Orders with the price they were made at."""
+        return self.events("order").select("product_id", "product_name", "ts", "seq", money(F.col("value")).alias("price"))
+
     def line_orders(self) -> DataFrame:
         """Order lines as orders, one per line, at the time of their order."""
         lines = self.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey")

@@ -266,3 +266,20 @@ def test_log_shuffle_is_shared(log, spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert plan.count("REPARTITION_BY_COL") == 1 + plan.count("ReusedExchange") and "ReusedExchange" in plan
+
+
+def test_models_join_alike_broadcast_or_dealt(rows, registry):
+    from repricer.operators.model import attach_model
+
+    triggers = rows("product_id string, t double, seq bigint", *[(f"p{i % 5}", 40_000.0 * i - 90_000, i) for i in range(40)])
+    models = registry(("a", 0, "10"), ("b", 35_000, "20"), ("c", 200_000, "30"), ("d", 700_000, "40"))
+
+    def joined(**options):
+        got = attach_model(triggers, models, **options)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        return sorted((r.seq, r.model and r.model.model_id) for r in got.collect()), plan
+
+    small, plan = joined()
+    assert "BroadcastHashJoin" in plan
+    large, plan = joined(broadcast_rows=1, salts=3)
+    assert "held_salt" in plan and small == large and {m for _, m in small} == {None, "a", "b", "c", "d"}
