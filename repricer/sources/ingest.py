@@ -74,7 +74,8 @@ def read_raw(
     `parquet` holds the first two columns, `text` one message per line stamped with the file's
     modification time, `kafka` a topic. `seq` orders messages of one instant: by offset and
     partition of a topic (products are its keys, so a product's messages lie in one partition),
-    by file and row of a parquet file, by line of a text file.
+    by file and row of a parquet file, by line of a text file. Text files of a stream are read
+    whole, so one of them has to fit a task.
     """
     reader = spark.read if bounded else spark.readStream
     if fmt == "kafka":
@@ -83,6 +84,16 @@ def read_raw(
         position = F.shiftleft(F.col("offset"), 16) + F.col("partition")
         return loaded.select(F.col("value").cast("string").alias("value"), "timestamp", position.alias("seq"))
     reader = reader.options(**dict(options or {}))
+    if fmt == "text" and not bounded:
+        # a stream has no row numbers of its own, so a file is taken as one and its lines are numbered
+        file = F.pmod(F.xxhash64("_metadata.file_path"), F.lit(1 << 23))
+        stamped = reader.text(path_or_topic, wholetext=True).select(
+            F.regexp_replace("value", r"\r?\n\z", "").alias("lines"),
+            F.col("_metadata.file_modification_time").alias("timestamp"),
+            F.shiftleft(file, 40).alias("place"),
+        )
+        lines = stamped.select("*", F.posexplode(F.split("lines", r"\r?\n", -1)).alias("line", "value"))
+        return lines.select("value", "timestamp", (F.col("place") + F.col("line")).alias("seq"))
     if fmt == "text":
         return reader.text(path_or_topic).select(
             "value",
