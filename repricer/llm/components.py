@@ -13,25 +13,34 @@ from pyspark.sql import functions as F
 from repricer.llm.common import written
 
 
-def _least(edges: DataFrame, name: str) -> DataFrame:
+#: Edges of a written file, about: few edges make few files.
+_EDGES = 50_000
+
+
+def _written(df: DataFrame, name: str, files: int) -> DataFrame:
+    return written(df.coalesce(files), name)
+
+
+def _least(edges: DataFrame, files: int) -> DataFrame:
     """For each node u of edges (u, v) the least of its neighbours and itself."""
-    return written(edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
+    least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return _written(least, "least", files)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, files: int) -> DataFrame:
     """Links every larger neighbour of a node to the least node that the node knows."""
-    both = written(edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), "both")
+    both = _written(edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), "both", files)
     return (
-        both.join(_least(both, "least"), "u")
+        both.join(_least(both, files), "u")
         .filter(F.col("v") > F.col("u"))
         .select(F.col("v").alias("u"), F.col("m").alias("v"))
         .distinct()
     )
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, files: int) -> DataFrame:
     """Links the smaller neighbours of a node, and the node, to the least of them."""
-    least = _least(edges, "least")
+    least = _least(edges, files)
     linked = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return linked.union(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
 
@@ -47,9 +56,11 @@ def components(edges: DataFrame) -> DataFrame:
         .distinct(),
         "edges",
     )
-    mark = None
+    files, mark = -(-max(1, now.count()) // _EDGES), None
+    now = _written(now, "edges", files)
     while True:
-        now = written(_small_star(written(_large_star(now), "large")), "small")
+        large = _written(_large_star(now, files), "large", files)
+        now = _written(_small_star(large, files), "small", files)
         row = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (row["n"], row["h"]) == mark:
             break

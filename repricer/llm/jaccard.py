@@ -44,7 +44,7 @@ RANGES = 16
 #: Nodes of a shingle that one task handles in the first step, about.
 HOT = 20_000
 #: Leads that each node of a shingle is compared with in a round.
-LEADS = 4
+LEADS = 8
 #: Pairs for each row that may still pass the filters when all pairs that are left are compared at once.
 FEW = 1
 #: Bits of the map of candidates, at most.
@@ -208,8 +208,7 @@ def _prefixes(docs: DataFrame, counts, similarity: Similarity) -> DataFrame:
 
 
 def _meet(similarity: Similarity):
-    """Of rows sorted by shingle, part and node: rows (shingle, node, n, at) of shingles with several nodes (or several
-    parts), once each, and the first candidate pairs (a, b, n, m): every node with LEADS others of its shingle and part."""
+    """Of rows sorted by shingle, part and node: rows (shingle, node, n, at) that may be in a pair, once each, and the first candidate pairs (a, b, n, m): every node with LEADS others of its shingle and part."""
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -225,6 +224,11 @@ def _meet(similarity: Similarity):
     return meet
 
 
+def _reach(similarity: Similarity, n: np.ndarray, at: np.ndarray, m: np.ndarray, at_m: np.ndarray) -> np.ndarray:
+    """The positional filter."""
+    return np.minimum(n - at, m - at_m) >= -(-similarity.percent * (n + m) // (100 + similarity.percent))
+
+
 def _shared(rows: pd.DataFrame, similarity: Similarity) -> Iterator[pd.DataFrame]:
     rows = rows.drop_duplicates(["shingle", "part", "node"], ignore_index=True)
     shingle, part = rows["shingle"].to_numpy(), rows["part"].to_numpy()
@@ -238,11 +242,20 @@ def _shared(rows: pd.DataFrame, similarity: Similarity) -> Iterator[pd.DataFrame
         lead = np.repeat(starts + pick % sizes, sizes)
         m = n[lead]
         good = np.minimum(n, m) * 100 >= np.maximum(n, m) * similarity.percent
-        good &= np.minimum(n - at, m - at[lead]) >= -(-similarity.percent * (n + m) // (100 + similarity.percent))
+        good &= _reach(similarity, n, at, m, at[lead])
         own = np.flatnonzero(good & (lead != np.arange(len(rows))))
         x, y = np.minimum(own, lead[own]), np.maximum(own, lead[own])  # sorted by node within a shingle
         pairs.append(pd.DataFrame({"a": node[x], "b": node[y], "size_a": n[x], "size_b": n[y]}))
-    kept = rows[np.repeat(sizes > 1, sizes) | (part > 0)].drop(columns="part")
+    # rows without another of a size near enough in their shingle can be in no pair; nearest in size is next in order
+    group = np.repeat(np.arange(len(starts)), sizes)
+    order = np.lexsort((n, group))
+    x, y = order[:-1], order[1:]
+    near = (group[x] == group[y]) & (n[x] * 100 >= n[y] * similarity.percent)
+    # where there are just two, the place of the shingle tells as well
+    near &= (sizes[group[x]] > 2) | _reach(similarity, n[x], at[x], n[y], at[y])
+    wanted = part > 0
+    wanted[x[near]] = wanted[y[near]] = True
+    kept = rows[wanted].drop(columns="part")
     yield kept.assign(a=None, b=None, size_a=None, size_b=None)
     yield pd.concat(pairs, ignore_index=True).drop_duplicates(["a", "b"]).assign(shingle=None, node=None, n=None, at=None)
 
