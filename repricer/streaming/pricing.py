@@ -53,6 +53,7 @@ _OUTPUT = {
     **_FACTS,
     "has_previous": "boolean",
     **{f"previous_{name}": dtype for name, dtype in _FACTS.items()},
+    "is_conflict": "boolean",
 }
 
 
@@ -138,8 +139,9 @@ class _ContextKeeper(StatefulProcessor):
                 clicked = row
             if row.metric_type in TRIGGERS and (facts := _facts(held, model)):
                 yield _priced(key[0], row.product_name, row.metric_type, now, facts, held["previous"])
-                held["previous"] = facts
-                changed.add("previous")
+                if _same_currency(facts):
+                    held["previous"] = facts
+                    changed.add("previous")
         for name in changed:
             self._states[name].update(held[name])
         if clicked is not None:
@@ -160,7 +162,8 @@ class _ContextKeeper(StatefulProcessor):
         if facts := _facts(held, self._latest_model()):
             now = timerValues.getCurrentProcessingTimeInMs()
             yield _priced(key[0], name, "RESET", now, facts, held["previous"])
-            self._states["previous"].update(facts)
+            if _same_currency(facts):
+                self._states["previous"].update(facts)
 
     def close(self) -> None:
         pass
@@ -194,21 +197,22 @@ def _news(row: Row) -> Iterator[tuple[str, tuple]]:
 
 
 def _facts(held: dict[str, tuple | None], model: dict | None) -> tuple | None:
-    """What a price is computed from; nothing without a model or with currencies that differ."""
+    """What a price is computed from; nothing without a model."""
     if model is None:
         return None
     facts = tuple(value for name, default in _DEFAULTS.items() for value in held[name] or default)
-    facts += tuple(model[field] for field in _MODEL_VALUES)
-    return facts if _same_currency(dict(zip(_FACTS, facts, strict=True))) else None
+    return facts + tuple(model[field] for field in _MODEL_VALUES)
 
 
 def _priced(product: str, name: str | None, metric_type: str, now: int, facts: tuple, before: tuple | None) -> Row:
-    values = (product, name, metric_type, now, *facts, before is not None, *(before or (None,) * len(facts)))
+    old = before or (None,) * len(facts)
+    values = (product, name, metric_type, now, *facts, before is not None, *old, not _same_currency(facts))
     return Row(*_OUTPUT)(*values)
 
 
-def _same_currency(facts: dict) -> bool:
-    """A product whose rule and competitor price differ in currency gives no price until they agree."""
+def _same_currency(values: tuple) -> bool:
+    """A product whose rule and competitor price differ in currency has no price until they agree."""
+    facts = dict(zip(_FACTS, values, strict=True))
     low = facts["min_currency"] or DEFAULT_CURRENCY
     return low == facts["competitor_currency"] and facts["max_currency"] in (None, low)
 
@@ -222,6 +226,8 @@ def pricing_facts(
 ) -> DataFrame:
     """For each trigger of the event stream its facts and those of the previous price.
 
+    With `is_conflict` where the facts differ in currency: such a trigger has no price.
+
     Surge factors expire and inactive products are repriced by processing time.
     """
     keeper = _ContextKeeper(latest_model, micros(ttl) // 1000, micros(gap) // 1000)
@@ -258,7 +264,10 @@ def price_stream(
     ttl: str = "10 minutes",
     gap: str = "5 minutes",
 ) -> DataFrame:
-    """The price stream with `previous_price` and `is_alert`; `ts` is the time of pricing."""
+    """The price stream with `previous_price` and `is_alert`; `ts` is the time of pricing.
+
+    Triggers whose amounts differ in currency come with `is_conflict` and without a price.
+    """
     facts = pricing_facts(log, latest_model, ttl=ttl, gap=gap)
 
     def sides(prefix: str) -> tuple:
@@ -285,6 +294,7 @@ def price_stream(
         "inventory_level",
         "current_demand",
         "has_previous",
+        "is_conflict",
         ctx.alias("ctx"),
         old_ctx.alias("old_ctx"),
         model_price(ctx, model, scorer).alias("model_price"),
@@ -293,19 +303,28 @@ def price_stream(
     new = price_steps(F.col("ctx"), F.col("model_price"), rules)["new_price"]
     old = price_steps(F.col("old_ctx"), F.col("old_model_price"), rules)["new_price"]
     currency = rule_currency(F.col("ctx"))
-    priced = scored.withColumn("new_amount", new).withColumn(
+    priced = scored.withColumn("new_amount", F.when(~F.col("is_conflict"), new)).withColumn(
         "previous_price", F.when(F.col("has_previous"), old)
     )
     return priced.select(
         "product_id",
         "product_name",
-        money(F.col("new_amount"), currency).alias("new_price"),
+        F.when(~F.col("is_conflict"), money(F.col("new_amount"), currency)).alias("new_price"),
         money(F.col("model_price"), currency).alias("model_prediction"),
         "ts",
         "inventory_level",
         "current_demand",
         "metric_type",
         "previous_price",
-        alert_condition(F.col("new_amount"), F.col("previous_price"), F.col("metric_type"), rules).alias("is_alert"),
+        F.coalesce(
+            alert_condition(F.col("new_amount"), F.col("previous_price"), F.col("metric_type"), rules) & ~F.col("is_conflict"),
+            F.lit(False),
+        ).alias("is_alert"),
+        "is_conflict",
+        F.struct(
+            F.col("ctx.price_rule.min_price.currency").alias("min"),
+            F.col("ctx.price_rule.max_price.currency").alias("max"),
+            F.col("ctx.competitor_price.currency").alias("competitor"),
+        ).alias("currencies"),
     )
 

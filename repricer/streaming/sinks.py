@@ -1,6 +1,6 @@
 """Delivering prices and alerts.
 
-Both travel as (topic, key, value) messages of one stream, so a price and its alert are
+They travel as (topic, key, value) messages of one stream, so a price and its alert are
 written together and the stateful query runs once. Files are written exactly once. The
 Kafka writer is at-least-once: a message can repeat after a failure, with the same key.
 """
@@ -14,18 +14,29 @@ from pyspark.sql.streaming import StreamingQuery
 from repricer.operators.pricing import alert_value, result_value
 from repricer.streaming.session import ends_with_its_data
 
-PRICES, ALERTS = "prices", "alerts"
+PRICES, ALERTS, CONFLICTS = "prices", "alerts", "conflicts"
 
 
-def messages(priced: DataFrame, *, prices: str = PRICES, alerts: str = ALERTS) -> DataFrame:
-    """Every price as a message for one topic, and again for the alert topic when it jumped."""
+def messages(
+    priced: DataFrame, *, prices: str = PRICES, alerts: str = ALERTS, conflicts: str = CONFLICTS
+) -> DataFrame:
+    """Every price as a message for one topic, and again for the alert topic when it jumped.
+
+    A trigger without a price, as its amounts differ in currency, is a message for a topic of its own.
+    """
 
     def message(topic: str, key: Column, value: Column) -> Column:
         return F.struct(F.lit(topic).alias("topic"), key.alias("key"), value.alias("value"))
 
     price = message(prices, F.col("product_id"), result_value())
     alert = message(alerts, alert_value(), alert_value())
-    both = F.when(F.col("is_alert"), F.array(price, alert)).otherwise(F.array(price))
+    differing = F.to_json(F.struct("metric_type", F.unix_millis("ts").alias("timestamp"), "currencies"))
+    refused = message(conflicts, F.col("product_id"), differing)
+    both = (
+        F.when(F.col("is_conflict"), F.array(refused))
+        .when(F.col("is_alert"), F.array(price, alert))
+        .otherwise(F.array(price))
+    )
     return priced.select(F.inline(both))
 
 
@@ -61,7 +72,9 @@ def write_messages(
 
 def write_prices(priced: DataFrame, *, topic: str = PRICES, **target) -> StreamingQuery:
     """Start delivering only the price stream."""
-    out = priced.select(F.lit(topic).alias("topic"), F.col("product_id").alias("key"), result_value().alias("value"))
+    out = priced.where("NOT is_conflict").select(
+        F.lit(topic).alias("topic"), F.col("product_id").alias("key"), result_value().alias("value")
+    )
     return _write(out, **_target(target))
 
 

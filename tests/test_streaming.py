@@ -165,7 +165,7 @@ def test_pricing_state(streaming, tmp_path):
     rows = {
         "p": [
             (r.metric_type, str(r.new_price.amount), r.previous_price and str(r.previous_price), r.is_alert)
-            for r in got.where("product_id = 'p'").orderBy("ts").collect()
+            for r in got.where("product_id = 'p' AND NOT is_conflict").orderBy("ts").collect()
         ],
         "q": [(r.metric_type, str(r.new_price.amount)) for r in got.where("product_id = 'q'").collect()],
     }
@@ -174,6 +174,8 @@ def test_pricing_state(streaming, tmp_path):
         ("CLICK", "160.00", "70.00", True),
         ("RULE", "150.00", "160.00", False),
     ]
+    (refused,) = got.where("is_conflict").collect()
+    assert (refused.metric_type, refused.new_price, refused.is_alert) == ("RULE", None, False)
     assert rows["q"] == [("CLICK", "77.00")]  # unknown stock counts as low
 
 
@@ -234,6 +236,18 @@ def test_delivery(streaming, tmp_path):
     assert messages(priced).isStreaming
 
 
+def test_currency_conflicts_are_delivered(streaming, tmp_path):
+    dollars = ((Decimal("1.00"), "USD"), (Decimal("9.00"), "USD"))
+    batches = [[update("p", 0, "CLICK", 0)], [update("p", 1, "RULE", 1, rule=dollars)], [update("p", 2, "COMPETITOR", 2, competitor=(Decimal("5.00"), "USD")), update("p", 3, "CLICK", 3)]]
+    priced = price_stream(stream(streaming, str(tmp_path / "in"), EVENT_LOG, batches), lambda: model())
+    out = str(tmp_path / "out")
+    finish(write_messages(priced, path=out, checkpoint=str(tmp_path / "checkpoint"), once=True))
+    rows = streaming.read.parquet(out).collect()
+    assert sorted(r.topic for r in rows) == ["conflicts", "prices", "prices"]
+    (value,) = [r.value for r in rows if r.topic == "conflicts"]
+    assert '"metric_type":"RULE"' in value and '"min":"USD"' in value and '"competitor":"EUR"' in value
+
+
 def versions(spark, count):
     return spark.range(count).selectExpr(
         "concat('m', id) model_id", "timestamp_seconds(1735689600 + id) effective_ts", "'linear' kind",
