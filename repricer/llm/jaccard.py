@@ -46,7 +46,7 @@ HOT = 20_000
 #: Leads that each node of a shingle is compared with in a round.
 LEADS = 8
 #: Pairs for each row that may still pass the filters when all pairs that are left are compared at once.
-FEW = 1
+FEW = 3
 #: Bits of the map of candidates, at most.
 _MAP_BITS = 1 << 27
 
@@ -165,11 +165,12 @@ def _total(chunks: DataFrame) -> np.ndarray:
     return total.reshape(-1)
 
 
-_PREFIX = "shingle long, part int, node binary, n int, at int"
+# `spot` is the node's size and the shingle's place in one number: these rows are most of what is shuffled
+_PREFIX = "shingle long, part int, node binary, spot long"
 
 
 def _prefixes(docs: DataFrame, counts, similarity: Similarity) -> DataFrame:
-    """Rows of the prefixes: the shingle, the part of it that the node is dealt to, the node, its size and the place."""
+    """Rows of the prefixes: the shingle, the part of it that the node is dealt to, the node and its spot."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, seen = counts.value, set()
@@ -199,8 +200,7 @@ def _prefixes(docs: DataFrame, counts, similarity: Similarity) -> DataFrame:
                     "shingle": np.concatenate([h for h, _, _ in found]).view(np.int64),
                     "part": np.where(parts > 1, 1 + np.repeat(own, reps) % np.maximum(parts, 1), 0).astype(np.int32),
                     "node": np.repeat(np.array(nodes, dtype=object), reps),
-                    "n": np.repeat(np.array(sizes, dtype=np.int32), reps),
-                    "at": np.concatenate([at for _, at, _ in found]).astype(np.int32),
+                    "spot": np.repeat(np.array(sizes, dtype=np.int64) << 32, reps) | np.concatenate([at for _, at, _ in found]),
                 }
             )
 
@@ -234,7 +234,8 @@ def _shared(rows: pd.DataFrame, similarity: Similarity) -> Iterator[pd.DataFrame
     shingle, part = rows["shingle"].to_numpy(), rows["part"].to_numpy()
     starts = np.flatnonzero(np.r_[True, (shingle[1:] != shingle[:-1]) | (part[1:] != part[:-1])])
     sizes = np.diff(np.r_[starts, len(rows)])
-    node, n, at = rows["node"].to_numpy(), rows["n"].to_numpy(np.int64), rows["at"].to_numpy(np.int64)
+    node, spot = rows["node"].to_numpy(), rows["spot"].to_numpy(np.int64)
+    n, at = spot >> 32, spot & 0xFFFFFFFF
     pairs = []
     for k in range(LEADS):
         # another lead for each shingle, so that a node meets many others in the end
@@ -255,7 +256,7 @@ def _shared(rows: pd.DataFrame, similarity: Similarity) -> Iterator[pd.DataFrame
     near &= (sizes[group[x]] > 2) | _reach(similarity, n[x], at[x], n[y], at[y])
     wanted = part > 0
     wanted[x[near]] = wanted[y[near]] = True
-    kept = rows[wanted].drop(columns="part")
+    kept = pd.DataFrame({"shingle": shingle[wanted], "node": node[wanted], "n": n[wanted], "at": at[wanted]})
     yield kept.assign(a=None, b=None, size_a=None, size_b=None)
     yield pd.concat(pairs, ignore_index=True).drop_duplicates(["a", "b"]).assign(shingle=None, node=None, n=None, at=None)
 
