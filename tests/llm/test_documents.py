@@ -8,7 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
-from conftest import make_texts  # tests/llm/conftest.py
+from messy_tables import documents, make_texts, messy  # noqa: F401
 from pyspark.sql import functions as F
 
 from repricer.llm import components, dedup, jaccard, mixing, quality, shards

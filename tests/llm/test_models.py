@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from messy_tables import documents, messy  # noqa: F401
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 

@@ -5,7 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
-from conftest import SAMPLE  # tests/llm/conftest.py
+from messy_tables import SAMPLE
 
 import corpus_pipeline
 from repricer.llm.common import table, written
