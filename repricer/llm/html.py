@@ -77,7 +77,7 @@ def _marked(attributes: str) -> bool:
     """Whether class, id, role or style say that an element is not article text."""
     if _HIDDEN.search(attributes):
         return True
-    values = (next(v for v in m.groups("") if v or m.lastindex is None) if m.lastindex else "" for m in _ATTRIBUTE.finditer(attributes))
+    values = (m[1] or m[2] or m[3] or "" for m in _ATTRIBUTE.finditer(attributes))
     return any(w.lower() in MARKS for v in values for w in _MARK.findall(_CAMEL.sub(" ", v)))
 
 

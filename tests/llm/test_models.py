@@ -138,6 +138,13 @@ def test_main_text(page, text):
     assert html.main_text(page, WEIGHTS) == text
 
 
+@pytest.mark.parametrize("name", ["div", "p", "span", "section"])
+@pytest.mark.parametrize("attributes", ['class=""', "id=''", 'role=""', 'class="" id="" role=""'])
+def test_empty_attributes(name, attributes):
+    page = f"<article><p>a b</p><p><{name} {attributes}>x y</{name}><div {attributes} class='ad'>buy</div><p>c d</p></article>"
+    assert html.main_text(page, WEIGHTS) == "a b\n\nx y\n\nc d"
+
+
 def test_best_run_is_the_highest():
     draw = random.Random(6)
     for _ in range(60):
