@@ -2,7 +2,8 @@
 
 A page becomes a row of words and tags. Words score by the kind of element they stand in and tags by
 their name, as log odds of lying inside the article, learned from pages that mark it themselves
-(`article` or `main`); a tag never scores above a small negative value. One scan finds the run with the highest sum. Of its
+(`article` or `main`); a tag never scores above a small negative value, and words that are left out below score 0,
+so that only its tags tell against a block amid an article. One scan finds the run with the highest sum. Of its
 words, those in elements that are never article text (menus, forms, scripts, adverts, notices,
 sidebars, comments and the like, by element, role, class or id) are left out, and the rest is put together
 by blocks.
@@ -207,7 +208,7 @@ def learn(pages: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
         .agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
         .collect()
     )
-    weights = {f"word:{name}": 1.0 for name in CONTENT} | {"word:body": 0.2, "word:other": 0.2, "word:out": -1.0}
+    weights = {f"word:{name}": 1.0 for name in CONTENT} | {"word:body": 0.2, "word:other": 0.2, "word:out": 0.0}
     words_in = sum(r["inside"] for r in counts if r["kind"][0] == "w") + 1
     words_out = sum(r["outside"] for r in counts if r["kind"][0] == "w") + 1
     for r in counts:

@@ -170,6 +170,27 @@ def test_extraction_learns_from_marked_pages(spark):
     assert html.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize(
+    "block",
+    [
+        "<aside><p>{}</p></aside>",
+        "<form><p>{}</p></form>",
+        "<div class='advert'><p>{}</p></div>",
+        "<div class='newsletter'>{}</div>",
+        "<div role='complementary'><p>{}</p></div>",
+        "<section class='comments'><p>{}</p></section>",
+    ],
+)
+def test_long_blocks_amid_an_article(spark, block):
+    other = block.format("other " * 60)
+    parts = ["<h1>five words of a headline</h1>", "<p>" + "word " * 50 + "</p>", "<p>ten words that end the story after a long block</p>"]
+    page = "<body><nav><li>menu</li></nav><article>{}</article><footer>foot</footer></body>"
+    pages = [(i, "u", page.format(other.join(parts) if i % 4 == 0 else "".join(parts))) for i in range(40)]
+    rows = html.extracted(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    whole = f"five words of a headline\n\n{'word ' * 49}word\n\nten words that end the story after a long block"
+    assert Counter(r["text"] for r in rows) == {whole: 40}
+
+
 # token counts
 
 
