@@ -5,8 +5,9 @@ their name, as log odds of lying inside the article, learned from pages that mar
 (`article` or `main`); a tag never scores above a small negative value, and words that are left out below score 0,
 so that only its tags tell against a block amid an article. One scan finds the run with the highest sum. Of its
 words, those in elements that are never article text (menus, forms, scripts, adverts, notices,
-sidebars, comments and the like, by element, role, class or id) are left out, and the rest is put together
-by blocks.
+sidebars, comments and the like, by element, or by role, class or id as whole names) are left out, and the rest is put
+together by blocks. A name on a wrapper (`sidebar`, `widget`) does not hold for an `article` or `main` in it, but those among
+comments, adverts and related pages, and in elements that are never article text or not shown, stay out.
 
 Null and empty pages, and pages without a word that scores above zero, give an empty text. Of equally high runs
 the first is taken, and the longest of those that start there. Pages may be cut off or
@@ -57,9 +58,19 @@ MARKS = frozenset(
     " comment comments disqus reply replies respond widget toolbar pagination pager search complementary contentinfo"
     " dialog skip hidden".split()
 )
+#: Words beside them in one name that only say where or in what it is (`site-header`, but not `has-sidebar`).
+PLAIN = frozenset(
+    "site page main global user top bottom left right primary secondary the of container wrapper wrap inner outer box block bar"
+    " area section region list item items links link button buttons slot unit group posts articles stories form".split()
+)
+#: Marks of what may be articles itself; an article among these is no wrapper's content.
+ARTICLES = frozenset(
+    "ad ads adv advert adverts advertisement advertising related recommended recommendations comment comments disqus reply"
+    " replies respond".split()
+)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z", re.S)
-_ATTRIBUTE = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
 _MARK = re.compile(r"[A-Za-z]+")
 #: What the start of an element closes: the open element, if the nearest that is not inline is one of these.
 _CLOSES = {
@@ -73,33 +84,51 @@ _CLOSES = {
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
+def _words(name: str) -> list[str]:
+    return [w.lower() for w in _MARK.findall(_CAMEL.sub(" ", name))]
+
+
 @functools.lru_cache(maxsize=4096)
-def _marked(attributes: str) -> bool:
-    """Whether class, id, role or style say that an element is not article text."""
-    if _HIDDEN.search(attributes):
-        return True
-    values = (m[1] or m[2] or m[3] or "" for m in _ATTRIBUTE.finditer(attributes))
-    return any(w.lower() in MARKS for v in values for w in _MARK.findall(_CAMEL.sub(" ", v)))
+def _marked(attributes: str) -> tuple[bool, bool]:
+    """Whether class, id, role, label or style say that an element is not article text, and that no article in it is either.
+
+    A name marks as a whole: it has a word of MARKS, and the others are of MARKS or PLAIN. The words of a label are one name.
+    """
+    marked = False
+    for m in _ATTRIBUTE.finditer(attributes):
+        attribute, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if attribute == "hidden" or attribute == "aria-hidden" and value.lower() == "true" or attribute == "style" and _NOT_SHOWN.search(value):
+            return True, True
+        if attribute in ("class", "id", "role", "aria-label"):
+            for name in [value] if attribute == "aria-label" else value.split():
+                words = set(_words(name))
+                if words & MARKS and words <= MARKS | PLAIN:
+                    if words & ARTICLES:
+                        return True, True
+                    marked = True
+    return marked, False
 
 
 class _Open:
-    """The open elements, how many of them are never article text, and the blocks among them."""
+    """The open elements, the blocks among them, and whether the place is never article text (`firm`: nor is an article there)."""
 
     def __init__(self):
-        self.elements: list[tuple[str, bool]] = []
+        self.elements: list[tuple[str, bool, bool]] = []
         self.blocks = ["body"]
-        self.out = 0
+        self.out = self.firm = False
 
-    def push(self, name: str, never: bool) -> None:
-        self.elements.append((name, never))
-        self.out += never
+    def push(self, name: str, never: bool, firm: bool) -> None:
+        self.elements.append((name, self.out, self.firm))
+        self.firm |= firm
+        # an article is what the marks of the wrappers around it do not mean
+        self.out = self.firm or never or self.out and name not in ("article", "main")
         if name not in INLINE:
             self.blocks.append(name if name in CONTENT else "other")
 
     def close(self, first: int) -> None:
         """Closes the elements from the given one on."""
-        for name, never in self.elements[first:]:
-            self.out -= never
+        _, self.out, self.firm = self.elements[first]
+        for name, *_ in self.elements[first:]:
             if name not in INLINE:
                 self.blocks.pop()
         del self.elements[first:]
@@ -119,7 +148,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, bool]]:
         match = _TOKEN.search(page, at)
         text = page[at : match.start() if match else len(page)]
         if text:
-            yield f"word:{'out' if opened.out else opened.blocks[-1]}", text, False, opened.out > 0
+            yield f"word:{'out' if opened.out else opened.blocks[-1]}", text, False, opened.out
         if match is None:
             return
         at, name, attributes = match.end(), (match[2] or "").lower(), match[3] or ""
@@ -130,7 +159,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, bool]]:
             first = opened.last(lambda element, name=name: element == name)
             if first is not None:
                 opened.close(first)
-            yield kind, "", block, opened.out > 0
+            yield kind, "", block, opened.out
             continue
         if name not in INLINE and name not in VOID:
             ends = _CLOSES.get(name, ("p",))
@@ -138,12 +167,16 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, bool]]:
             if nearest is not None and opened.elements[nearest][0] in ends:
                 opened.close(nearest)
         # a line break is white space
-        yield kind, " " if name == "br" else "", block, opened.out > 0
+        yield kind, " " if name == "br" else "", block, opened.out
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
         elif name not in VOID:
-            opened.push(name, name in NOT_ARTICLE or name not in ("html", "body", "main", "article") and _marked(attributes))
+            if name in NOT_ARTICLE:
+                never, firm = True, True
+            else:
+                never, firm = _marked(attributes) if name not in ("html", "body", "main", "article") else (False, False)
+            opened.push(name, never, firm)
 
 
 def _features(page: str) -> list[tuple[str, str, bool, bool, int]]:

@@ -145,6 +145,35 @@ def test_empty_attributes(name, attributes):
     assert html.main_text(page, WEIGHTS) == "a b\n\nx y\n\nc d"
 
 
+STORY = "<h1>title</h1><p>the story goes on</p>"
+
+
+@pytest.mark.parametrize(
+    "page, kept",
+    [
+        *[(f"<div class='{c}'>{STORY}</div>", True) for c in ("content has-sidebar", "no-sidebar", "layout-with-header", "page header-fixed", "hasSidebar", "ad-free")],
+        *[(f"<div id='{c}'>{STORY}</div>", True) for c in ("content-with-sidebar", "layout-no-header")],
+        *[(f"<div class='sidebar'><{name}>{STORY}</{name}></div>", True) for name in ("article", "main")],
+        (f"<div class='page widget'><div id='header'><div><article>{STORY}</article></div></div></div>", True),
+        ("<p title='the hidden truth'>the story goes on</p>", True),
+        (f"<div data-id='sidebar' data-hidden='no' data-x='class=ad' alt='display:none'>{STORY}</div>", True),
+        (f"<section aria-label='What we share in search'>{STORY}</section>", True),
+        *[(f"<div class='{c}'>{STORY}</div>", False) for c in ("sidebar", "x sidebar y", "SIDEBAR", "cookie-banner", "site-header", "user-comments", "ad_slot", "relatedPosts")],
+        *[(f"<div {a}>{STORY}</div>", False) for a in ("hidden", "class=x hidden", "hidden=''", "aria-hidden=true", "style='color:red; display: none'", "role=search", "aria-label='Site navigation'")],
+        *[(f"<{a}><article>{STORY}</article></{a.split()[0]}>", False) for a in ("aside", "nav", "div class=comments", "div hidden", "section id='related-articles'")],
+    ],
+)
+def test_marks_are_whole_names(page, kept):
+    text = html.main_text(f"<body>{page}</body>", WEIGHTS)
+    assert text.endswith("the story goes on") if kept else text == ""
+
+
+def test_marks_of_wrappers_and_articles():
+    page = "<div class=widget>w<article><p>a b c</p><div class=share>s</div><div class=comments><article>no</article></div><p>d e f</p></article>v</div><p>g</p>"
+    assert html.main_text(page, WEIGHTS) == "a b c\n\nd e f\n\ng"
+    assert html.main_text("<article><p>a <span class='share-price'>10</span> b</p><p class='alert-level'>c d</p></article>", WEIGHTS) == "a 10 b\n\nc d"
+
+
 def test_best_run_is_the_highest():
     draw = random.Random(6)
     for _ in range(60):
