@@ -7,7 +7,8 @@ most corrected hits wins; its share of the text's grams is the score.
 
 A gram is four letters or word ends in a row (everything that is not a letter is a word end; two
 word ends in a row make no gram), of the lower-cased text. A language's filter holds the grams found
-in at least MIN_SHARE of its sampled documents.
+in at least MIN_SHARE of its sampled documents. Texts of single letters apart from each other have no such
+gram. The same filters decide them by the letters with the word ends beside them, grams of three and two.
 
 Null texts and texts without letters are `und` with score 0, as is every text if nothing could be
 learned. Ties go to the language that comes first in code point order. Texts are read whole, long
@@ -18,6 +19,7 @@ read; repeated rows are predicted each by itself. An empty table gives no rows.
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 from repricer.llm.common import unit
 
 ORDER = 4
+#: Of the grams of single letters.
+SHORT = (3, 2)
 #: Training documents of a language that are used, about.
 SAMPLE = 2000
 #: Share of a language's sampled documents that must hold a gram.
@@ -48,26 +52,28 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
 
 
-def _slices(text: str) -> Iterator[str]:
+def _slices(text: str, order: int) -> Iterator[str]:
     for start in range(0, len(text), _SLICE):
-        yield text[max(0, start - ORDER + 1) : start + _SLICE]
+        yield text[max(0, start - order + 1) : start + _SLICE]
 
 
-def gram_hashes(text: str) -> Iterator[np.ndarray]:
-    """64-bit hashes of the grams of a text, slice by slice."""
-    for part in _slices(f" {text} ".lower()):
+def gram_hashes(text: str, order: int = ORDER) -> Iterator[np.ndarray]:
+    """64-bit hashes of the grams of a text, slice by slice; those shorter than ORDER are of one letter and word ends."""
+    for part in _slices(f" {text} ".lower(), order):
         points = np.frombuffer(part.encode("utf-32-le"), dtype=np.uint32)
         points = np.where(_letters()[points], points, np.uint32(32))
-        n = len(points) - ORDER + 1
+        n = len(points) - order + 1
         if n < 1:
             continue
         gap = points == 32
         twice = gap[1:] & gap[:-1]
         good = ~twice[:n]
-        for k in range(1, ORDER - 1):
+        for k in range(1, order - 1):
             good &= ~twice[k : k + n]
+        if order < ORDER:
+            good &= sum(gap[k : k + n].astype(int) for k in range(order)) == order - 1
         hashes = points[:n].astype(np.uint64)
-        for k in range(1, ORDER):
+        for k in range(1, order):
             hashes = hashes * np.uint64(0x100000001B3) + points[k : k + n]
         hashes = hashes[good]
         hashes ^= hashes >> np.uint64(33)
@@ -101,10 +107,10 @@ class LanguageFilters:
             filled[i] = np.count_nonzero(masks[:, i // 64] & (np.uint64(1) << np.uint64(i % 64))) / SLOTS
         return cls(languages, masks, filled**HASHES)
 
-    def hits(self, text: str) -> tuple[int, np.ndarray]:
+    def hits(self, text: str, orders: tuple[int, ...] = (ORDER,)) -> tuple[int, np.ndarray]:
         """Number of grams, and of those that each language's filter holds."""
         total, found = 0, np.zeros(len(self.languages))
-        for hashes in gram_hashes(text):
+        for hashes in itertools.chain.from_iterable(gram_hashes(text, order) for order in orders):
             total += len(hashes)
             held = self.masks[_slots(hashes, 0)]
             for which in range(1, HASHES):
@@ -115,6 +121,8 @@ class LanguageFilters:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         total, found = self.hits(text or "") if self.languages else (0, None)
+        if self.languages and not total:
+            total, found = self.hits(text or "", SHORT)
         if not total:
             return UNDETERMINED, 0.0
         shares = (found / total - self.false_rate) / (1 - self.false_rate)
@@ -126,26 +134,28 @@ def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for lang, texts in batch.groupby("lang")["text"]:
             # distinct per document, then counted over the documents; a few MB of text at a time
-            held, size = [], 0
-            for text in texts:
-                held.append(np.unique(np.concatenate([np.empty(0, np.uint64), *gram_hashes(text)])))
-                size += len(held[-1])
-                if size > 2_000_000:
-                    yield _counted(lang, held)
-                    held, size = [], 0
-            if size:
-                yield _counted(lang, held)
-
-
-def _counted(lang: str, held: list[np.ndarray]) -> pd.DataFrame:
+            for orders in ((ORDER,), SHORT):
+                held, size = [], 0
+                for text in texts:
+                    grams = itertools.chain.from_iterable(gram_hashes(text, order) for order in orders)
+                    held.append(np.unique(np.concatenate([np.empty(0, np.uint64), *grams])))
+                    size += len(held[-1])
+                    if size > 2_000_000:
+                        yield _counted(lang, orders == SHORT, held)
+                        held, size = [], 0
+                if size:
+                    yield _counted(lang, orders == SHORT, held)
+
+
+def _counted(lang: str, short: bool, held: list[np.ndarray]) -> pd.DataFrame:
     grams, n = np.unique(np.concatenate(held), return_counts=True)
-    return pd.DataFrame({"lang": lang, "gram": grams.view(np.int64), "n": n})
+    return pd.DataFrame({"lang": lang, "short": short, "gram": grams.view(np.int64), "n": n})
 
 
 def learn(labelled: DataFrame, sample: int = SAMPLE) -> LanguageFilters:
     """Filters learned from the columns doc_id, text and lang, from about `sample` documents a language.
 
-    The driver gets at most MOST_GRAMS hashes of a language.
+    The driver gets at most MOST_GRAMS hashes of a language, and as many short ones.
     """
     labelled = labelled.select("doc_id", "text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL")
     sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"))
@@ -157,12 +167,12 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> LanguageFilters:
     chosen = labelled.filter(unit("doc_id", seed=4) < drawn).select("lang", "text")
     used = F.create_map(*[F.lit(x) for r in sizes.collect() for x in (r["lang"], float(min(r["n"], sample)))])[F.col("lang")]
     counts = (
-        chosen.mapInPandas(_count_grams, "lang string, gram long, n long")
-        .groupBy("lang", "gram")
+        chosen.mapInPandas(_count_grams, "lang string, short boolean, gram long, n long")
+        .groupBy("lang", "short", "gram")
         .agg(F.sum("n").alias("n"))
         .filter((F.col("n") >= 2) & (F.col("n") >= MIN_SHARE * used))
     )
-    ranked = counts.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")))
+    ranked = counts.withColumn("place", F.row_number().over(Window.partitionBy("lang", "short").orderBy(F.desc("n"), "gram")))
     kept = ranked.filter(F.col("place") <= MOST_GRAMS).select("lang", "gram").toPandas()
     return LanguageFilters.build({lang: group["gram"].to_numpy() for lang, group in kept.groupby("lang")})
 

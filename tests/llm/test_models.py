@@ -56,6 +56,23 @@ def test_language_nothing_to_learn(documents):
     assert language.identified(documents([])).count() == 0
 
 
+def test_single_letters_have_a_language(documents, speech):
+    rows = [(i, f"{speech(lang, 20)} {letter} {speech(lang, 20)}", lang) for i in range(300) for lang, letter in [[("xx", "a"), ("yy", "o"), ("zz", "ж")][i % 3]]]
+    odd = {1000: "A.", 1001: "o", 1002: "Ж. Ж. Ж.", 1003: "(a) / (a)", 1004: "W?", 1005: "1. 2.", 1006: "\n b!\n"}
+    found = {r["doc_id"]: r for r in language.identified(documents(rows + [(i, t, None) for i, t in odd.items()])).select("doc.doc_id", "predicted.*").collect()}
+    assert [found[i]["lang"] for i in (1000, 1001, 1002, 1003, 1006)] == ["xx", "yy", "zz", "xx", "xx"]
+    assert all(found[i]["score"] > 0.5 for i in (1000, 1001, 1002, 1003, 1006))
+    assert found[1004]["lang"] in ("xx", "yy", "zz") and found[1004]["score"] == 0  # nothing in common with any
+    assert found[1005]["lang"] == "und" and found[1005]["score"] == 0
+
+
+def test_slices_lose_no_short_gram(monkeypatch):
+    text = "a, b; c. d! e" * 20
+    whole = [np.concatenate(list(language.gram_hashes(text, order))) for order in language.SHORT]
+    monkeypatch.setattr(language, "_SLICE", 17)
+    assert all(np.array_equal(w, np.concatenate(list(language.gram_hashes(text, order)))) for w, order in zip(whole, language.SHORT))
+
+
 def test_slices_lose_no_gram(monkeypatch):
     text = " ".join(f"ab{i}cd" * (i % 5) for i in range(200))
     whole = np.concatenate(list(language.gram_hashes(text)))
