@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from repricer.llm.common import GAP, WORD, text_of, unit, word_chars, written
+from repricer.llm.common import GAP, WORD, text_of, word_chars, written
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -39,8 +39,6 @@ CUTOFFS = {
 }
 RISK = 0.005
 DOUBT = 0.05
-#: Labelled documents of a stratum that are used, about.
-HOLDOUT = 50_000
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -148,12 +146,10 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.exp(F.aggregate(steps, F.struct(first.alias("term"), first.alias("total")), add, lambda s: s["total"]))
 
 
-def cutoffs(
-    signalled: DataFrame, labels: DataFrame, risk: float = RISK, doubt: float = DOUBT, holdout: int = HOLDOUT
-) -> DataFrame:
+def cutoffs(signalled: DataFrame, labels: DataFrame, risk: float = RISK, doubt: float = DOUBT) -> DataFrame:
     """Columns stratum, signal and cutoff: the sure cut-offs, one row at most per stratum and signal.
 
-    `holdout` bounds the labelled documents of a stratum, drawn by a hash of their doc_id.
+    All good labels are used; the binomial sum has fewer than risk times their number of terms.
     """
     good = (
         labels.groupBy(F.col("doc_id").alias("_id"))
@@ -168,12 +164,6 @@ def cutoffs(
     )
     single = written(single, "holdout")
     sizes = single.groupBy("stratum").agg(F.count("*").alias("labelled"))
-    drawn = (
-        single.alias("d")
-        .join(sizes.alias("s"), F.col("d.stratum").eqNullSafe(F.col("s.stratum")))
-        .filter(unit("doc_id", seed=6) < F.lit(float(holdout)) / F.col("labelled"))
-        .select("d.*")
-    )
     # how many cut-offs of the grid lie below the value
     above = F.array(
         *[
@@ -184,7 +174,7 @@ def cutoffs(
             for signal, grid in CUTOFFS.items()
         ]
     )
-    counts = drawn.select("stratum", F.explode(above).alias("x")).groupBy("stratum", "x.signal", "x.passed").agg(F.count("*").alias("rows"))
+    counts = single.select("stratum", F.explode(above).alias("x")).groupBy("stratum", "x.signal", "x.passed").agg(F.count("*").alias("rows"))
     # rows above the j-th cut-off: those that passed more than j; every cut-off gets a row
     grid = F.array(*[F.struct(F.lit(s).alias("signal"), F.lit(j).alias("j"), F.lit(c).alias("cutoff")) for s, g in CUTOFFS.items() for j, c in enumerate(g)])
     tried = sizes.select("stratum", F.explode(grid).alias("g")).select("stratum", "g.*")

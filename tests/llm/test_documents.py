@@ -193,6 +193,17 @@ def test_rules_reject_only_what_the_labels_allow(spark, documents):
     assert quality.judged(documents([]), nobody).count() == 0
 
 
+def test_cutoffs_use_every_label(spark):
+    n, above = 400_000, 1800
+    value = F.when(F.col("doc_id") % (n // above) == 0, 1.0).otherwise(0.0)
+    signalled = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("en").alias("stratum")).withColumns(
+        {s: value if s == "symbol_share" else F.lit(0.0) for s in quality.CUTOFFS}
+    )
+    labels = signalled.select("doc_id", F.lit(1).alias("quality"))
+    found = {r["signal"]: r["cutoff"] for r in quality.cutoffs(signalled, labels).collect()}
+    assert found == {s: grid[0] for s, grid in quality.CUTOFFS.items()}
+
+
 # Jaccard groups
 
 
