@@ -411,8 +411,8 @@ def _every_pair(left: DataFrame, similarity: Similarity) -> DataFrame:
     )
 
 
-def linked_documents(docs: DataFrame, similarity: Similarity = Similarity()) -> DataFrame:
-    """Columns doc_id, n_shingles, component_id (the smallest doc_id reachable) and node (of its words), a row per document."""
+def _linked(docs: DataFrame, similarity: Similarity) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A row per document (doc_id, node, n), the nodes with their smallest doc_id (node, first_id, n), and the components of those that are linked."""
     spark = docs.sparkSession
     read = written(_read(docs, similarity.words), "read")
     counts = spark.sparkContext.broadcast(_total(read.filter("chunk IS NOT NULL").select("chunk", "counts")))
@@ -448,7 +448,12 @@ def linked_documents(docs: DataFrame, similarity: Similarity = Similarity()) ->
     found = written(_verified(written(_every_pair(left, similarity), "pairs"), texts, similarity), "links")
     if not found.isEmpty():
         joined = written(components(links.union(found)), "components")
+    return rows, nodes, joined
+
 
+def linked_documents(docs: DataFrame, similarity: Similarity = Similarity()) -> DataFrame:
+    """Columns doc_id, n_shingles, component_id (the smallest doc_id reachable) and node (of its words), a row per document."""
+    rows, nodes, joined = _linked(docs, similarity)
     # the smallest doc_id of each component, and of copies where there is no link
     least = (
         nodes.join(joined, "node")
@@ -467,11 +472,28 @@ def linked_documents(docs: DataFrame, similarity: Similarity = Similarity()) ->
 
 
 def one_of_each_group(docs: DataFrame, similarity: Similarity = Similarity()) -> DataFrame:
-    """The rows that stay: of each component the document with the smallest doc_id, all columns kept.
+    """The rows that stay: of each component one with the smallest doc_id, all columns kept.
 
-    Documents without words stay. Rows that repeat the doc_id and text of one that stays are repeats of it and go.
+    Of several texts with that id the one of the smallest node stays; null ids come last. Documents without words stay.
+    Rows that repeat the doc_id and text of one that stays are repeats of it and go.
     """
-    stay = linked_documents(docs, similarity).filter("doc_id <=> component_id").select("doc_id").distinct()
+    _, nodes, joined = _linked(docs, similarity)
+    no_id, own_id = F.col("id").isNull().alias("no_id"), F.coalesce("id", F.lit(0)).alias("own_id")
+    stay = (
+        nodes.withColumnRenamed("first_id", "id")
+        .join(joined, "node", "left")
+        .groupBy(F.coalesce("component", "node").alias("group"))
+        .agg(F.min(F.struct(no_id, own_id, "node")).alias("least"))
+        .select("least.*", F.lit(True).alias("stays"))
+    )
+
+    @F.pandas_udf("binary")
+    def key(texts: pd.Series) -> pd.Series:
+        # of a text without words the text itself, which is told from a node by its length
+        return pd.Series([node_of(words_of(t)) or (b"" if t is None else b"without words at all:" + t.encode()) for t in texts], dtype=object)
+
     # the row as one value, whatever its columns are called
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct("*").alias("doc"))
-    return rows.join(stay, F.col("id").eqNullSafe(F.col("doc_id")), "left_semi").select("doc.*")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), key("text").alias("node"), "text", F.struct("*").alias("doc"))
+    rows = rows.select(no_id, own_id, "node", "text", "doc").groupBy("no_id", "own_id", "node").agg(F.min_by("doc", F.coalesce("text", F.lit(""))).alias("doc"))
+    chosen = rows.join(stay, ["no_id", "own_id", "node"], "left")
+    return chosen.filter(F.col("stays") | (F.length("node") != 16)).select("doc.*")

@@ -258,6 +258,18 @@ def test_one_of_each_group(documents, messy):
     assert jaccard.one_of_each_group(documents([])).count() == 0
 
 
+def test_one_row_of_each_group(documents):
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    c = [" ".join(f"c{k}" for k in range(60)) + f" end{i}" for i in range(4)]
+    rows = [(3, a + " x"), (5, a), (5, b), (5, b), (5, b.upper())] + [(None, t) for t in c] + [(None, c[0])]
+    rows += [(7, " "), (7, " "), (7, ""), (8, None), (9, c[1].replace("c", "d")), (None, c[2].replace("c", "d"))]
+    kept = Counter((r["doc_id"], r["text"]) for r in jaccard.one_of_each_group(documents(rows)).collect())
+    null = [t for i, t in kept if i is None]
+    assert len(null) == 1 and null[0] in c and kept.pop((None, null[0])) == 1
+    assert kept.pop((5, b), 0) + kept.pop((5, b.upper()), 0) == 1
+    assert kept == Counter([(3, a + " x"), (7, " "), (7, ""), (8, None), (9, c[1].replace("c", "d"))])
+
+
 def test_components(spark):
     draw = random.Random(2)
     edges = [(draw.randrange(300), draw.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)] + [(3, 3)]
