@@ -11,7 +11,7 @@ toxic are graded 1 to GRADES by the share of their words that have a kept featur
 parts. Grades given as labels are used as they are.
 
 Null texts count as empty and get the grade that no feature gives. Labels that are null,
-contradict each other or have no document are left out; without both kinds of labels every
+contradict each other, have no document or have documents with different texts are left out; without both kinds of labels every
 expected grade is 0. Repeated rows are graded each by itself. An empty table gives no rows. Only the
 columns doc_id, text, and of the labels doc_id and toxic are read.
 """
@@ -143,7 +143,14 @@ def learn(docs: DataFrame, labels: DataFrame, grades: int = GRADES, sample: int
     drawn = agreed.filter(unit("_id", seed=5) < share).select("_id", "toxic")
     # about 2 * sample rows of two small columns, whatever the number of labels
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("_id"))
-    chosen = chosen.select("text", "toxic")
+    # one row per id, whatever the number of copies; of an id with different texts the label's is not known
+    text = F.coalesce("text", F.lit(""))
+    chosen = (
+        chosen.groupBy("doc_id", "toxic")
+        .agg(F.min(text).alias("text"), F.max(text).alias("last"))
+        .filter("text = last")
+        .select("text", "toxic")
+    )
     sizes = {r["toxic"]: r["n"] for r in chosen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return nothing

@@ -117,6 +117,16 @@ def test_toxicity_held_out(spark, documents):
     assert toxicity.graded(documents([]), none).count() == 0
 
 
+def test_toxicity_repeated_rows_do_not_weigh(spark, documents):
+    draw = random.Random(5)
+    rows = [(i, " ".join(draw.choice(["kalem", "moran", "tinos", "suput", *(["grobian"] if i % 3 == 0 else [])]) for _ in range(12))) for i in range(60)]
+    labels = spark.createDataFrame([(i, 0, int(i % 3 == 0)) for i in range(60)] + [(99, 0, 1)], "doc_id long, quality int, toxic int")
+    more = [rows[4]] * 300 + [(99, "kalem moran")] * 5 + [(99, "lumpig lumpig")] * 9
+    once, again = toxicity.learn(documents(rows), labels), toxicity.learn(documents(rows + more), labels)
+    assert once.places and once.places == again.places
+    assert once.weights == pytest.approx(again.weights, abs=1e-6) and once.thresholds == pytest.approx(again.thresholds, abs=1e-6)
+
+
 def test_ordinal_fit_recovers_the_order():
     draw = np.random.default_rng(0)
     x = draw.normal(size=(4000, 3))
