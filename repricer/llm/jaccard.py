@@ -11,8 +11,8 @@ The order comes from a table of counts of fixed size that all documents add to;
 same result, counts only make it fast. What is wanted is which documents hang together, so pairs
 are not spelled out: in rounds, every shingle's nodes are compared with a few of them (others for each
 shingle and round), and only nodes of different components that meet in a prefix go on. When few
-pairs of these are left, or a round joins hardly any, every one of them is compared, as an ordinary
-join, which Spark splits where it is skewed. Nodes of very common shingles are dealt over several
+pairs are expected to pass the filters, or a round joins hardly any, every one of them is compared, as an ordinary
+join, which Spark splits where it is skewed; a large group that shares a shingle without linking has all its pairs compared. Nodes of very common shingles are dealt over several
 tasks when prefixes meet.
 
 Null texts and texts without words have no shingle and link with nothing. Rows that repeat a doc_id
