@@ -235,6 +235,69 @@ def read_events(
     return decode_json(read_raw(spark, path_or_topic, **source), kind, on_error=on_error)
 
 
+_MODEL_TEXT = {
+    "modelId": ("model_id", "string"),
+    "effectiveTime": ("effective_ts", None),
+    "kind": ("kind", "string"),
+    "bias": ("bias", "decimal(18,4)"),
+    "wInventory": ("w_inventory", "decimal(10,4)"),
+    "wDemand": ("w_demand", "decimal(10,4)"),
+    "wCompetitor": ("w_competitor", "decimal(10,4)"),
+    "artifactUri": ("artifact_uri", "string"),
+}
+
+
+def decode_models(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Model versions sent as JSON, and the quarantine (value, timestamp, reason) of those that cannot be bound.
+
+    A version without an `effectiveTime` (in milliseconds) is in force from the transport's time on.
+    """
+    shape = ", ".join(f"{name} string" for name in _MODEL_TEXT) + ", _corrupt string"
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    parsed = raw.withColumn("_message", F.from_json("value", shape, options))
+    sent = F.col("_message.effectiveTime")
+    whole = _whole(sent)
+    millis = F.when(F.abs(whole) <= _MOST_MILLIS, whole.cast("bigint"))
+    bound = {
+        column: F.col(f"_message.{name}").try_cast(kind) if kind else F.coalesce(F.timestamp_millis(millis), F.when(sent.isNull(), F.col("timestamp")))
+        for name, (column, kind) in _MODEL_TEXT.items()
+    }
+    wrong = F.lit(False)
+    for name, (column, _) in _MODEL_TEXT.items():
+        wrong = wrong | (F.col(f"_message.{name}").isNotNull() & bound[column].isNull())
+    extra = F.array_except(F.json_object_keys("value"), F.array(*[F.lit(name) for name in _MODEL_TEXT]))
+    reason = (
+        F.when(F.col("_message").isNull() | F.col("_message._corrupt").isNotNull() | F.json_object_keys("value").isNull(), "malformed")
+        .when(F.size(extra) > 0, "unknown_field")
+        .when(wrong, "wrong_type")
+        .when(F.col("_message.modelId").isNull(), "no_model")
+    )
+    classified = parsed.withColumn("reason", reason)
+    good = classified.where(F.col("reason").isNull()).select(*[value.alias(column) for column, value in bound.items()])
+    return good, classified.where(F.col("reason").isNotNull()).select("value", "timestamp", "reason")
+
+
+def read_models(
+    spark: SparkSession, path_or_topic: str, *, fmt: str = "registry", bounded: bool = False, **source
+) -> tuple[DataFrame, DataFrame]:
+    """Model versions as rows, and the quarantine of those sent as messages.
+
+    `registry` is a folder of parquet files in the registry's own shape, to which each publication adds one; the other
+    formats are those of `read_raw`, one version per JSON message. A stream begins with all versions there are, as
+    pricing needs the newest of them from its first row on.
+    """
+    if fmt == "registry":
+        reader = spark.read if bounded else spark.readStream
+        versions = reader.options(**dict(source.get("options") or {})).schema(MODEL).parquet(path_or_topic)
+        return versions, versions.where(F.lit(False)).select(*[F.lit(None).cast(kind).alias(name) for name, kind in _REFUSED.items()])
+    if fmt == "kafka" and not bounded:
+        source["options"] = {"startingOffsets": "earliest"} | dict(source.get("options") or {})
+    return decode_models(read_raw(spark, path_or_topic, fmt=fmt, bounded=bounded, **source))
+
+
+_REFUSED = {"value": "string", "timestamp": "timestamp", "reason": "string"}
+
+
 def read_model_registry(spark: SparkSession, path: str) -> DataFrame:
     """All model versions published so far."""
     return spark.read.schema(MODEL).parquet(path)

@@ -7,7 +7,7 @@ checkpoint of its own, so a restart continues where it was and delivers nothing
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Mapping
 from contextlib import nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +18,7 @@ from repricer.operators.eventlog import as_update, metric_union
 from repricer.operators.lookup import Fetch, lookup_competitor
 from repricer.operators.surge import surge_adjustments
 from repricer.schemas import EVENT_LOG
-from repricer.sources.ingest import read_events
+from repricer.sources.ingest import read_events, read_models
 from repricer.streaming.demand import demand_metrics
 from repricer.streaming.pricing import price_stream
 from repricer.streaming.session import ends_with_its_data
@@ -45,13 +45,13 @@ def start(
     inputs: Mapping[str, Mapping],
     out: str,
     *,
-    latest_model: Callable[[], dict | None],
     fetch: Fetch,
     once: bool = False,
     surge: Mapping | None = None,
     **pricing,
 ) -> dict[str, StreamingQuery]:
-    """Start every query of the engine; `inputs` has the arguments of `read_events` for each kind of message.
+    """Start every query of the engine; `inputs` has the arguments of `read_events` for each kind of message, and
+    under "model" those of `read_models`.
 
     Below the shared folder `out` come `updates` and `checkpoints` of the queries, `quarantine` with refused messages and
     `delivered` with prices and alerts. `once` works off what there is and ends; the other queries are then
@@ -60,6 +60,9 @@ def start(
     read = {kind: read_events(spark, bounded=False, kind=kind, **inputs[kind]) for kind in KINDS}
     good = {kind: pair[0] for kind, pair in read.items()}
     refused = [bad.select("value", "timestamp", "reason").withColumn("kind", F.lit(kind)) for kind, (_, bad) in read.items()]
+    models, bad_models = read_models(spark, bounded=False, **inputs["model"])
+    if inputs["model"].get("fmt", "registry") != "registry":
+        refused.append(bad_models.withColumn("kind", F.lit("model")))
     handed = {
         "demand": as_update(demand_metrics(good["click"]), "DEMAND"),
         "surge": as_update(surge_adjustments(surge_runs(good["order"], **(surge or {}))), "EMERGENCY"),
@@ -82,6 +85,6 @@ def start(
         *[read_updates(spark, f"{out}/updates/{name}") for name in handed],
     )
     queries["pricing"] = write_messages(
-        price_stream(log, latest_model, **pricing), path=f"{out}/delivered", checkpoint=f"{out}/checkpoints/pricing", once=once
+        price_stream(log, models, **pricing), path=f"{out}/delivered", checkpoint=f"{out}/checkpoints/pricing", once=once
     )
     return queries

@@ -4,6 +4,7 @@ import json
 
 import pytest
 
+from repricer.schemas import MODEL
 from repricer.streaming.job import start
 from repricer.streaming.session import prepare
 from test_streaming import model
@@ -26,11 +27,13 @@ def test_messages_to_prices_and_back_again(spark, tmp_path):
     put(source / "click", "a.json", *[{**product, "timestamp": BASE + 20_000 * i} for i in range(4)], '{"productName":"n"}')
     put(source / "order", "a.json", *[{**product, "orderId": str(i), "quantity": 1, "timestamp": BASE} for i in range(12)])
     inputs = {kind: {"path_or_topic": str(source / kind), "fmt": "text"} for kind in ("click", "order", "inventory", "rule")}
+    inputs["model"] = {"path_or_topic": str(source / "model")}
+    streaming.createDataFrame([model()], MODEL).write.parquet(str(source / "model"))
 
     def run():
         queries = start(
             streaming, inputs, str(tmp_path / "out"), once=True,
-            latest_model=lambda: model(), fetch=lambda product: (200, '{"price": 42.0}'),
+            fetch=lambda product: (200, '{"price": 42.0}'),
         )
         queries["pricing"].awaitTermination(120)
         assert all(q.exception() is None for q in queries.values())

@@ -2,18 +2,22 @@ import datetime as dt
 import os
 import random
 import time
+from collections import Counter
 from contextlib import nullcontext
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import BASE
 from repricer.operators import demand as batch_demand
 from repricer.operators import surge as batch_surge
 from repricer.operators.lookup import lookup_competitor
-from repricer.schemas import EVENT_LOG
+from repricer.operators.pricing import price_alerts, priced_rows, with_previous_price
+from repricer.schemas import EVENT_LOG, MODEL
+from repricer.sources.ingest import decode_models, read_models
 from repricer.streaming import demand, surge
-from repricer.streaming.pricing import RegistryReader, price_stream
+from repricer.streaming.pricing import price_stream
 from repricer.streaming.session import ends_with_its_data, prepare
 from repricer.streaming.sinks import messages, write_alerts, write_messages, write_prices
 
@@ -139,11 +143,13 @@ def update(product, t, kind, seq, **payload):
     return (product, at(t), rank, seq, kind, "n", row["demand"], row["quantity"], row["competitor"], row["rule"], row["emergency"])
 
 
-def model(name="a", bias="100"):
-    return {
-        "model_id": name, "kind": "linear", "bias": Decimal(bias), "w_inventory": Decimal(0), "w_demand": Decimal(0),
-        "w_competitor": Decimal(0), "artifact_uri": None,
-    }
+def model(name="a", bias="100", since=-3600, uri=None):
+    return (name, at(since), "linear", Decimal(bias), Decimal(0), Decimal(0), Decimal(0), uri)
+
+
+def models(spark, tmp_path, *batches):
+    """A stream of model versions; one that is there from the start by default."""
+    return stream(spark, str(tmp_path / "models"), MODEL, batches or [[model()]])
 
 
 def eur(text):
@@ -161,7 +167,7 @@ def test_pricing_state(streaming, tmp_path):
         ],
     ]
     log = stream(streaming, str(tmp_path / "in"), EVENT_LOG, batches)
-    got = drain(price_stream(log, lambda: model()), tmp_path, "priced", timers=True)
+    got = drain(price_stream(log, models(streaming, tmp_path)), tmp_path, "priced", timers=True)
     rows = {
         "p": [
             (r.metric_type, str(r.new_price.amount), r.previous_price and str(r.previous_price), r.is_alert)
@@ -181,7 +187,7 @@ def test_pricing_state(streaming, tmp_path):
 
 def test_no_model_no_price(streaming, tmp_path):
     log = stream(streaming, str(tmp_path / "in"), EVENT_LOG, [[update("p", 0, "CLICK", 0)]])
-    assert drain(price_stream(log, lambda: None), tmp_path, "unpriced", timers=True).count() == 0
+    assert drain(price_stream(log, models(streaming, tmp_path, [])), tmp_path, "unpriced", timers=True).count() == 0
 
 
 def test_surge_factor_and_inactivity_by_processing_time(streaming, tmp_path):
@@ -194,7 +200,7 @@ def test_surge_factor_and_inactivity_by_processing_time(streaming, tmp_path):
         update("p", 3, "CLICK", 3),
     ]
     log = stream(streaming, folder, EVENT_LOG, [first])
-    priced = price_stream(log, lambda: model(), ttl="3 seconds", gap="4 seconds")
+    priced = price_stream(log, models(streaming, tmp_path), ttl="3 seconds", gap="4 seconds")
     query = (
         priced.writeStream.format("memory").queryName("timed").outputMode("append")
         .option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(processingTime="1 second").start()
@@ -218,7 +224,7 @@ def test_delivery(streaming, tmp_path):
         [update("p", 1, "COMPETITOR", 1, competitor=eur("300.00")), update("p", 2, "CLICK", 2)],
     ]
     log = stream(streaming, str(tmp_path / "in"), EVENT_LOG, batches)
-    priced = price_stream(log, lambda: model())
+    priced = price_stream(log, models(streaming, tmp_path))
     text = "ALERT: price jump for p new=Money(amount=160.00, currency=EUR)"
 
     def deliver(write, name):
@@ -239,7 +245,7 @@ def test_delivery(streaming, tmp_path):
 def test_currency_conflicts_are_delivered(streaming, tmp_path):
     dollars = ((Decimal("1.00"), "USD"), (Decimal("9.00"), "USD"))
     batches = [[update("p", 0, "CLICK", 0)], [update("p", 1, "RULE", 1, rule=dollars)], [update("p", 2, "COMPETITOR", 2, competitor=(Decimal("5.00"), "USD")), update("p", 3, "CLICK", 3)]]
-    priced = price_stream(stream(streaming, str(tmp_path / "in"), EVENT_LOG, batches), lambda: model())
+    priced = price_stream(stream(streaming, str(tmp_path / "in"), EVENT_LOG, batches), models(streaming, tmp_path))
     out = str(tmp_path / "out")
     finish(write_messages(priced, path=out, checkpoint=str(tmp_path / "checkpoint"), once=True))
     rows = streaming.read.parquet(out).collect()
@@ -248,25 +254,128 @@ def test_currency_conflicts_are_delivered(streaming, tmp_path):
     assert '"metric_type":"RULE"' in value and '"min":"USD"' in value and '"competitor":"EUR"' in value
 
 
-def versions(spark, count):
-    return spark.range(count).selectExpr(
-        "concat('m', id) model_id", "timestamp_seconds(1735689600 + id) effective_ts", "'linear' kind",
-        "cast(1 as decimal(18,4)) bias", "cast(0 as decimal(10,4)) w_inventory", "cast(0 as decimal(10,4)) w_demand",
-        "cast(0 as decimal(10,4)) w_competitor", "cast(null as string) artifact_uri",
-    )
+def prices(table):
+    rows = table.collect()
+    return sorted((r.product_id, r.metric_type, str(r.new_price.amount), str(r.previous_price), r.is_alert) for r in rows)
+
+
+def hot_log(seed=5):
+    """Four micro-batches in the order of time; one product has most of the clicks and some of the updates."""
+    rng, rows = random.Random(seed), []
+    for seq in range(400):
+        t, product = seq * 1.5, "hot" if rng.random() < 0.8 else f"p{rng.randrange(3)}"
+        kind = rng.choices(["CLICK", "INVENTORY", "DEMAND", "COMPETITOR", "RULE", "EMERGENCY"], [30, 2, 2, 2, 1, 1])[0]
+        payload = {
+            "INVENTORY": lambda: {"quantity": rng.choice([3, 50])},
+            "DEMAND": lambda: {"demand": rng.choice([(2.0, 1.0), (1.0, 1.0)])},
+            "COMPETITOR": lambda: {"competitor": eur(rng.choice(["10.00", "90.00", "400.00"]))},
+            "RULE": lambda: {"rule": (eur("1.00"), eur(rng.choice(["80.00", "500.00"])))},
+            "EMERGENCY": lambda: {"emergency": (1.2, at(t))},
+        }.get(kind, dict)()
+        rows.append(update(product, t, kind, seq, **payload))
+    batches = [rows[:90], rows[90:200], rows[200:210], rows[210:]]
+    for batch in batches:
+        rng.shuffle(batch)
+    return batches
 
 
-def test_registry_reader(spark, tmp_path):
-    folder = tmp_path / "models"
-    with pytest.raises(ValueError):
-        RegistryReader(str(folder))
-    with pytest.raises(FileNotFoundError):
-        RegistryReader(folder.as_uri())()
-    reader = RegistryReader(folder.as_uri(), refresh=0.0, allow_missing=True)
-    assert reader() is None
-    for first in (0, 1):
-        versions(spark, 12_000).where(f"cast(substr(model_id, 2) as int) % 2 = {first}").write.mode("append").parquet(str(folder))
-        assert reader()["model_id"] == f"m{11_998 + first}"
-    (folder / "damaged.parquet").write_bytes(b"PAR1 not a model")
-    with pytest.raises(Exception, match="(?i)parquet"):
-        reader()
+@pytest.mark.parametrize("shards, hot", [(1, None), (3, ["hot"]), (4, None)])
+def test_a_hot_product_is_priced_as_in_batch(streaming, tmp_path, shards, hot):
+    batches = hot_log()
+    # a dearer model comes in the third micro-batch, and holds from inside it
+    versions = [[model()], [], [model("b", "170", since=303.0)], []]
+    log = stream(streaming, str(tmp_path / "in"), EVENT_LOG, batches)
+    priced = price_stream(log, models(streaming, tmp_path, *versions), ttl="1 day", gap="1 day", buckets=5, shards=shards, hot=hot)
+    got = drain(priced, tmp_path, f"hot_{shards}", timers=True)
+    whole = streaming.createDataFrame([r for b in batches for r in b], EVENT_LOG)
+    registry = streaming.createDataFrame([v for b in versions for v in b], MODEL)
+    emitted = priced_rows(whole, registry, ttl="1 day")
+    alerts = {r.seq for r in price_alerts(emitted).collect()}
+    expected = sorted(
+        (r.product_id, r.metric_type, str(r.new_price.amount), str(r.previous_price), r.seq in alerts) for r in with_previous_price(emitted).collect()
+    )
+    assert prices(got) == expected
+    assert len(alerts) > 5 and len({p for p, *_ in expected}) == 4
+
+
+def test_the_own_place_of_a_hot_product_sees_changes_only(streaming, tmp_path):
+    from repricer.streaming.pricing import pricing_facts
+
+    log = stream(streaming, str(tmp_path / "in"), EVENT_LOG, hot_log())
+    facts = pricing_facts(log, models(streaming, tmp_path), ttl="1 day", gap="1 day", buckets=4, shards=4, hot=["hot"])
+    rows = drain(facts, tmp_path, "lanes", timers=True).where("product_id = 'hot'").collect()
+    assert len({r.lane for r in rows}) == 5 and sum(r.lane == 0 for r in rows) < 0.5 * len(rows)
+
+
+def test_versions_come_as_a_stream(streaming, tmp_path):
+    """A version prices the next trigger, an older one that comes late does not, and a restart keeps the newest."""
+    clicks = [[update("p", 10, "INVENTORY", 0, quantity=50)], [update("p", 20, "CLICK", 1)], [update("p", 30, "CLICK", 2)]]
+    log = stream(streaming, str(tmp_path / "in"), EVENT_LOG, clicks)
+    versions = models(streaming, tmp_path, [model("a", "100")], [model("c", "300", since=15)], [model("b", "200", since=12)])
+
+    def run():
+        out = str(tmp_path / "out")
+        finish(write_messages(price_stream(log, versions, buckets=3), path=out, checkpoint=str(tmp_path / "checkpoint"), once=True))
+        return [r.value for r in streaming.read.parquet(out).where("topic = 'prices'").collect()]
+
+    amounts = lambda values: sorted(v.split('"amount":')[1].split(",")[0] for v in values)
+    assert amounts(run()) == ["210.00", "210.00", "70.00"]
+    add(streaming, str(tmp_path / "in"), EVENT_LOG, [update("p", 40, "CLICK", 3), update("new", 41, "CLICK", 4)], 7)
+    assert amounts(run()) == ["210.00", "210.00", "210.00", "231.00", "70.00"]
+
+
+def test_scored_once_and_the_past_stays(streaming, tmp_path):
+    """A scorer sees every trigger once; the previous price is the one that was emitted, whatever the scorer is now."""
+    seen = tmp_path / "seen"
+    seen.mkdir()
+
+    def scorer_of(price):
+        def scorer(features):
+            for _ in range(len(features)):
+                (seen / str(random.random())).touch()
+            return features["inventory_level"] * 0 + price
+
+        return scorer
+
+    def run(price):
+        priced = price_stream(log, models(streaming, tmp_path, []) if price < 0 else versions, scorer=scorer_of(price), buckets=2)
+        query = (
+            priced.select("metric_type", F.col("new_price.amount").alias("amount"), "previous_price").writeStream.format("parquet")
+            .option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True)
+        )
+        with ends_with_its_data(streaming):
+            finish(query.start())
+        rows = streaming.read.parquet(str(tmp_path / "out")).collect()
+        return Counter((r.metric_type, str(r.amount), str(r.previous_price)) for r in rows)
+
+    log = stream(streaming, str(tmp_path / "in"), EVENT_LOG, [[update("p", 1, "INVENTORY", 0, quantity=50)], [update("p", 2, "CLICK", 1)]])
+    versions = models(streaming, tmp_path)
+    first = Counter({("INVENTORY", "70.00", "None"): 1, ("CLICK", "70.00", "70.00"): 1})
+    assert run(100.0) == first and len(os.listdir(seen)) == 2
+    add(streaming, str(tmp_path / "in"), EVENT_LOG, [update("p", 3, "CLICK", 2)], 5)
+    assert run(300.0) == first + Counter({("CLICK", "210.00", "70.00"): 1}) and len(os.listdir(seen)) == 3
+
+
+def test_model_messages(spark):
+    texts = [
+        '{"modelId":"m","effectiveTime":1735689600000,"kind":"linear","bias":"12.5","wInventory":0.1,"wDemand":2,"wCompetitor":null,"artifactUri":"s"}',
+        '{"modelId":"n","kind":"linear"}',
+        '{"modelId":"n","bias":"many"}',
+        '{"kind":"linear"}',
+        '{"modelId":"n","color":"red"}',
+        "nonsense",
+    ]
+    good, bad = decode_models(spark.createDataFrame([(t, at(7)) for t in texts], "value string, timestamp timestamp"))
+    assert [c for c in good.columns] == [c.split()[0] for c in MODEL.split(", ")]
+    rows = {r.model_id: r for r in good.collect()}
+    assert rows["m"].effective_ts == at(0) and rows["m"].bias == Decimal("12.5") and rows["m"].w_competitor is None
+    assert rows["n"].effective_ts == at(7)
+    assert sorted(r.reason for r in bad.collect()) == ["malformed", "no_model", "unknown_field", "wrong_type"]
+
+
+def test_versions_from_files_of_messages(streaming, tmp_path):
+    (tmp_path / "sent").mkdir()
+    (tmp_path / "sent" / "a.json").write_text('{"modelId":"m","effectiveTime":5,"kind":"linear","bias":1,"wInventory":0,"wDemand":0,"wCompetitor":0}\nno\n')
+    good, bad = read_models(streaming, str(tmp_path / "sent"), fmt="text")
+    assert [r.model_id for r in drain(good, tmp_path, "sent_models").collect()] == ["m"]
+    assert [r.reason for r in drain(bad, tmp_path, "refused_models").collect()] == ["malformed"]
