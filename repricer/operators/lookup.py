@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections import deque
 from collections.abc import Callable, Iterator
-from queue import Empty, Queue
-from threading import Thread
+from threading import Condition, Thread
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -41,49 +41,76 @@ def parse_competitor_response(responses: DataFrame) -> DataFrame:
     )
 
 
-def _fetch_all(ids: list[str], fetch: Fetch, timeout: float, capacity: int) -> dict:
-    """Fetch each id once, with at most `capacity` calls waited for; a failed or late call gives no status.
+class _Places:
+    """Room for the calls of one lookup in a worker process; a call keeps its place until it has really ended."""
 
-    The time of a call runs from its start. A late one is given up and its place goes to the next id, so
-    calls that hang delay others by `timeout` at most. Their threads end with the calls: a fetch
-    that has a timeout of its own leaves none behind.
+    def __init__(self, capacity: int):
+        self.capacity, self.alive = capacity, 0
+        self.changed = Condition()
+        #: All places were found held by late calls, and none has ended since.
+        self.is_hung = False
+
+
+#: By lookup: late calls outlive their batch and task, so their places do too.
+_places: dict[str, _Places] = {}
+
+
+def _fetch_all(ids: list[str], fetch: Fetch, timeout: float, places: _Places) -> dict:
+    """Fetch each id once, with no more calls alive than there are places; a failed or late call gives no status.
+
+    The time of a call runs from its start. A late one is given up but keeps its place. When late calls hold all
+    places, the ids that wait get `timeout` for one to end; after that they are answered without a call, and so are all
+    others, at once, until a call ends.
     """
     waiting, answers = deque(ids), {}
     running: dict[str, float] = {}
-    done: Queue[tuple[str, tuple[int | None, str | None]]] = Queue()
+    done: dict[str, tuple[int | None, str | None]] = {}
+    patience = None
 
     def call(product: str) -> None:
         try:
             answer = fetch(product)
         except Exception:  # a refused or broken answer is an error row, never a failed task
             answer = (None, None)
-        done.put((product, answer))
-
-    while waiting or running:
-        while waiting and len(running) < capacity:
-            product = waiting.popleft()
-            running[product] = time.monotonic() + timeout
-            Thread(target=call, args=(product,), daemon=True).start()
-        try:
-            product, answer = done.get(timeout=max(0.0, min(running.values()) - time.monotonic()))
-            if product in running:
-                answers[product] = answer
-                del running[product]
-        except Empty:
+        with places.changed:
+            done[product] = answer
+            places.alive -= 1
+            places.is_hung = False
+            places.changed.notify_all()
+
+    with places.changed:
+        while True:
             now = time.monotonic()
-            for product in [p for p, deadline in running.items() if deadline <= now]:
-                answers[product] = (None, None)
+            for product in [p for p, deadline in running.items() if p in done or deadline <= now]:
+                answers[product] = done.get(product, (None, None))
                 del running[product]
-    return answers
+            while waiting and places.alive < places.capacity:
+                product, patience = waiting.popleft(), None
+                running[product] = now + timeout
+                places.alive += 1
+                Thread(target=call, args=(product,), daemon=True).start()
+            if not waiting and not running:
+                return answers
+            until = min(running.values(), default=now)
+            if not running:
+                patience = now + timeout if patience is None else patience
+                if places.is_hung or patience <= now:
+                    places.is_hung = True
+                    return answers | dict.fromkeys(waiting, (None, None))
+                until = patience
+            places.changed.wait(max(0.0, until - now))
 
 
 def _responses(rows: DataFrame, fetch: Fetch, timeout_ms: int, capacity: int) -> DataFrame:
     """Rows with the status and body of their product; one call per product and Arrow batch."""
 
+    lookup = uuid.uuid4().hex
+
     def call_service(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        places = _places.setdefault(lookup, _Places(capacity))
         for batch in batches:
             ids = batch["product_id"].dropna().unique().tolist()
-            answers = _fetch_all(ids, fetch, timeout_ms / 1000, capacity)
+            answers = _fetch_all(ids, fetch, timeout_ms / 1000, places)
             pairs = [answers.get(product, (None, None)) for product in batch["product_id"]]
             batch["status"] = pd.array([status for status, _ in pairs], dtype="Int32")
             batch["body"] = [body for _, body in pairs]
@@ -114,6 +141,9 @@ def lookup_competitor(
 ) -> DataFrame:
     """One competitor price per click, fetched by an injected callable inside the tasks.
 
+    At most `capacity` calls are alive in a worker process (one per task slot), late ones included; while a service
+    hangs so that they are all late, clicks are answered with an error at once.
+
     With `dedupe` a batch asks for each distinct product once, spread over `tasks`
     partitions, and joins the answers back; a stream asks once per product and Arrow batch.
     """

@@ -1,8 +1,10 @@
+import threading
 import time
 from decimal import Decimal
 
 import pytest
 
+from repricer.operators import lookup
 from repricer.operators.lookup import lookup_competitor, lookup_competitor_table, parse_competitor_response
 
 CLICK = "product_id string, t double, seq bigint"
@@ -81,17 +83,60 @@ def test_table_of_answers(rows, spark):
     assert got == {0: ("1.50", False), 1: ("0.00", True), 2: ("0.00", False)}
 
 
-def test_hung_calls_do_not_starve_others(rows):
-    def sometimes(product):
-        if product.startswith("hung"):
-            time.sleep(30)
-        return 200, '{"price": 7.0}'
-
-    names = [f"hung{i}" for i in range(4)] + [f"ok{i}" for i in range(8)]
-    clicks = rows(CLICK, *[(name, 0.0, i) for i, name in enumerate(names)])
-    got = lookup_competitor(clicks, sometimes, timeout_ms=1000, capacity=4, tasks=1)
-    answered = {r.product_id: r.is_error for r in got.collect()}
-    assert answered == {name: name.startswith("hung") for name in names}
+def hung(product):
+    if product.startswith("hung"):
+        time.sleep(6)
+    return 200, '{"price": 7.0}'
+
+
+@pytest.mark.parametrize("count, answered", [(3, True), (4, False)])
+def test_hung_calls_cost_others_bounded_time(rows, count, answered):
+    """With a place left the others are served through it; with none left they get an error soon."""
+    names = [f"hung{i}" for i in range(count)] + [f"ok{i}" for i in range(8)]
+    clicks = rows(CLICK, *[(name, 0.0, i) for i, name in enumerate(names)]).coalesce(1)
+    got = lookup_competitor(clicks, hung, timeout_ms=1000, capacity=4, dedupe=False)
+    began = time.monotonic()
+    failed = {r.product_id: r.is_error for r in got.collect()}
+    assert failed == {name: name.startswith("hung") or not answered for name in names}
+    assert time.monotonic() - began < 5
+
+
+def test_late_calls_keep_their_places():
+    """A service that only gets slower never has more calls to answer than there are places."""
+    alive, most, lock = 0, 0, threading.Lock()
+
+    def slow(product):
+        nonlocal alive, most
+        with lock:
+            alive += 1
+            most = max(most, alive)
+        time.sleep(1.0)
+        with lock:
+            alive -= 1
+        return 200, "{}"
+
+    places = lookup._Places(4)
+    began = time.monotonic()
+    answers = lookup._fetch_all([str(i) for i in range(40)], slow, 0.2, places)
+    assert set(answers.values()) == {(None, None)} and len(answers) == 40 and time.monotonic() - began < 0.9
+    # while all hang, a later batch is answered at once
+    again = time.monotonic()
+    assert set(lookup._fetch_all(["a", "b"], slow, 0.2, places).values()) == {(None, None)} and time.monotonic() - again < 0.1
+    time.sleep(1.2)
+    assert lookup._fetch_all(["c"], lambda product: (200, product), 0.2, places) == {"c": (200, "c")}
+    assert most == 4 and places.alive == 0
+
+
+def test_places_outlive_the_batch(rows, spark):
+    """The second batch of a task finds the places of the first one's late calls taken."""
+    clicks = rows(CLICK, *[(f"hung{i}", float(i), i) for i in range(6)], ("ok", 9.0, 9)).coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        got = lookup_competitor(clicks, hung, timeout_ms=400, capacity=2, dedupe=False)
+        began = time.monotonic()
+        assert {r.is_error for r in got.collect()} == {True} and time.monotonic() - began < 4
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_a_click_gets_one_price_of_several_answers(spark, rows):
