@@ -1,10 +1,10 @@
 """How filters of documents interact: what each removes, in every order of them.
 
 Words come as a sparse document-term matrix. Texts are read once, in shards of some megabytes; a
-shard encodes its words with a dictionary of its own and stores its rows compressed (row starts,
-word numbers, counts). Only the shards' distinct words are shuffled to make the global dictionary,
-whose numbers go back to each shard and replace its own. Row sums are the documents' words, the
-number of entries of a row its distinct words.
+shard numbers its words with a dictionary of its own and stores its rows compressed (row starts,
+word numbers, counts). The shards' distinct words alone are shuffled, once, by word: there each word gets its
+number in the global dictionary, and the numbers go back to the shards in packed arrays and replace the shards' own. Row sums
+are the documents' words, the number of entries of a row its distinct words.
 
 Each document then is a set of failed filters. Rows are added up by text before equal texts are
 compared, so a text that a third of the rows share is a few rows; labels meet one row per document. From there one count per part and set of failed
@@ -19,18 +19,22 @@ another. Of several labels of a doc_id one that is 1 counts. An empty table give
 from __future__ import annotations
 
 import itertools
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repricer.llm.common import text_of, written
 
 #: Bytes of text in a shard, about; a longer document is a shard of its own.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 16 << 20
+#: Words of the dictionary pass that a task numbers at once.
+PACKED_WORDS = 1 << 20
 LETTERS = "ABCDE"
 #: Fewer words fail A; fewer distinct words for each 100 fail B; more capitals for each 100 code points fail C.
 LEAST_WORDS, LEAST_DISTINCT, MOST_CAPITALS = 100, 80, 10
@@ -75,13 +79,24 @@ def _characters(texts: pa.Array) -> list[np.ndarray]:
     """Code points, capitals A to Z and marks of each text."""
     ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     own = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    filled = np.flatnonzero(ends[1:] > ends[:-1])
     found = []
     for flags in ((own & 0xC0) != 0x80, (own >= 65) & (own <= 90), np.isin(own, np.frombuffer(MARKS, np.uint8))):
-        upto = np.r_[0, np.cumsum(flags)]
-        found.append(upto[ends[1:] - ends[0]] - upto[ends[:-1] - ends[0]])
+        counts = np.zeros(len(texts), np.int64)
+        if len(filled):
+            counts[filled] = np.add.reduceat(flags, ends[filled] - ends[0], dtype=np.int64)
+        found.append(counts)
     return found
 
 
+def _packed(values: np.ndarray) -> bytes:
+    return zlib.compress(np.diff(values, prepend=0).astype("<i4").tobytes(), 1)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(packed), "<i4"), dtype=np.int64)
+
+
 def _shards(docs: DataFrame) -> DataFrame:
     """The texts in shards: documents, rows in the shard's own numbers, and its words."""
 
@@ -96,7 +111,7 @@ def _shards(docs: DataFrame) -> DataFrame:
                 described = pa.StructArray.from_arrays(
                     [own.column("doc_id"), own.column("part").cast(pa.string()), own.column("digest"), *characters], fields=list(_DOC_TYPE)
                 )
-                matrix = [pa.array([x.astype("<i4").tobytes()], pa.binary()) for x in (starts, numbers, counts)]
+                matrix = [pa.array([_packed(x)], pa.binary()) for x in (starts, numbers, counts)]
                 yield pa.RecordBatch.from_arrays(
                     [_one_list(described), *matrix, _one_list(words.cast(pa.string()))], names=["docs", "starts", "numbers", "counts", "words"]
                 )
@@ -111,69 +126,121 @@ def _shards(docs: DataFrame) -> DataFrame:
     return written(made.withColumn("shard", F.monotonically_increasing_id()), "shards")
 
 
-def _dictionary(words: DataFrame) -> DataFrame:
-    """Columns word and id: the distinct words numbered from 0 without gaps."""
-    placed = written(words.select("word").distinct().withColumn("place", F.monotonically_increasing_id()), "words")
-    run, within = F.shiftright("place", 33), F.col("place").bitwiseAND((1 << 33) - 1)
-    # one row per partition of the table
-    totals = placed.groupBy(run.alias("run")).agg(F.count("*").alias("n"))
-    before = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    first = totals.select("run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    return placed.select("word", run.alias("run"), within.alias("within")).join(F.broadcast(first), "run").select(
-        "word", (F.col("first") + F.col("within")).alias("id")
+def _numbered(shards: DataFrame) -> DataFrame:
+    """The words of all shards numbered, one run of numbers per task.
+
+    Rows either say for some words of a shard which numbers they have (shard, own, within the run) or list words of
+    the dictionary in the order of their numbers (words, and the number of the first).
+    """
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, last, known, waiting, waits = TaskContext.get().partitionId(), None, -1, [], 0
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            shard, own, within = (np.concatenate(x) for x in zip(*waiting))
+            order = np.lexsort((own, shard))
+            shard, own, within = shard[order], own[order], within[order]
+            starts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
+            for start, stop in zip(starts, [*starts[1:], len(shard)]):
+                yield row(int(shard[start]), _packed(own[start:stop]), _packed(within[start:stop]), None, None)
+
+        def row(shard, own, within, words, first) -> pa.RecordBatch:
+            values = [run, shard, own, within, words, first]
+            kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.string()), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values[:4], kinds)] + [
+                pa.nulls(1, kinds[4]) if words is None else _one_list(words), pa.array([first], kinds[5])
+            ], names=["run", "shard", "own", "within", "words", "first"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words = batch.column("word").cast(pa.string())
+            new = np.ones(len(words), bool)
+            new[1:] = pc.not_equal(words.slice(1), words.slice(0, len(words) - 1)).to_numpy(zero_copy_only=False)
+            new[0] = words[0].as_py() != last
+            within, last = known + np.cumsum(new), words[-1].as_py()
+            if new.any():
+                yield row(None, None, None, words.filter(pa.array(new)), known + 1)
+            known = int(within[-1])
+            waiting.append((batch.column("shard").to_numpy(), batch.column("number").to_numpy().astype(np.int64), within))
+            waits += len(within)
+            if waits >= PACKED_WORDS:
+                yield from packed()
+                waiting, waits = [], 0
+        if waits:
+            yield from packed()
+
+    words = shards.select("shard", F.posexplode("words").alias("number", "word")).select("word", "shard", "number")
+    return words.repartition("word").sortWithinPartitions("word").mapInArrow(
+        number, "run int, shard long, own binary, within binary, words array<string>, first long"
     )
 
 
+def _matrix(docs: DataFrame, give, schema: str) -> tuple[DataFrame, DataFrame]:
+    """What `give` makes of the shards (docs, starts, ids, counts), and the dictionary."""
+    shards = _shards(docs)
+    numbered = written(_numbered(shards), "numbered")
+    # one row per task of that pass
+    runs = numbered.where("first IS NOT NULL").groupBy("run").agg(F.max(F.col("first") + F.size("words")).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = numbered.join(F.broadcast(runs.select("run", before.alias("before"))), "run")
+    dictionary = placed.where("first IS NOT NULL").select((F.col("before") + F.col("first")).alias("from"), F.posexplode("words").alias("nth", "word"))
+
+    def renumber(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """Of rows sorted by shard, numbers first: the shards with the numbers of the dictionary."""
+        numbers: list[tuple] = []
+        for batch in batches:
+            for row in range(batch.num_rows):
+                own = [batch.column(name)[row].as_py() for name in ("own", "within", "before", "starts", "numbers", "counts")]
+                if own[0] is not None:
+                    numbers.append((_unpacked(own[0]), _unpacked(own[1]) + own[2]))
+                    continue
+                to = np.empty(sum(len(x) for x, _ in numbers), np.int64)
+                for x, ids in numbers:
+                    to[x] = ids
+                numbers = []
+                yield batch.column("docs").slice(row, 1).flatten(), _unpacked(own[3]), to[_unpacked(own[4])], _unpacked(own[5])
+
+    nothing = lambda kind: F.lit(None).cast(kind)
+    numbers = placed.where("own IS NOT NULL").select(
+        "shard", F.lit(0).alias("kind"), "own", "within", "before", nothing(f"array<{_DOC}>").alias("docs"),
+        *[nothing("binary").alias(name) for name in ("starts", "numbers", "counts")],
+    )
+    own = shards.select(
+        "shard", F.lit(1).alias("kind"), *[nothing("binary").alias(name) for name in ("own", "within")], nothing("long").alias("before"),
+        "docs", "starts", "numbers", "counts",
+    )
+    together = numbers.unionByName(own).repartition("shard").sortWithinPartitions("shard", "kind")
+    made = together.mapInArrow(lambda batches: (give(*shard) for shard in renumber(batches)), schema)
+    return made, dictionary.select("word", (F.col("from") + F.col("nth")).alias("id"))
+
+
 def document_term_matrix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The shards of the matrix and the dictionary (word, id).
+    """The shards of the matrix and the dictionary (word, id; ids from 0 without gaps).
 
     A shard has its documents in row order (doc_id, part, digest of the text, characters, capitals, marks) and, as little-endian
     integers, the starts of its rows (32 bits; one more than rows), the word ids (64 bits) and the counts (32 bits).
     """
-    shards = _shards(docs)
-    words = shards.select("shard", F.posexplode("words").alias("number", "word"))
-    dictionary = written(_dictionary(words), "dictionary")
-    # the ids of a shard's own words, as many as a shard has
-    ids = words.join(dictionary, "word").groupBy("shard").agg(F.collect_list(F.struct("number", "id")).alias("ids"))
 
-    def renumber(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                own = batch.slice(row, 1)
-                pairs = own.column("ids").flatten()
-                to = np.empty(len(pairs), np.int64)
-                if len(pairs):
-                    numbers, found = (x.to_numpy(zero_copy_only=False) for x in pairs.flatten())
-                    to[numbers] = found
-                local = np.frombuffer(own.column("numbers")[0].as_py(), "<i4")
-                columns = [own.column("docs"), own.column("starts"), pa.array([to[local].astype("<i8").tobytes()], pa.binary()), own.column("counts")]
-                yield pa.RecordBatch.from_arrays(columns, names=["docs", "starts", "ids", "counts"])
-
-    # shards without a word have no ids
-    matrix = shards.select("shard", "docs", "starts", "numbers", "counts").join(ids, "shard", "left")
-    matrix = matrix.withColumn("ids", F.coalesce("ids", F.expr("cast(array() as array<struct<number: int, id: bigint>>)"))).drop("shard")
-    return matrix.mapInArrow(renumber, f"docs array<{_DOC}>, starts binary, ids binary, counts binary"), dictionary
-
-
-def row_statistics(matrix: DataFrame) -> DataFrame:
-    """A row per document: what its shard says of it, n_words (the row's sum) and n_distinct (its nonzero entries)."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                described = batch.column("docs").slice(row, 1).flatten()
-                starts, ids, counts = (
-                    np.frombuffer(batch.column(name)[row].as_py(), kind) for name, kind in (("starts", "<i4"), ("ids", "<i8"), ("counts", "<i4"))
-                )
-                if len(ids) != len(counts) or starts[-1] != len(ids):
-                    raise ValueError("a damaged shard of the matrix")
-                upto = np.r_[0, np.cumsum(counts, dtype=np.int64)]
-                sums = pa.array(upto[starts[1:]] - upto[starts[:-1]], pa.int64())
-                entries = pa.array(np.diff(starts).astype(np.int64), pa.int64())
-                yield pa.RecordBatch.from_arrays([*described.flatten(), sums, entries], names=[*_DOC_TYPE.names, "n_words", "n_distinct"])
+    def give(described, starts, ids, counts) -> pa.RecordBatch:
+        arrays = [starts.astype("<i4"), ids.astype("<i8"), counts.astype("<i4")]
+        columns = [_one_list(described), *[pa.array([x.tobytes()], pa.binary()) for x in arrays]]
+        return pa.RecordBatch.from_arrays(columns, names=["docs", "starts", "ids", "counts"])
+
+    return _matrix(docs, give, f"docs array<{_DOC}>, starts binary, ids binary, counts binary")
+
+
+def row_statistics(docs: DataFrame) -> DataFrame:
+    """A row per document: what its shard of the matrix says of it, n_words (its row's sum) and n_distinct (its nonzero entries)."""
+
+    def give(described, starts, ids, counts) -> pa.RecordBatch:
+        upto = np.r_[0, np.cumsum(counts)]
+        entries = np.r_[0, np.cumsum(counts > 0)]
+        sums, nonzero = (pa.array(x[starts[1:]] - x[starts[:-1]], pa.int64()) for x in (upto, entries))
+        return pa.RecordBatch.from_arrays([*described.flatten(), sums, nonzero], names=[f.name for f in _DOC_TYPE] + ["n_words", "n_distinct"])
 
     schema = "doc_id bigint, part string, digest binary, characters bigint, capitals bigint, marks bigint, n_words bigint, n_distinct bigint"
-    return matrix.mapInArrow(count, schema)
+    return _matrix(docs, give, schema)[0]
 
 
 def _failed() -> Column:
@@ -189,7 +256,7 @@ def _failed() -> Column:
 
 def failed_sets(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Columns part, failed (bits of A to E), n, good and toxic: documents of each part that fail exactly these filters."""
-    statistics = row_statistics(document_term_matrix(docs)[0])
+    statistics = row_statistics(docs)
     by_id = written(
         statistics.withColumn("failed", _failed()).groupBy("doc_id", "digest", "part", "failed").agg(F.count("*").alias("n")), "by_id"
     )

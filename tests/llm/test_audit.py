@@ -62,6 +62,7 @@ def extra():
 
 def test_audit(spark, documents, messy, monkeypatch):
     monkeypatch.setattr(audit, "SHARD_BYTES", 2000)
+    monkeypatch.setattr(audit, "PACKED_WORDS", 300)
     rows = messy + extra()
     labels = [(i, i % 3 % 2, int(i % 5 == 0)) for i in range(0, 200, 2)] + [(3000, 1, 0), (3000, 0, 1), (3001, 1, 1), (4007, 1, None), (None, 1, 1), (906, 1, 1)]
     table = spark.createDataFrame([(*x, "clash") for x in labels], "doc_id long, quality int, toxic int, text string")
