@@ -1,8 +1,9 @@
 """Demand rates on a click stream.
 
-Late clicks are dropped: a window is final once the watermark has passed its end. The
-aggregation counts inside the map tasks first, so a hot product sends one partial count per
-window and task. The join keeps its range predicate on the window times, which is what lets
+Late clicks are dropped: a window is final once the watermark has passed its end. Clicks are
+counted in cells first, one per slide, and the sliding windows are added up from finished cells: a click touches one
+cell of the state, not every window it lies in. The cells are counted inside the map tasks first, so a hot product
+sends one partial count per cell and task. The join keeps its range predicate on the window times, which is what lets
 Spark drop finished windows from the join state.
 """
 
@@ -24,16 +25,20 @@ def sliding_rate(
     watermark: str | None = CLICK_WATERMARK,
 ) -> DataFrame:
     """Clicks per minute of each sliding window, with `at`, the window's event time."""
+    if micros(size) % micros(slide):
+        raise ValueError("window size must be a multiple of its slide")
     timed = clicks.withWatermark("ts", watermark) if watermark else clicks
+    cells = (
+        timed.groupBy("product_id", F.window("ts", slide).alias("cell"))
+        .agg(F.count(F.lit(1)).alias("clicks"), F.min(F.struct("ts", "product_name")).alias("first"))
+        .select("product_id", F.window_time("cell").alias("cell_at"), "clicks", "first")
+    )
     return (
-        timed.groupBy("product_id", F.window("ts", size, slide).alias("window"))
-        .agg(
-            F.count(F.lit(1)).alias("clicks"),
-            F.min_by("product_name", F.struct("ts", "product_name")).alias("product_name"),
-        )
+        cells.groupBy("product_id", F.window("cell_at", size, slide).alias("window"))
+        .agg(F.sum("clicks").alias("clicks"), F.min("first").alias("first"))
         .select(
             "product_id",
-            F.coalesce("product_name", F.lit("")).alias("product_name"),
+            F.coalesce("first.product_name", F.lit("")).alias("product_name"),
             F.col("window.start").alias("window_start"),
             F.col("window.end").alias("window_end"),
             "clicks",

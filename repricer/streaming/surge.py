@@ -1,13 +1,17 @@
 """Order surges on a stream, in event-time order.
 
-The state is kept per product and time slice, not per product: catching up on a long
-history spreads a hot product over its slices, and a slice's state is dropped when the
-watermark passes its end. As in the batch form the orders near the end of a slice are
-copied to the next one.
+The state is kept per product and time slice, not per product: catching up on a long history
+spreads a hot product over its slices, and a slice's state is dropped when the watermark passes its
+end. Orders wait in cells of time, each with a timer of its own, so a timer reads the orders
+that are due and nothing else; of those before it only the last n - 1 are kept.
+
+As in the batch form no order is copied. A slice hands on its first and last n - 1 orders, and a second step
+finds the runs that reach over slices among these edges of a product. A slice may be shorter than `within`.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row
@@ -16,72 +20,102 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from repricer.functions.intervals import floor_to, micros
 
-_ORDER = "at bigint, seq bigint, product_name string, is_halo boolean"
 RUNS = "product_id string, product_name string, first_ts timestamp, ts timestamp, seq bigint"
 
+# a found run, or an edge order: `first_at` is then NULL
+_FOUND = "product_id string, lane bigint, product_name string, first_at bigint, at bigint, seq bigint, is_head boolean"
+_found = Row("product_id", "lane", "product_name", "first_at", "at", "seq", "is_head")
+#: Lane of the edges of a product; runs keep to lanes by slice.
+_EDGES = 0
+
 
-class _RunFinder(StatefulProcessor):
-    """Buffers orders until the watermark has passed them, then tests each against the
-    order n - 1 places before it."""
+class _SliceRuns(StatefulProcessor):
+    """Runs inside a slice, and its edges.
 
-    def __init__(self, n: int, within: int, slice_width: int):
-        self._n, self._within, self._width = n, within, slice_width
+    An order is final once the watermark has passed its cell; timers come in the order of their time.
+    """
+
+    def __init__(self, n: int, within: int, slice_width: int, cell: int):
+        self._n, self._within, self._width, self._cell = n, within, slice_width, cell
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._waiting = handle.getListState("waiting", _ORDER)
-        self._recent = handle.getListState("recent", _ORDER)
-        self._timer = handle.getValueState("timer", "at_ms bigint")
+        self._cells = handle.getMapState("cells", "cell bigint", "orders array<struct<at: bigint, seq: bigint, product_name: string>>")
+        # the last orders that are final, and how many there have been
+        self._recent = handle.getValueState(
+            "recent", "orders array<struct<at: bigint, seq: bigint, product_name: string>>, count bigint"
+        )
+        self._is_open = handle.getValueState("is_open", "yes boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        new = [(r.at, r.seq, r.product_name, r.is_halo) for r in rows]
-        self._waiting.appendList(new)
-        self._wake_at(min(at for at, *_ in new) // 1000 + 1)
+        new = defaultdict(list)
+        for row in rows:
+            new[row.at // self._cell].append((row.at, row.seq, row.product_name))
+        for cell, orders in new.items():
+            if self._cells.containsKey((cell,)):
+                orders = [tuple(o) for o in self._cells.getValue((cell,))[0]] + orders
+            else:
+                self._handle.registerTimer((cell + 1) * self._cell // 1000)
+            self._cells.updateValue((cell,), (orders,))
+        if not self._is_open.exists():
+            self._is_open.update((True,))
+            self._handle.registerTimer((key[1] + self._width) // 1000 + 1)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self._timer.clear()
         product, slice_start = key
-        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
-        orders = sorted((tuple(r) for r in self._waiting.get()), key=lambda o: o[:2])
-        due = [o for o in orders if o[0] // 1000 < now]
-        later = orders[len(due):]
-        history = [tuple(r) for r in self._recent.get()] + due
-        found = [
-            (product, history[i - self._n + 1][2], history[i - self._n + 1][0], at, seq)
-            for i, (at, seq, _, is_halo) in enumerate(history)
-            if i >= max(self._n - 1, len(history) - len(due))
-            and not is_halo
-            and at - history[i - self._n + 1][0] < self._within
-        ]
-        self._replace(self._waiting, later)
-        end_ms = (slice_start + self._width) // 1000
-        if not later and now >= end_ms:
+        due = expiredTimerInfo.getExpiryTimeInMs()
+        recent, count = self._recent.get() if self._recent.exists() else ([], 0)
+        recent = [tuple(o) for o in recent]
+        if due == (slice_start + self._width) // 1000 + 1:
+            # those of the last orders that were not handed on as first ones
+            late = recent[max(0, self._n - 1 - (count - len(recent))):]
             self._recent.clear()
-        else:
-            self._replace(self._recent, history[-(self._n - 1):] if self._n > 1 else [])
-            self._wake_at(min(o[0] for o in later) // 1000 + 1 if later else end_ms)
-        return iter([Row(product_id=p, product_name=name, first_at=first, at=at, seq=seq) for p, name, first, at, seq in found])
+            self._is_open.clear()
+            yield from (_found(product, _EDGES, name, None, at, seq, False) for at, seq, name in late)
+            return
+        cell = due * 1000 // self._cell - 1
+        if not self._cells.containsKey((cell,)):
+            return
+        orders = sorted((tuple(o) for o in self._cells.getValue((cell,))[0]), key=lambda o: o[:2])
+        self._cells.removeKey((cell,))
+        for at, seq, name in orders:
+            count += 1
+            if count < self._n:
+                yield _found(product, _EDGES, name, None, at, seq, True)
+            elif at - (first := recent[1 - self._n] if self._n > 1 else (at, seq, name))[0] < self._within:
+                yield _found(product, 1 + slice_start, first[2], first[0], at, seq, None)
+            recent = [*recent, (at, seq, name)][1 - self._n:] if self._n > 1 else []
+        self._recent.update((recent, count))
 
     def close(self) -> None:
         pass
 
-    def _wake_at(self, at_ms: int) -> None:
-        """Keep one timer per key, at the earliest instant anything can happen."""
-        set_to = self._timer.get()[0] if self._timer.exists() else None
-        if set_to is not None and set_to <= at_ms:
+
+class _EdgeRuns(StatefulProcessor):
+    """Runs that end among the first orders of a slice; those found inside one pass."""
+
+    def __init__(self, n: int, within: int):
+        self._n, self._within = n, within
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._recent = handle.getValueState("recent", "orders array<struct<at: bigint, product_name: string>>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        if key[1] != _EDGES:
+            yield from rows
             return
-        if set_to is not None:
-            self._handle.deleteTimer(set_to)
-        self._handle.registerTimer(at_ms)
-        self._timer.update((at_ms,))
+        recent = [tuple(o) for o in self._recent.get()[0]] if self._recent.exists() else []
+        # at most 2 (n - 1) rows of each slice; a slice is over before the next one hands on anything
+        for row in sorted(rows, key=lambda r: (r.at, r.seq)):
+            if row.is_head and len(recent) >= self._n - 1 and row.at - recent[1 - self._n][0] < self._within:
+                first_at, name = recent[1 - self._n]
+                yield _found(row.product_id, _EDGES, name, first_at, row.at, row.seq, None)
+            recent = [*recent, (row.at, row.product_name)][1 - self._n:]
+        self._recent.update((recent,))
 
-    @staticmethod
-    def _replace(state, rows: list) -> None:
-        if rows:
-            state.put(rows)
-        else:
-            state.clear()
+    def close(self) -> None:
+        pass
 
 
 def surge_runs(
@@ -91,29 +125,25 @@ def surge_runs(
     within: str = "1 minute",
     watermark: str = "0 seconds",
     slice_width: str = "1 hour",
+    cell: str = "1 second",
 ) -> DataFrame:
-    """The runs of the batch operator of the same name, each emitted once it is final."""
-    within_us, width = micros(within), micros(slice_width)
-    if width < within_us:
-        raise ValueError("slice_width must be at least as long as within")
-    at = F.col("at")
-    own = floor_to(at, width)
-    copies = F.sequence(own, floor_to(at + within_us, width), F.lit(width))
-    found = (
+    """The runs of the batch operator of the same name, each emitted once it is final.
+
+    `cell` is how long an order may wait for others of its time; slices are multiples of it.
+    """
+    within_us, width, cell_us = micros(within), micros(slice_width), micros(cell)
+    if width % cell_us or cell_us % 1000:
+        raise ValueError("slice_width must be a multiple of cell, and cell of a millisecond")
+    inside = (
         orders.select("product_id", "product_name", "ts", "seq")
         .withWatermark("ts", watermark)
         .withColumn("at", F.unix_micros("ts"))
-        .withColumn("slice", F.explode(copies))
-        .withColumn("is_halo", F.col("slice") != own)
+        .withColumn("slice", floor_to(F.col("at"), width))
         .groupBy("product_id", "slice")
-        .transformWithState(
-            _RunFinder(n, within_us, width),
-            "product_id string, product_name string, first_at bigint, at bigint, seq bigint",
-            "append",
-            "eventTime",
-        )
+        .transformWithState(_SliceRuns(n, within_us, width, cell_us), _FOUND, "append", "eventTime")
     )
-    return found.select(
+    found = inside.groupBy("product_id", "lane").transformWithState(_EdgeRuns(n, within_us), _FOUND, "append", "none")
+    return found.where("first_at IS NOT NULL").select(
         "product_id",
         "product_name",
         F.timestamp_micros("first_at").alias("first_ts"),

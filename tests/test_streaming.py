@@ -105,24 +105,102 @@ def test_late_clicks_are_dropped(streaming, tmp_path):
     assert {r.clicks for r in got.collect()} == {1}
 
 
-@pytest.mark.parametrize("width", ["1 minute", "1 hour"])
-def test_surges_equal_batch(streaming, tmp_path, width):
+def test_a_click_updates_one_cell(streaming, tmp_path):
+    clicks = [("p", "n", at(30 * i), i) for i in range(400)]
+    source = stream(streaming, str(tmp_path / "in"), CLICK, [clicks, [("end", "n", at(40_000), 900)]])
+    writer = demand.sliding_rate(source, size="1 hour").writeStream.format("noop").outputMode("append")
+    query = writer.option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
+    finish(query)
+    first = query.recentProgress[0]
+    # the windows are the last operator; of 60 each click lies in they see none before its cell is over
+    updated = [op["numRowsUpdated"] for op in first["stateOperators"]]
+    assert sum(updated) == 200 and first["numInputRows"] == 400
+
+
+@pytest.mark.parametrize("width, within, n", [("1 minute", "1 minute", 10), ("1 hour", "1 minute", 10), ("10 minutes", "24 hours", 30), ("1 minute", "1 minute", 1), ("5 seconds", "1 minute", 4)])
+def test_surges_equal_batch(streaming, tmp_path, width, within, n):
     rng = random.Random(3)
     orders = [(f"p{rng.randrange(2)}", f"n{i}", at(rng.uniform(3000, 4200)), i) for i in range(220)]
+    orders += [("p0", "tie", at(3500), 500 + i) for i in range(12)]
     orders.sort(key=lambda o: o[2])
     batches = [orders[:80], orders[80:150], orders[150:]]
     for batch in batches:
         rng.shuffle(batch)
     closing = [[("end", "n", at(40_000), 900)], [("end", "n", at(80_000), 901)]]
     source = stream(streaming, str(tmp_path / "in"), CLICK, batches + closing)
-    found = surge.surge_runs(source, slice_width=width)
-    got = drain(found, tmp_path, f"surges_{width[2:]}").where("product_id <> 'end'")
-    expected = batch_surge.surge_runs(streaming.createDataFrame(orders, CLICK))
+    found = surge.surge_runs(source, n=n, within=within, slice_width=width)
+    got = drain(found, tmp_path, f"surges_{width[:2].strip()}_{n}".replace(" ", "")).where("product_id <> 'end'")
+    expected = batch_surge.surge_runs(streaming.createDataFrame(orders, CLICK), n=n, within=within)
     columns = ["product_id", "product_name", "first_ts", "ts", "seq"]
     assert sorted(got.select(columns).collect()) == sorted(expected.select(columns).collect())
     assert expected.count() > 20
 
 
+class Kept:
+    """State of one key in memory, counting what is read and written."""
+
+    def __init__(self):
+        self.moved, self.timers, self.states = 0, set(), {}
+
+    def registerTimer(self, at_ms):
+        self.timers.add(at_ms)
+
+    def getMapState(self, name, *_):
+        return self.states.setdefault(name, KeptState(self))
+
+    getValueState = getMapState
+
+
+class KeptState(dict):
+    def __init__(self, handle):
+        self.handle = handle
+
+    def _move(self, value):
+        self.handle.moved += sum(len(v) if isinstance(v, list) else 1 for v in value)
+        return value
+
+    def containsKey(self, key):
+        return key in self
+
+    def getValue(self, key):
+        return self._move(self[key])
+
+    def updateValue(self, key, value):
+        self[key] = self._move(value)
+
+    def removeKey(self, key):
+        del self[key]
+
+    def exists(self):
+        return None in self
+
+    def get(self):
+        return self._move(self[None])
+
+    def update(self, value):
+        self[None] = self._move(value)
+
+    def clear(self):
+        self.pop(None, None)
+
+
+def test_work_per_order_does_not_grow_with_the_slice():
+    from types import SimpleNamespace
+
+    def moved(count):
+        handle = Kept()
+        finder = surge._SliceRuns(10, 60_000_000, 86_400_000_000, 1_000_000)
+        finder.init(handle)
+        list(finder.handleInputRows(("p", 0), [SimpleNamespace(at=i * 700_000, seq=i, product_name="n") for i in range(count)], None))
+        runs = []
+        for due in sorted(handle.timers):
+            runs += [r for r in finder.handleExpiredTimer(("p", 0), None, SimpleNamespace(getExpiryTimeInMs=lambda: due)) if r.first_at is not None]
+        assert len(runs) == count - 9 and not any(handle.states.values())
+        return handle.moved / count
+
+    assert moved(8000) <= 1.05 * moved(500)
+
+
 def test_lookup_on_a_stream(streaming, tmp_path):
     clicks = stream(streaming, str(tmp_path / "in"), CLICK, [[("a", "n", at(0), 0), ("a", "n", at(1), 1)], [("b", "n", at(2), 2)]])
 
