@@ -2,8 +2,10 @@
 
 A page becomes a row of words and tags. Words score by the kind of element they stand in and tags by
 their name, as log odds of lying inside the article, learned from pages that mark it themselves
-(`article` or `main`); a tag never scores above a small negative value, and words that are left out below score 0,
-so that only its tags tell against a block amid an article. One scan finds the run with the highest sum. Of its
+(`article` or `main`); a tag never scores above a small negative value, and below it only where it was often seen outside.
+What is left out below, words and tags, is neither counted nor scored, so a block amid an article does not cut it and the lists
+of menus say nothing of those of articles. One scan finds the run with the highest sum. A run of which
+most words lie in one `article` (or `main`) is closed over the whole of it. Of its
 words, those in elements that are never article text (menus, forms, scripts, adverts, notices,
 sidebars, comments and the like, by element, or by role, class or id as whole names) are left out, and the rest is put
 together by blocks. A name on a wrapper (`sidebar`, `widget`) does not hold for an `article` or `main` in it, but those among
@@ -35,6 +37,8 @@ SAMPLE = 2000
 #: What a weight is cut to, and what a tag scores at most.
 MOST = 3.0
 TAG = -0.05
+#: Tags of a kind seen outside articles before it scores less than TAG.
+EVIDENCE = 200
 #: Elements of HTML by what they mean here.
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -113,21 +117,26 @@ class _Open:
     """The open elements, the blocks among them, and whether the place is never article text (`firm`: nor is an article there)."""
 
     def __init__(self):
-        self.elements: list[tuple[str, bool, bool]] = []
+        self.elements: list[tuple[str, bool, bool, int]] = []
         self.blocks = ["body"]
         self.out = self.firm = False
+        #: The innermost article or main, by number from 1, that the place is in.
+        self.article = self.articles = 0
 
     def push(self, name: str, never: bool, firm: bool) -> None:
-        self.elements.append((name, self.out, self.firm))
+        self.elements.append((name, self.out, self.firm, self.article))
         self.firm |= firm
         # an article is what the marks of the wrappers around it do not mean
         self.out = self.firm or never or self.out and name not in ("article", "main")
+        if name in ("article", "main") and not self.out:
+            self.articles += 1
+            self.article = self.articles
         if name not in INLINE:
             self.blocks.append(name if name in CONTENT else "other")
 
     def close(self, first: int) -> None:
         """Closes the elements from the given one on."""
-        _, self.out, self.firm = self.elements[first]
+        _, self.out, self.firm, self.article = self.elements[first]
         for name, *_ in self.elements[first:]:
             if name not in INLINE:
                 self.blocks.pop()
@@ -137,18 +146,19 @@ class _Open:
         return next((k for k in range(len(self.elements) - 1, -1, -1) if fits(self.elements[k][0])), None)
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, bool, bool]]:
-    """(kind, text, begins, out) for each run of text and each tag, in order.
+def tokens(page: str) -> Iterator[tuple[str, str, bool, bool, int]]:
+    """(kind, text, begins, out, article) for each run of text and each tag, in order.
 
     `kind` is `word:` with the block that the text stands in, or `tag:` with the element's name; `begins` says that
-    a tag starts or ends a block, `out` that the place is in an element that is never article text.
+    a tag starts or ends a block, `out` that the place is in an element that is never article text, or the tag one of such an
+    element; `article` is the number of the innermost article or main, 0 outside.
     """
     opened, at = _Open(), 0
     while at < len(page):
         match = _TOKEN.search(page, at)
         text = page[at : match.start() if match else len(page)]
         if text:
-            yield f"word:{'out' if opened.out else opened.blocks[-1]}", text, False, opened.out
+            yield f"word:{'out' if opened.out else opened.blocks[-1]}", text, False, opened.out, opened.article
         if match is None:
             return
         at, name, attributes = match.end(), (match[2] or "").lower(), match[3] or ""
@@ -157,51 +167,71 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, bool]]:
         kind, block = f"tag:{name if name in _KNOWN else 'other'}", name not in INLINE and name != "br"
         if match[1]:
             first = opened.last(lambda element, name=name: element == name)
+            place = opened.out, opened.article
             if first is not None:
                 opened.close(first)
-            yield kind, "", block, opened.out
+            yield kind, "", block, *place
             continue
         if name not in INLINE and name not in VOID:
             ends = _CLOSES.get(name, ("p",))
             nearest = opened.last(lambda element: element not in INLINE)
             if nearest is not None and opened.elements[nearest][0] in ends:
                 opened.close(nearest)
-        # a line break is white space
-        yield kind, " " if name == "br" else "", block, opened.out
-        if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-        elif name not in VOID:
+        if name not in VOID and name not in RAW:
             if name in NOT_ARTICLE:
                 never, firm = True, True
             else:
                 never, firm = _marked(attributes) if name not in ("html", "body", "main", "article") else (False, False)
             opened.push(name, never, firm)
+        # a line break is white space
+        yield kind, " " if name == "br" else "", block, opened.out or name in RAW, opened.article
+        if name in RAW:
+            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            at = end.end() if end else len(page)
 
 
-def _features(page: str) -> list[tuple[str, str, bool, bool, int]]:
+def _features(page: str) -> list[tuple[str, str, bool, bool, int, int]]:
     """The tokens with their number of words."""
     return [(*token, len(token[1].split())) for token in tokens(page)]
 
 
+def _score(kind: str, out: bool, words: int, weights: dict[str, float]) -> float:
+    if out:
+        return 0.0
+    return words * weights.get(kind, -1.0) if kind[0] == "w" else weights.get(kind, TAG)
+
+
 def score_page(page: str, weights: dict[str, float]) -> tuple[list, int, int]:
     """The page's tokens and the bounds of the run with the highest sum, found in one scan."""
     found = _features(page)
     best, bounds, running, start = 0.0, (0, 0), 0.0, 0
-    for i, (kind, _, _, out, words) in enumerate(found):
+    for i, (kind, _, _, out, _, words) in enumerate(found):
         if running <= 0:
             running, start = 0.0, i
-        running += words * weights.get(kind, -1.0) if kind[0] == "w" else weights.get(kind, TAG)
+        running += _score(kind, out, words, weights)
         if running > best or running == best and bounds[1] and start == bounds[0]:
             best, bounds = running, (start, i + 1)
     return found, *bounds
 
 
+def _closed(found: list, first: int, last: int) -> tuple[int, int]:
+    """The run's bounds, moved out to those of the article that most of its words are in."""
+    words: Counter[int] = Counter()
+    for _, _, _, out, article, n in found[first:last]:
+        words[article] += 0 if out else n
+    article, most = max(words.items(), key=lambda x: x[1], default=(0, 0))
+    if not article or 2 * most < sum(words.values()):
+        return first, last
+    places = [i for i, token in enumerate(found) if token[4] == article]
+    return min(first, places[0]), max(last, places[-1] + 1)
+
+
 def main_text(page: str | None, weights: dict[str, float]) -> str:
     """The text of the best run, by blocks."""
     found, first, last = score_page(page or "", weights)
+    first, last = _closed(found, first, last)
     blocks, now = [], []
-    for _, text, begins, out, _ in found[first:last]:
+    for _, text, begins, out, *_ in found[first:last]:
         if begins:
             blocks.append("".join(now))
             now = []
@@ -219,11 +249,11 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for page in batch["html"]:
             marked = re.search(r"<(article|main)\b", page, re.I)
             name, inside = marked[1].lower(), False
-            for kind, _, _, out, words in _features(page):
+            for kind, _, _, out, _, words in _features(page):
                 if kind == f"tag:{name}":
                     inside = not inside
-                else:
-                    counts[kind, inside and not out] += words or kind[0] == "t"
+                elif not out:
+                    counts[kind, inside] += words or kind[0] == "t"
         yield pd.DataFrame([(k, n if i else 0, 0 if i else n) for (k, i), n in counts.items()], columns=["kind", "inside", "outside"])
 
 
@@ -245,11 +275,11 @@ def learn(pages: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
     words_in = sum(r["inside"] for r in counts if r["kind"][0] == "w") + 1
     words_out = sum(r["outside"] for r in counts if r["kind"][0] == "w") + 1
     for r in counts:
-        if r["kind"] == "word:out":
-            continue
         odds = math.log((r["inside"] + 1) / (r["outside"] + 1))
         if r["kind"][0] == "w":
             weights[r["kind"]] = max(-MOST, min(MOST, odds))
+        elif r["outside"] < EVIDENCE:
+            weights[r["kind"]] = TAG
         else:  # against the words, of which most pages have far more inside
             weights[r["kind"]] = max(-MOST, min(TAG, odds - math.log(words_in / words_out)))
     return weights

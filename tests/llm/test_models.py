@@ -3,6 +3,7 @@
 import base64
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -207,7 +208,7 @@ def test_best_run_is_the_highest():
         page = "".join(draw.choice(["<p>a b c</p>", "<div>q r</div>", "<li>x", "<br>", "<nav>n</nav>", "y "]) for _ in range(12))
         weights = {k: draw.uniform(-2, 2) for k in WEIGHTS} | {"tag:p": -0.3, "tag:div": -0.8}
         found, first, last = html.score_page(page, weights)
-        scores = [n * weights.get(k, -1.0) if k[0] == "w" else weights.get(k, html.TAG) for k, _, _, _, n in found]
+        scores = [0.0 if out else n * weights.get(k, -1.0) if k[0] == "w" else weights.get(k, html.TAG) for k, _, _, out, _, n in found]
         best = max([0.0, *(sum(scores[a:b]) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1))])
         assert sum(scores[first:last]) == pytest.approx(best)
 
@@ -226,6 +227,45 @@ def test_extraction_learns_from_marked_pages(spark):
     assert html.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+INTRO, CLOSE = "<p>" + "intro " * 20 + "</p>", "<p>a closing paragraph of some more words</p>"
+
+
+@pytest.mark.parametrize("wrapper", ["article", "main", "div"])
+@pytest.mark.parametrize(
+    "middle",
+    [
+        "<ul>" + "".join(f"<li>item {i}</li>" for i in range(12)) + "</ul>",
+        "<p>" + " ".join(f"see <a href='/{i}'>link{i}</a>" for i in range(30)) + "</p>",
+        "".join(f"<div>line {i} of five words</div>" for i in range(5)),
+        "<div><div><div><div>deep inside the divs</div></div></div></div>",
+        "<table>" + "".join(f"<tr><th>n{i}</th><td>v{i}</td></tr>" for i in range(8)) + "</table>",
+        "<dl>" + "".join(f"<dt>term{i}</dt><dd>what it is</dd>" for i in range(6)) + "</dl>",
+        "<section><h2>part</h2><blockquote>quoted words</blockquote></section>" * 4,
+    ],
+)
+@pytest.mark.parametrize("order", ["{i}{m}{c}", "{m}{i}{c}", "{i}{c}{m}"])
+def test_structure_of_articles_is_kept(page_weights, wrapper, middle, order):
+    """Weights come from pages whose menus and adverts use the tags that their articles do without."""
+    inner = order.format(i=INTRO, m=middle, c=CLOSE)
+    menu = "<nav><ul>" + "<li><div><a href='/'>menu</a></div></li>" * 8 + "</ul></nav><div class='ad'><div>buy</div></div>"
+    page = f"<body>{menu}<{wrapper}>{inner}</{wrapper}><footer><div>foot</div></footer></body>"
+    expected = html.main_text(f"<article>{inner}</article>", page_weights)
+    assert len(expected.split()) == len(re.sub("<[^>]*>", " ", inner).split())
+    assert html.main_text(page, page_weights) == expected
+
+
+@pytest.fixture(scope="module")
+def page_weights(spark):
+    menu = "<nav><ul>" + "<li><div><a href='/'>menu</a></div></li>" * 8 + "</ul><table><tr><td>x</td></tr></table><dl><dt>x</dt><dd>y</dd></dl></nav><div class='ad'><section>buy</section></div>"
+    rows = [(i, f"<body>{menu}<article><h1>title</h1><p>{'word ' * 40}<b>x</b><br>y</p><p>end</p></article><footer>f</footer></body>") for i in range(60)]
+    return html.learn(spark.createDataFrame(rows, "page_id long, html string"))
+
+
+def test_a_very_long_page(page_weights):
+    deep = "<div>" * 3000 + "<p>" + "word " * 200_000 + "</p>" + "</div>" * 3000
+    assert len(html.main_text(f"<body><nav>menu</nav>{deep}</body>", page_weights).split()) == 200_000
+
+
 @pytest.mark.parametrize(
     "block",
     [
