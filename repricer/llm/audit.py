@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from repricer.llm.common import text_of, written
 
 #: Bytes of text in a shard, about; a longer document is a shard of its own.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 #: Words of the dictionary pass that a task numbers at once.
 PACKED_WORDS = 1 << 20
 LETTERS = "ABCDE"

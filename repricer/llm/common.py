@@ -27,8 +27,17 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+    """The folder that driver and executors share, named by spark.checkpoint.dir.
+
+    Where the session names none and runs on this machine alone (tests), a folder of its own.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors share (master {master})")
+    return _own_dir()
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -65,7 +65,9 @@ class DigestIndex:
         parts = rows.groupBy("digest", "salt").agg(
             F.max(F.struct("doc_id", "row")).alias("last"), F.count("*").alias("n")
         )
-        groups = parts.groupBy("digest").agg(F.max("last").alias("last"), F.sum("n").alias("group_size"))
+        # a table, as the joins must see one row per text: Spark would move them below the sums, to every row
+        parts = written(parts, "parts")
+        groups = written(parts.groupBy("digest").agg(F.max("last").alias("last"), F.sum("n").alias("group_size")), "groups")
         # written before the append, as the anti-join must see the index as it was
         fresh = written(groups.hint("merge").join(self.table().select("digest"), "digest", "left_anti"), "fresh")
         fresh.select("digest", F.col("last.doc_id").alias("keep_id"), "group_size").repartition(

@@ -6,12 +6,13 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import pytest
 from messy_tables import documents, make_texts, messy  # noqa: F401
 from pyspark.sql import functions as F
 
-from repricer.llm import components, dedup, jaccard, mixing, quality, shards
+from repricer.llm import common, components, dedup, jaccard, mixing, quality, shards
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -60,6 +61,37 @@ def test_anti_join_reads_the_index_without_a_shuffle(spark, documents, tmp_path)
     assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1
 
 
+def test_a_hot_text_is_summed_before_it_meets_the_index(documents, monkeypatch):
+    plans, real = {}, dedup.written
+
+    def recorded(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return real(df, name)
+
+    monkeypatch.setattr(dedup, "written", recorded)
+    rows = documents([(i, "same") for i in range(50)] + [(99, "other")])
+    assert {(r["doc_id"], r["group_size"]) for r in dedup.open_index(rows.sparkSession).add(rows).filter("kept").collect()} == {(49, 50), (99, 1)}
+    # rows are shuffled by text and part, after a partial sum; the anti-join reads one row per text
+    below = plans["parts"].split("Exchange hashpartitioning(digest", 1)[1]
+    assert "salt" in below.split("\n")[0] and "partial_max" in below
+    assert "Aggregate" not in plans["fresh"] and "salt" not in plans["fresh"] and "LeftAnti" in plans["fresh"]
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(spark):
+    class Conf(dict):
+        def get(self, name, default):
+            return super().get(name, default)
+
+    def session(master, **conf):
+        return SimpleNamespace(conf=Conf({k.replace("_", "."): v for k, v in conf.items()}), sparkContext=SimpleNamespace(master=master))
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]", "k8s://https://host"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            common.shared_dir(session(master))
+        assert common.shared_dir(session(master, spark_checkpoint_dir="file:///shared")) == "file:///shared"
+    assert common.shared_dir(session("local[8]")) == common.shared_dir(session("local"))
+
+
 def test_distinct_documents_keep_their_columns(documents, messy):
     docs = documents(messy)
     out = dedup.distinct_documents(docs)
