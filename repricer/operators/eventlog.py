@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -32,8 +33,8 @@ def _payload(kind: str) -> tuple[str, Column]:
     }[kind]()
 
 
-def tag(df: DataFrame, kind: Column, rank: Column, payloads: dict[str, Column]) -> DataFrame:
-    """Rows of an input that carries several kinds already, in the shape of the log, in one pass."""
+def tag(df: DataFrame, kind: Column, rank: Column, payloads: dict[str, Column], keep: Sequence[str] = ()) -> DataFrame:
+    """Rows of an input that carries several kinds already, in the shape of the log and with further columns to keep, in one pass."""
     seq = F.col("seq") if "seq" in df.columns else F.unix_micros("ts")
     return df.select(
         "product_id",
@@ -43,10 +44,11 @@ def tag(df: DataFrame, kind: Column, rank: Column, payloads: dict[str, Column])
         kind.alias("metric_type"),
         "product_name",
         *[payloads.get(name, F.lit(None)).cast(dtype).alias(name) for name, dtype in PAYLOADS.items()],
+        *keep,
     )
 
 
-def as_update(df: DataFrame, kind: str) -> DataFrame:
+def as_update(df: DataFrame, kind: str, keep: Sequence[str] = ()) -> DataFrame:
     """Tag the rows of one input and move their values to the payload column of its kind.
 
     LOOKUP is a competitor price fetched for a click: the same update as COMPETITOR,
@@ -54,7 +56,7 @@ def as_update(df: DataFrame, kind: str) -> DataFrame:
     """
     payloads = {} if kind in ("CLICK", "SALE") else dict([_payload(kind)])
     metric_type = F.lit("COMPETITOR" if kind == "LOOKUP" else kind)
-    return tag(df, metric_type, F.lit(RANK[kind]), payloads)
+    return tag(df, metric_type, F.lit(RANK[kind]), payloads, keep)
 
 
 def metric_union(*updates: DataFrame) -> DataFrame:

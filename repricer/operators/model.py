@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -23,6 +25,40 @@ SALTS = 64
 Scorer = Callable[[pd.DataFrame], pd.Series]
 
 
+# Takes features of one model version and returns its predicted prices.
+Predict = Callable[[pd.DataFrame], pd.Series]
+
+
+class ArtifactScorer:
+    """A scorer that loads what `artifact_uri` points to, once per worker process.
+
+    A batch is split by artifact, so a model only ever sees rows of its own version, and every row once. `load` turns a
+    URI into a prediction; each worker keeps the `keep` artifacts used last. Rows without an artifact have no price.
+    """
+
+    def __init__(self, load: Callable[[str], Predict], *, keep: int = 4):
+        self._load, self._keep, self._name = load, keep, uuid.uuid4().hex
+
+    def __call__(self, features: pd.DataFrame) -> pd.Series:
+        prices = pd.Series(float("nan"), index=features.index, dtype="float32")
+        for uri, rows in features.groupby("artifact_uri", sort=True):
+            prices.loc[rows.index] = pd.Series(self._loaded(uri)(rows), index=rows.index).astype("float32")
+        return prices
+
+    def _loaded(self, uri: str) -> Predict:
+        held = _artifacts.setdefault(self._name, OrderedDict())
+        if uri not in held:
+            held[uri] = self._load(uri)
+            if len(held) > self._keep:
+                held.popitem(last=False)
+        held.move_to_end(uri)
+        return held[uri]
+
+
+#: By scorer: the artifacts that this worker process has loaded, the one used last at the end.
+_artifacts: dict[str, OrderedDict[str, Predict]] = {}
+
+
 def model_days(registry: DataFrame) -> DataFrame:
     """Model versions with their validity span, once per calendar day they are in force.
 
@@ -61,7 +97,8 @@ def attach_model(
     An equi-join on the day; days after the last release share that release's day. Up to
     `broadcast_rows` versions (one per day in force) are computed once and broadcast, and the
     rows stay where they are. Beyond it the join is shuffled on day and salt, the salt a hash
-    of the product and the versions copied to each, so that no day is one task.
+    of the product and the versions copied to each, so that no day is one task. Which of the two it is takes a job that
+    reads the registry when the query is built.
     """
     held = model_days(registry)
     local = _small(held, broadcast_rows)
@@ -103,8 +140,20 @@ def model_price(ctx: Column, model: Column, scorer: str | Scorer = "linear") ->
     return linear_price(ctx, model) if scorer == "linear" else _scored_by(scorer, ctx, model)
 
 
-def score(context: DataFrame, registry: DataFrame, *, scorer: str | Scorer = "linear") -> DataFrame:
-    """Contexts with a `model` and its `model_price`; rows without a model are dropped."""
+def score(
+    context: DataFrame, registry: DataFrame, *, scorer: str | Scorer = "linear", effects: DataFrame | None = None
+) -> DataFrame:
+    """Contexts with a `model` and its `model_price`; rows without a model are dropped.
+
+    `effects` (model_id, product_id, effect) are added to the prices of the products they name; there is one row at most for
+    a version and product, so the join copies nothing, and a hot product's rows are split by Spark.
+    """
     known = attach_model(context, registry).where(F.col("model").isNotNull())
     ctx = F.struct(*[F.col(name) for name in context.columns])
-    return known.withColumn("model_price", model_price(ctx, F.col("model"), scorer))
+    priced = known.withColumn("model_price", model_price(ctx, F.col("model"), scorer))
+    if effects is None:
+        return priced
+    own = effects.select(F.col("model_id").alias("e_model"), F.col("product_id").alias("e_product"), "effect")
+    same = (F.col("model.model_id") == F.col("e_model")) & (F.col("product_id") == F.col("e_product"))
+    lifted = amount(F.col("model_price") + F.coalesce("effect", F.lit(0).cast("decimal(18,4)")))
+    return priced.join(own, same, "left").withColumn("model_price", lifted).drop("e_model", "e_product", "effect")

@@ -83,10 +83,13 @@ def with_previous_price(emitted: DataFrame) -> DataFrame:
     whole = Window.partitionBy("product_id").orderBy("slice", *ORDER)
     # both uses below read this shuffle, so nothing before it is computed twice
     placed = emitted.repartition("product_id", "slice")
-    framed = placed.withColumn("previous_price", F.lag("new_price.amount").over(in_slice)).withColumn(
-        "is_last", F.lead("ts").over(in_slice).isNull()
+    framed = (
+        placed.withColumn("previous_price", F.lag("new_price.amount").over(in_slice))
+        .withColumn("is_last", F.lead("ts").over(in_slice).isNull())
+        .withColumn("nth", F.row_number().over(in_slice))
     )
-    is_first = F.col("previous_price").isNull()
+    # not by the price: that of the row before may be NULL
+    is_first = F.col("nth") == 1
     inner = framed.where(~is_first)
     edges = (
         framed.where(is_first | F.col("is_last"))
@@ -95,7 +98,7 @@ def with_previous_price(emitted: DataFrame) -> DataFrame:
         .withColumn("previous_price", F.col("edge_price"))
         .drop("edge_price")
     )
-    return inner.unionByName(edges).drop("is_last")
+    return inner.unionByName(edges).drop("is_last", "nth")
 
 
 def alert_condition(new: Column, previous: Column, metric_type: Column, rules: Rules = DEFAULT_RULES) -> Column:

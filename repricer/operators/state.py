@@ -9,6 +9,8 @@ read that shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ EMERGENCY_TTL = "10 minutes"
 ORDER = ("ts", "rank", "seq", "metric_type", "product_name")
 
 
-def _inherited(in_slice: DataFrame) -> DataFrame:
+def _inherited(in_slice: DataFrame, payloads: Sequence[str]) -> DataFrame:
     """For each (product, slice) the last values of all earlier slices, as column `before`.
 
     A slice's last row holds the last values of the slice already.
@@ -32,14 +34,14 @@ def _inherited(in_slice: DataFrame) -> DataFrame:
     earlier = (
         Window.partitionBy("product_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     )
-    before = [F.last(name, ignorenulls=True).over(earlier).alias(name) for name in PAYLOADS]
+    before = [F.last(name, ignorenulls=True).over(earlier).alias(name) for name in payloads]
     return in_slice.where("is_last").select("product_id", "slice", F.struct(*before).alias("before"))
 
 
-def state_asof(log: DataFrame, *, slice_width: str = DEFAULT_SLICE) -> DataFrame:
+def state_asof(log: DataFrame, *, slice_width: str = DEFAULT_SLICE, payloads: Sequence[str] = tuple(PAYLOADS)) -> DataFrame:
     """Each log row with the latest value of every payload up to and including itself.
 
-    The output keeps `slice`; it is partitioned by (product_id, slice).
+    The output keeps `slice`; it is partitioned by (product_id, slice). `payloads` may name further columns of the log.
     """
     # rows without product or time belong to no state; ruling them out here, for both uses
     # of the shuffle, also keeps the join from filtering one of the two differently
@@ -54,17 +56,17 @@ def state_asof(log: DataFrame, *, slice_width: str = DEFAULT_SLICE) -> DataFrame
         .orderBy(*ORDER)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    held = [F.last(name, ignorenulls=True).over(so_far).alias(name) for name in PAYLOADS]
+    held = [F.last(name, ignorenulls=True).over(so_far).alias(name) for name in payloads]
     is_last = F.lead(F.lit(1)).over(Window.partitionBy("product_id", "slice").orderBy(*ORDER)).isNull()
     in_slice = sliced.select("product_id", "slice", *ORDER, *held, is_last.alias("is_last"))
-    known = [F.coalesce(F.col(name), F.col(f"before.{name}")).alias(name) for name in PAYLOADS]
-    return in_slice.join(_inherited(in_slice), ["product_id", "slice"], "left").select(
+    known = [F.coalesce(F.col(name), F.col(f"before.{name}")).alias(name) for name in payloads]
+    return in_slice.join(_inherited(in_slice, payloads), ["product_id", "slice"], "left").select(
         "product_id", *ORDER, "slice", *known
     )
 
 
-def with_defaults(state: DataFrame, *, ttl: str = EMERGENCY_TTL) -> DataFrame:
-    """Values used when nothing is known yet; an expired surge factor counts as unknown."""
+def with_defaults(state: DataFrame, *, ttl: str = EMERGENCY_TTL, keep: Sequence[str] = ()) -> DataFrame:
+    """Values used when nothing is known yet; an expired surge factor counts as unknown. `keep` names columns to pass on."""
     alive = F.unix_micros("ts") < F.unix_micros(F.col("emergency.written_at")) + micros(ttl)
     bounds = F.col("rule")
     return state.select(
@@ -77,6 +79,7 @@ def with_defaults(state: DataFrame, *, ttl: str = EMERGENCY_TTL) -> DataFrame:
         F.coalesce("competitor", money(F.lit("0.00"))).alias("competitor_price"),
         bounds.alias("price_rule"),
         F.coalesce(F.when(alive, F.col("emergency.factor")), F.lit(1.0)).alias("adjustment_factor"),
+        *keep,
     )
 
 

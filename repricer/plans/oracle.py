@@ -331,6 +331,13 @@ ORACLE: dict[str, str] = {
           sum(CAST(CASE WHEN label <> 0 THEN abs((model_price - label)::DOUBLE / label::DOUBLE) END AS DECIMAL(18,8)))::DOUBLE
             / count(*) FILTER (label <> 0) * 100 AS mape
         FROM scored GROUP BY model_id""",
+    "product_effects": f"""WITH {_EXAMPLES}, {_REGISTRY}, scored AS (
+        SELECT c.product_id, c.label, r.model_id, {_MODEL_PRICE} AS model_price
+        FROM examples c ASOF JOIN registry r ON c.ts >= r.effective_ts),
+        sums AS (SELECT model_id, product_id, count(*) AS examples, CAST(sum(CAST((label - model_price) * 100 AS BIGINT)) AS BIGINT) AS cents
+            FROM scored WHERE label IS NOT NULL GROUP BY model_id, product_id)
+        SELECT model_id, product_id, examples,
+          sign(cents) * ((abs(cents) * 200 + examples + 5) // (2 * (examples + 5)))::DOUBLE / 10000 AS effect FROM sums""",
     "price_alerts": f"""WITH {_ALERTS} SELECT {_RESULT}, previous_price::DOUBLE AS previous_price, seq FROM alerts""",
     "alert_text": f"""WITH {_ALERTS}, texts AS (
         SELECT 'ALERT: price jump for ' || product_id || ' new=Money(amount=' || CAST(new_price AS VARCHAR)

@@ -221,6 +221,10 @@ def model_eval(sample: Sample) -> DataFrame:
     return training.model_errors(feeds.examples(sample), sample.registry())
 
 
+def product_effects(sample: Sample) -> DataFrame:
+    return flat(training.product_effects(feeds.examples(sample), sample.registry()))
+
+
 def _alerts(sample: Sample) -> DataFrame:
     return pricing.price_alerts(feeds.priced(sample))
 
@@ -300,6 +304,7 @@ _REGISTERED: dict[str, Callable[[Sample], DataFrame]] = {
     "reprice_from_messages": reprice_from_messages,
     "training_set": training_set,
     "model_eval": model_eval,
+    "product_effects": product_effects,
     "price_alerts": price_alerts,
     "alert_text": alert_text,
     "encode_result": encode_result,
