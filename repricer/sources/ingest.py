@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from repricer.functions.money import MONEY
 from repricer.schemas import MODEL
+from repricer.sources import lines
 
 RAW = "value string, timestamp timestamp"
 
@@ -71,11 +72,12 @@ def read_raw(
 ) -> DataFrame:
     """Messages as (value, timestamp, seq), the timestamp and the position being the transport's own.
 
-    `parquet` holds the first two columns, `text` one message per line stamped with the file's
+    `parquet` holds the first two columns, `text` and `lines` one message per line stamped with the file's
     modification time, `kafka` a topic. `seq` orders messages of one instant: by offset and
     partition of a topic (products are its keys, so a product's messages lie in one partition),
-    by file and row of a parquet file, by line of a text file. Text files of a stream are read
-    whole, so one of them has to fit a task.
+    by file and row of a parquet file, by file and place of a line. `lines` splits large files and numbers them by
+    arrival; of a stream it needs the option `log` (see `repricer.sources.lines`). Without it, text files of a stream are read
+    whole as `text`, so one of them has to fit a task; a table of `text` is read as `lines`.
     """
     reader = spark.read if bounded else spark.readStream
     if fmt == "kafka":
@@ -84,7 +86,10 @@ def read_raw(
         position = F.shiftleft(F.col("offset"), 16) + F.col("partition")
         return loaded.select(F.col("value").cast("string").alias("value"), "timestamp", position.alias("seq"))
     reader = reader.options(**dict(options or {}))
-    if fmt == "text" and not bounded:
+    if fmt == "lines" or fmt == "text" and bounded:
+        lines.register(spark)
+        return reader.format("lines").load(path_or_topic)
+    if fmt == "text":
         # a stream has no row numbers of its own, so a file is taken as one and its lines are numbered
         file = F.pmod(F.xxhash64("_metadata.file_path"), F.lit(1 << 23))
         stamped = reader.text(path_or_topic, wholetext=True).select(
@@ -92,14 +97,8 @@ def read_raw(
             F.col("_metadata.file_modification_time").alias("timestamp"),
             F.shiftleft(file, 40).alias("place"),
         )
-        lines = stamped.select("*", F.posexplode(F.split("lines", r"\r?\n", -1)).alias("line", "value"))
-        return lines.select("value", "timestamp", (F.col("place") + F.col("line")).alias("seq"))
-    if fmt == "text":
-        return reader.text(path_or_topic).select(
-            "value",
-            F.col("_metadata.file_modification_time").alias("timestamp"),
-            F.monotonically_increasing_id().alias("seq"),
-        )
+        numbered = stamped.select("*", F.posexplode(F.split("lines", r"\r?\n", -1)).alias("line", "value"))
+        return numbered.select("value", "timestamp", (F.col("place") + F.col("line")).alias("seq"))
     if fmt == "parquet":
         file = F.pmod(F.xxhash64("_metadata.file_path"), F.lit(1 << 23))
         position = F.shiftleft(file, 40) + F.col("_metadata.row_index")
