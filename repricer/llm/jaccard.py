@@ -8,7 +8,7 @@ left after the shared shingle) and the suffix filter (how the sets spread over r
 space bounds their overlap) before the texts themselves are compared, once per pair.
 
 The order comes from a table of counts of fixed size that all documents add to; any order gives the
-same result, counts only make it fast. What is wanted is which documents hang together, so pairs
+same result, counts only make it fast. Prefixes travel packed, by range of the shingles, and under the first 64 bits of their nodes. What is wanted is which documents hang together, so pairs
 are not spelled out: in rounds, every shingle's nodes are compared with a few of them (others for each
 shingle and round), and only nodes of different components that meet in a prefix go on. When few
 pairs are expected to pass the filters, or a round joins hardly any, every one of them is compared, as an ordinary
@@ -33,14 +33,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repricer.llm.common import written
+from repricer.llm.common import WORD, written
 from repricer.llm.components import components
 
 #: Counters of the shingle counts, a power of two, and those that travel in one row.
 COUNTERS = 1 << 22
 _CHUNK = 1 << 12
-#: Ranges of the hash space for the suffix filter.
-RANGES = 16
+#: Ranges of the hash space for the suffix filter: as powers of two, and hashes in one of them, about.
+RANGE_BITS = (4, 12)
+IN_RANGE = 16
+#: Rows of the prefixes that a task packs at once, and buckets of them for each shuffle partition.
+PACKED_ROWS = 1 << 19
+BUCKETS = 8
 #: Nodes of a shingle that one task handles in the first step, about.
 HOT = 20_000
 #: Leads that each node of a shingle is compared with in a round.
@@ -99,51 +103,74 @@ def node_of(words: list[bytes]) -> bytes | None:
     return xxhash.xxh3_128_digest(b" ".join(words)) if words else None
 
 
+def number_of(node: bytes) -> int:
+    """A node's first 64 bits, by which it goes while prefixes meet."""
+    return int.from_bytes(node[:8], "little", signed=True)
+
+
 def _spread(hashes: np.ndarray) -> bytes:
-    """How many hashes lie in each range of the hash space."""
-    return np.bincount((hashes >> np.uint64(60)).astype(np.int64), minlength=RANGES).astype("<i4").tobytes()
+    """How many hashes lie in each range of the hash space; the more hashes, the more ranges."""
+    bits = min(RANGE_BITS[1], max(RANGE_BITS[0], (len(hashes) // IN_RANGE).bit_length()))
+    return np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype("<u4").tobytes()
+
+
+def _apart(x: bytes, y: bytes) -> int:
+    """How much two spreads differ, in as many ranges as the coarser one has."""
+    left, right = (np.frombuffer(s, "<u4").astype(np.int64) for s in (x, y))
+    few = min(len(left), len(right))
+    return int(np.abs(left.reshape(few, -1).sum(axis=1) - right.reshape(few, -1).sum(axis=1)).sum())
+
+
+def _squeezed(values: np.ndarray) -> bytes:
+    """Numbers, most of which are small, byte by byte of all of them, compressed."""
+    return zlib.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes(), 1)
+
+
+def _restored(packed: bytes, kind) -> np.ndarray:
+    kind = np.dtype(kind)
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(packed), np.uint8).reshape(kind.itemsize, -1).T).view(kind).reshape(-1)
 
 
 def _read(docs: DataFrame, size: int) -> DataFrame:
-    """One pass over the texts: rows (doc_id, node, n) and the tasks' shingle counts (chunk, counts)."""
+    """One pass over the texts: rows (doc_id, node, number, n) and the tasks' shingle counts (chunk, counts)."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, seen = np.zeros(COUNTERS, dtype=np.int64), set()
+        counts, seen = np.zeros(COUNTERS, dtype=np.uint32), set()
         waiting, waits = [], 0
         for batch in batches:
-            nodes, sizes = [], []
+            nodes, sizes, numbers = [], [], []
             for text in batch["text"]:
                 words = words_of(text)
                 node = node_of(words)
                 hashes = shingle_hashes(words, size)
                 nodes.append(node)
+                numbers.append(None if node is None else number_of(node))
                 sizes.append(len(hashes))
                 if node is not None and node not in seen:  # copies within a task count once
                     seen.add(node)
                     waiting.append(hashes)
                     waits += len(hashes)
                 if waits > 1_000_000:
-                    counts += _counted(waiting)
+                    _count(counts, waiting)
                     waiting, waits = [], 0
             yield pd.DataFrame(
-                {"doc_id": batch["doc_id"].astype("Int64"), "node": nodes, "n": sizes, "chunk": None, "counts": None}
+                {"doc_id": batch["doc_id"].astype("Int64"), "node": nodes, "number": pd.array(numbers, "Int64"), "n": sizes, "chunk": None, "counts": None}
             )
         if waits:
-            counts += _counted(waiting)
+            _count(counts, waiting)
         if seen:
-            parts = np.minimum(counts, 0xFFFF).astype("<u2").reshape(-1, _CHUNK)
+            parts = counts.astype("<u4").reshape(-1, _CHUNK)
             yield pd.DataFrame(
-                {"doc_id": None, "node": None, "n": None, "chunk": range(len(parts)), "counts": [zlib.compress(p.tobytes(), 1) for p in parts]}
+                {"doc_id": None, "node": None, "number": None, "n": None, "chunk": range(len(parts)), "counts": [_squeezed(p) for p in parts]}
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
-        read, "doc_id long, node binary, n long, chunk int, counts binary"
+        read, "doc_id long, node binary, number long, n long, chunk int, counts binary"
     )
 
 
-def _counted(parts: list[np.ndarray]) -> np.ndarray:
-    slots = (np.concatenate(parts) & np.uint64(COUNTERS - 1)).astype(np.int64)
-    return np.bincount(slots, minlength=COUNTERS)
+def _count(counts: np.ndarray, parts: list[np.ndarray]) -> None:
+    np.add.at(counts, (np.concatenate(parts) & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
 
 
 def _total(chunks: DataFrame) -> np.ndarray:
@@ -153,7 +180,7 @@ def _total(chunks: DataFrame) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, counts in zip(batch["chunk"], batch["counts"]):
-                own = np.frombuffer(zlib.decompress(counts), "<u2").astype(np.int64)
+                own = _restored(counts, "<u4").astype(np.int64)
                 sums[chunk] = sums[chunk] + own if chunk in sums else own
         for chunk, counts in sums.items():
             yield pd.DataFrame({"chunk": [chunk], "counts": [np.minimum(counts, 0xFFFFFFFF).astype("<u4").tobytes()]})
@@ -165,17 +192,19 @@ def _total(chunks: DataFrame) -> np.ndarray:
     return total.reshape(-1)
 
 
-# `spot` is the node's size and the shingle's place in one number: these rows are most of what is shuffled
-_PREFIX = "shingle long, part int, node binary, spot long"
+_PREFIX = "bucket long, shingles binary, numbers binary, sizes binary, places binary"
+
 
+def _prefixes(docs: DataFrame, counts, similarity: Similarity, bits: int) -> DataFrame:
+    """The prefixes, packed: a row has those of some documents in one bucket, sorted by shingle.
 
-def _prefixes(docs: DataFrame, counts, similarity: Similarity) -> DataFrame:
-    """Rows of the prefixes: the shingle, the part of it that the node is dealt to, the node and its spot."""
+    A bucket is a range of the shingles (of 2 ** bits) and, of a common shingle, the part that a node is dealt to.
+    """
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, seen = counts.value, set()
+        waiting, waits = [], 0
         for batch in batches:
-            found, nodes, sizes = [], [], []
             for text in batch["text"]:
                 words = words_of(text)
                 node = node_of(words)
@@ -187,39 +216,60 @@ def _prefixes(docs: DataFrame, counts, similarity: Similarity) -> DataFrame:
                 first = np.lexsort((hashes, count))[: similarity.prefix(len(hashes))]
                 shared = count[first] > 1  # a shingle counted once is in no other node
                 at = np.flatnonzero(shared)
-                found.append((hashes[first][shared], at, count[first][shared]))
-                nodes.append(node)
-                sizes.append(len(hashes))
-            if not found:
-                continue
-            reps = [len(at) for _, at, _ in found]
-            own = np.array([int.from_bytes(node[:4], "little") for node in nodes], dtype=np.int64)
-            parts = -(-np.concatenate([c for _, _, c in found]).astype(np.int64) // HOT)
-            yield pd.DataFrame(
-                {
-                    "shingle": np.concatenate([h for h, _, _ in found]).view(np.int64),
-                    "part": np.where(parts > 1, 1 + np.repeat(own, reps) % np.maximum(parts, 1), 0).astype(np.int32),
-                    "node": np.repeat(np.array(nodes, dtype=object), reps),
-                    "spot": np.repeat(np.array(sizes, dtype=np.int64) << 32, reps) | np.concatenate([at for _, at, _ in found]),
-                }
-            )
+                if not len(at):
+                    continue
+                number = number_of(node)
+                parts = -(-count[first][shared].astype(np.int64) // HOT)
+                part = np.where(parts > 1, 1 + number % np.maximum(parts, 1), 0)
+                waiting.append((hashes[first][shared], np.full(len(at), number), np.full(len(at), len(hashes), np.int32), at.astype(np.int32), part))
+                waits += len(at)
+                if waits >= PACKED_ROWS:
+                    yield _packed(waiting, bits)
+                    waiting, waits = [], 0
+        if waits:
+            yield _packed(waiting, bits)
 
     return docs.select("text").mapInPandas(emit, _PREFIX)
 
 
+def _packed(waiting: list[tuple], bits: int) -> pd.DataFrame:
+    shingle, number, size, at, part = (np.concatenate(x) for x in zip(*waiting))
+    bucket = (shingle >> np.uint64(64 - bits)).astype(np.int64) << 32 | part
+    order = np.lexsort((shingle, bucket))
+    shingle, number, size, at, bucket = shingle[order], number[order], size[order], at[order], bucket[order]
+    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    rows = []
+    for a, b in zip(starts, [*starts[1:], len(bucket)]):
+        steps = np.diff(shingle[a:b], prepend=np.uint64(0))
+        rows.append((int(bucket[a]), _squeezed(steps), number[a:b].astype("<i8").tobytes(), _squeezed(size[a:b]), _squeezed(at[a:b])))
+    return pd.DataFrame(rows, columns=["bucket", "shingles", "numbers", "sizes", "places"])
+
+
 def _meet(similarity: Similarity):
-    """Of rows sorted by shingle, part and node: rows (shingle, node, n, at) that may be in a pair, once each, and the first candidate pairs (a, b, n, m): every node with LEADS others of its shingle and part."""
+    """Of packed prefixes sorted by bucket: rows (shingle, number, n, at) that may be in a pair, once each, and the first candidate pairs (a, b, n, m): every node with LEADS others of its shingle and part."""
+
+    def rows_of(packed: list[tuple]) -> pd.DataFrame:
+        columns = [
+            [np.cumsum(_restored(row.shingles, np.uint64), dtype=np.uint64).view(np.int64) for row in packed],
+            [np.frombuffer(row.numbers, "<i8") for row in packed],
+            [_restored(row.sizes, np.int32) for row in packed],
+            [_restored(row.places, np.int32) for row in packed],
+        ]
+        shingle, number, n, at = (np.concatenate(x) for x in columns)
+        order = np.lexsort((number, shingle))
+        part = np.full(len(order), packed[0].bucket & 0xFFFFFFFF)
+        return pd.DataFrame({"shingle": shingle[order], "part": part, "number": number[order], "n": n[order].astype(np.int64), "at": at[order].astype(np.int64)})
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
+        packed: list = []
         for batch in batches:
-            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            last = (rows["shingle"] == rows["shingle"].iat[-1]) & (rows["part"] == rows["part"].iat[-1])
-            rest, rows = rows[last], rows[~last]
-            if len(rows):
-                yield from _shared(rows, similarity)
-        if rest is not None and len(rest):
-            yield from _shared(rest, similarity)
+            for row in batch.itertuples(index=False):
+                if packed and packed[0].bucket != row.bucket:
+                    yield from _shared(rows_of(packed), similarity)
+                    packed = []
+                packed.append(row)
+        if packed:
+            yield from _shared(rows_of(packed), similarity)
 
     return meet
 
@@ -230,12 +280,11 @@ def _reach(similarity: Similarity, n: np.ndarray, at: np.ndarray, m: np.ndarray,
 
 
 def _shared(rows: pd.DataFrame, similarity: Similarity) -> Iterator[pd.DataFrame]:
-    rows = rows.drop_duplicates(["shingle", "part", "node"], ignore_index=True)
+    rows = rows.drop_duplicates(["shingle", "number"], ignore_index=True)
     shingle, part = rows["shingle"].to_numpy(), rows["part"].to_numpy()
     starts = np.flatnonzero(np.r_[True, (shingle[1:] != shingle[:-1]) | (part[1:] != part[:-1])])
     sizes = np.diff(np.r_[starts, len(rows)])
-    node, spot = rows["node"].to_numpy(), rows["spot"].to_numpy(np.int64)
-    n, at = spot >> 32, spot & 0xFFFFFFFF
+    number, n, at = rows["number"].to_numpy(), rows["n"].to_numpy(), rows["at"].to_numpy()
     pairs = []
     for k in range(LEADS):
         # another lead for each shingle, so that a node meets many others in the end
@@ -245,8 +294,8 @@ def _shared(rows: pd.DataFrame, similarity: Similarity) -> Iterator[pd.DataFrame
         good = np.minimum(n, m) * 100 >= np.maximum(n, m) * similarity.percent
         good &= _reach(similarity, n, at, m, at[lead])
         own = np.flatnonzero(good & (lead != np.arange(len(rows))))
-        x, y = np.minimum(own, lead[own]), np.maximum(own, lead[own])  # sorted by node within a shingle
-        pairs.append(pd.DataFrame({"a": node[x], "b": node[y], "size_a": n[x], "size_b": n[y]}))
+        x, y = np.minimum(own, lead[own]), np.maximum(own, lead[own])  # sorted by number within a shingle
+        pairs.append(pd.DataFrame({"a": number[x], "b": number[y], "size_a": n[x], "size_b": n[y]}))
     # rows without another of a size near enough in their shingle can be in no pair; nearest in size is next in order
     group = np.repeat(np.arange(len(starts)), sizes)
     order = np.lexsort((n, group))
@@ -256,12 +305,12 @@ def _shared(rows: pd.DataFrame, similarity: Similarity) -> Iterator[pd.DataFrame
     near &= (sizes[group[x]] > 2) | _reach(similarity, n[x], at[x], n[y], at[y])
     wanted = part > 0
     wanted[x[near]] = wanted[y[near]] = True
-    kept = pd.DataFrame({"shingle": shingle[wanted], "node": node[wanted], "n": n[wanted], "at": at[wanted]})
+    kept = pd.DataFrame({"shingle": shingle[wanted], "number": number[wanted], "n": n[wanted], "at": at[wanted]})
     yield kept.assign(a=None, b=None, size_a=None, size_b=None)
-    yield pd.concat(pairs, ignore_index=True).drop_duplicates(["a", "b"]).assign(shingle=None, node=None, n=None, at=None)
+    yield pd.concat(pairs, ignore_index=True).drop_duplicates(["a", "b"]).assign(shingle=None, number=None, n=None, at=None)
 
 
-_MET = "shingle long, node binary, n int, at int, a binary, b binary, size_a int, size_b int"
+_MET = "shingle long, number long, n int, at int, a long, b long, size_a int, size_b int"
 
 
 def _can_reach(similarity: Similarity, n: Column, at: Column, m: Column, at_m: Column) -> Column:
@@ -271,14 +320,14 @@ def _can_reach(similarity: Similarity, n: Column, at: Column, m: Column, at_m: C
 
 
 def _map_of(spark: SparkSession, ids: DataFrame):
-    """A map of fixed size in which every id of the column `doc_id` has its bit set."""
-    size = 1 << 13
+    """A map of fixed size in which every value of the table's one column has its bit set."""
+    size, (column,) = 1 << 13, ids.columns
     wanted = ids.count() * 16
     while size < min(wanted, _MAP_BITS):
         size *= 2
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(size))
+    slot = F.pmod(F.xxhash64(column), F.lit(size))
     words = ids.groupBy(F.floor(slot / 32).cast("int").alias("word")).agg(
-        F.expr(f"bit_or(shiftleft(1L, cast(pmod(xxhash64(doc_id), {size}) % 32 as int)))").alias("bits")
+        F.expr(f"bit_or(shiftleft(1L, cast(pmod(xxhash64({column}), {size}) % 32 as int)))").alias("bits")
     )
     held = np.zeros(size // 32, dtype=np.int64)
     for row in words.toPandas().itertuples():  # at most size / 32 rows
@@ -307,15 +356,12 @@ def _texts(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: Similarity) -> DataFrame:
-    """Of pairs (a, b, n, m) those that are linked."""
-    spreads = texts.select("node", "spread")
+    """Of pairs (a, b, n, m) those that are linked. `texts` may list a node more than once."""
+    spreads = texts.select("node", "spread").dropDuplicates(["node"])
 
     @F.pandas_udf("long")
     def apart(x: pd.Series, y: pd.Series) -> pd.Series:
-        if not len(x):
-            return pd.Series([], dtype="int64")
-        left, right = (np.frombuffer(b"".join(s), "<i4").reshape(-1, RANGES) for s in (x, y))
-        return pd.Series(np.abs(left - right).sum(axis=1).astype(np.int64))
+        return pd.Series([_apart(*pair) for pair in zip(x, y)], dtype="int64")
 
     # the suffix filter: sets differ by no less than their spreads do
     near = (
@@ -325,7 +371,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: Similarity) -> Dat
         .select("a", "b")
     )
     near = written(near, "near")
-    words = texts.select("node", "words")
+    # of the texts only those of such pairs are sent, and a few more
+    bits, held = _map_of(texts.sparkSession, near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+
+    @F.pandas_udf("boolean")
+    def is_held(slots: pd.Series) -> pd.Series:
+        own = slots.to_numpy()
+        return pd.Series((held.value[own // 32] >> (own % 32)) & 1 == 1)
+
+    wanted = texts.select("node", "words").filter(is_held(F.pmod(F.xxhash64("node"), F.lit(bits))))
+    words = wanted.dropDuplicates(["node"])
 
     @F.pandas_udf("boolean")
     def linked(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -416,23 +471,29 @@ def _linked(docs: DataFrame, similarity: Similarity) -> tuple[DataFrame, DataFra
     spark = docs.sparkSession
     read = written(_read(docs, similarity.words), "read")
     counts = spark.sparkContext.broadcast(_total(read.filter("chunk IS NOT NULL").select("chunk", "counts")))
-    rows = read.filter("chunk IS NULL").select("doc_id", "node", "n")
+    rows = read.filter("chunk IS NULL").select("doc_id", "node", "number", "n")
     nodes = written(
-        rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n")), "nodes"
+        rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("number").alias("number")), "nodes"
     )
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     met = written(
-        _prefixes(docs, counts, similarity)
-        .repartition("shingle", "part")
-        .sortWithinPartitions("shingle", "part", "node")
+        _prefixes(docs, counts, similarity, (BUCKETS * partitions).bit_length())
+        .repartition("bucket")
+        .sortWithinPartitions("bucket")
         .mapInPandas(_meet(similarity), _MET),
         "met",
     )
-    left = met.filter("node IS NOT NULL").select("shingle", "node", "n", "at")
+    counts.unpersist()
+    # from numbers to nodes; should two nodes share a number, both are looked at
+    named = nodes.select("number", "node")
+    left = written(met.filter("number IS NOT NULL").join(named, "number").select("shingle", "node", "n", "at"), "left")
+    pairs = met.filter("a IS NOT NULL").select("a", "b", F.col("size_a").alias("n"), F.col("size_b").alias("m")).distinct()
+    for side in ("a", "b"):
+        pairs = pairs.withColumnRenamed(side, "number").join(named, "number").withColumnRenamed("node", side).drop("number")
     meeting = left.select("node").distinct().join(nodes, "node")
-    texts = written(_texts(docs, meeting.select(F.col("first_id").alias("doc_id")), similarity.words).dropDuplicates(["node"]), "texts")
+    texts = written(_texts(docs, meeting.select(F.col("first_id").alias("doc_id")), similarity.words), "texts")
 
     rows_left, pairs_left = left.count(), None
-    pairs = met.filter("a IS NOT NULL").select("a", "b", F.col("size_a").alias("n"), F.col("size_b").alias("m")).distinct()
     links = None
     for step in itertools.count(1):
         pairs = written(pairs, "pairs")
@@ -477,23 +538,31 @@ def one_of_each_group(docs: DataFrame, similarity: Similarity = Similarity()) ->
     Of several texts with that id the one of the smallest node stays; null ids come last. Documents without words stay.
     Rows that repeat the doc_id and text of one that stays are repeats of it and go.
     """
-    _, nodes, joined = _linked(docs, similarity)
+    rows, nodes, joined = _linked(docs, similarity)
     no_id, own_id = F.col("id").isNull().alias("no_id"), F.coalesce("id", F.lit(0)).alias("own_id")
+    keys = ["no_id", "own_id", "node"]
     stay = (
         nodes.withColumnRenamed("first_id", "id")
         .join(joined, "node", "left")
         .groupBy(F.coalesce("component", "node").alias("group"))
         .agg(F.min(F.struct(no_id, own_id, "node")).alias("least"))
-        .select("least.*", F.lit(True).alias("stays"))
+        .select("least.*")
     )
+    repeats = rows.filter("node IS NOT NULL").select(F.col("doc_id").alias("id"), "node").groupBy(no_id, own_id, "node").agg(F.count("*").alias("rows"))
+    stay = written(stay.join(repeats, keys), "stay")
 
     @F.pandas_udf("binary")
     def key(texts: pd.Series) -> pd.Series:
-        # of a text without words the text itself, which is told from a node by its length
-        return pd.Series([node_of(words_of(t)) or (b"" if t is None else b"without words at all:" + t.encode()) for t in texts], dtype=object)
-
-    # the row as one value, whatever its columns are called
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), key("text").alias("node"), "text", F.struct("*").alias("doc"))
-    rows = rows.select(no_id, own_id, "node", "text", "doc").groupBy("no_id", "own_id", "node").agg(F.min_by("doc", F.coalesce("text", F.lit(""))).alias("doc"))
-    chosen = rows.join(stay, ["no_id", "own_id", "node"], "left")
-    return chosen.filter(F.col("stays") | (F.length("node") != 16)).select("doc.*")
+        return pd.Series([node_of(words_of(t)) for t in texts], dtype=object)
+
+    # the row as one value, whatever its columns are called; whole rows are sent once, and never sorted
+    found = docs.select(F.col("doc_id").cast("long").alias("id"), "text", F.struct("*").alias("doc"))
+    has_words = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    noted = found.filter(has_words).select(no_id, own_id, key("text").alias("node"), "text", "doc")
+    chosen = noted.join(stay.filter("rows = 1").hint("shuffle_hash"), keys, "left_semi").select("doc")
+    several = stay.filter("rows > 1")
+    if not several.isEmpty():
+        again = noted.join(several.hint("shuffle_hash"), keys, "left_semi").groupBy(*keys).agg(F.min_by("doc", "text").alias("doc"))
+        chosen = chosen.unionByName(again.select("doc"))
+    without = found.filter(~has_words).select(no_id, own_id, F.col("text").isNull().alias("no_text"), F.coalesce("text", F.lit("")).alias("own_text"), "doc")
+    return chosen.unionByName(without.dropDuplicates(["no_id", "own_id", "no_text", "own_text"]).select("doc")).select("doc.*")
