@@ -20,6 +20,7 @@ from repricer.operators.surge import surge_adjustments
 from repricer.schemas import EVENT_LOG
 from repricer.sources.ingest import read_events, read_models
 from repricer.streaming.demand import demand_metrics
+from repricer.streaming.monitor import Counts, counted
 from repricer.streaming.pricing import price_stream
 from repricer.streaming.session import ends_with_its_data
 from repricer.streaming.sinks import write_messages
@@ -28,9 +29,12 @@ from repricer.streaming.surge import surge_runs
 KINDS = ("click", "order", "inventory", "rule")
 
 
-def write_updates(updates: DataFrame, path: str, *, checkpoint: str, once: bool = False) -> StreamingQuery:
+def write_updates(
+    updates: DataFrame, path: str, *, checkpoint: str, once: bool = False, name: str | None = None
+) -> StreamingQuery:
     """Start appending rows in the shape of the event log, or any others, to a folder."""
-    writer = updates.writeStream.outputMode("append").format("parquet").option("checkpointLocation", checkpoint).option("path", path)
+    stream = updates.writeStream.queryName(name) if name else updates.writeStream
+    writer = stream.outputMode("append").format("parquet").option("checkpointLocation", checkpoint).option("path", path)
     with ends_with_its_data(updates.sparkSession) if once else nullcontext():
         return writer.trigger(availableNow=True).start() if once else writer.start()
 
@@ -48,6 +52,7 @@ def start(
     fetch: Fetch,
     once: bool = False,
     surge: Mapping | None = None,
+    counts: Counts | None = None,
     **pricing,
 ) -> dict[str, StreamingQuery]:
     """Start every query of the engine; `inputs` has the arguments of `read_events` for each kind of message, and
@@ -55,8 +60,11 @@ def start(
 
     Below the shared folder `out` come `updates` and `checkpoints` of the queries, `quarantine` with refused messages and
     `delivered` with prices and alerts. `once` works off what there is and ends; the other queries are then
-    finished before pricing starts.
+    finished before pricing starts. `counts` is told how many rows each micro-batch read, dropped as late, refused or could not
+    price.
     """
+    if counts is not None:
+        spark.streams.addListener(counts)
     read = {kind: read_events(spark, bounded=False, kind=kind, **inputs[kind]) for kind in KINDS}
     good = {kind: pair[0] for kind, pair in read.items()}
     refused = [bad.select("value", "timestamp", "reason").withColumn("kind", F.lit(kind)) for kind, (_, bad) in read.items()]
@@ -69,11 +77,15 @@ def start(
         "lookup": as_update(lookup_competitor(good["click"], fetch), "LOOKUP"),
     }
     queries = {
-        name: write_updates(rows, f"{out}/updates/{name}", checkpoint=f"{out}/checkpoints/{name}", once=once)
+        name: write_updates(rows, f"{out}/updates/{name}", checkpoint=f"{out}/checkpoints/{name}", once=once, name=name)
         for name, rows in handed.items()
     }
     queries["quarantine"] = write_updates(
-        metric_union(*refused), f"{out}/quarantine", checkpoint=f"{out}/checkpoints/quarantine", once=once
+        counted(metric_union(*refused), "refused", refused="true"),
+        f"{out}/quarantine",
+        checkpoint=f"{out}/checkpoints/quarantine",
+        once=once,
+        name="quarantine",
     )
     if once:
         for query in queries.values():
@@ -84,7 +96,8 @@ def start(
         as_update(good["rule"], "RULE"),
         *[read_updates(spark, f"{out}/updates/{name}") for name in handed],
     )
+    priced = counted(price_stream(log, models, **pricing), "priced", conflicts="is_conflict", alerts="is_alert")
     queries["pricing"] = write_messages(
-        price_stream(log, models, **pricing), path=f"{out}/delivered", checkpoint=f"{out}/checkpoints/pricing", once=once
+        priced, path=f"{out}/delivered", checkpoint=f"{out}/checkpoints/pricing", once=once, name="pricing"
     )
     return queries

@@ -32,7 +32,7 @@ from repricer.functions.money import DEFAULT_CURRENCY, money
 from repricer.functions.pricing import DEFAULT_RULES, Rules, price_steps, rule_currency
 from repricer.operators.model import Scorer, model_price
 from repricer.operators.pricing import alert_condition
-from repricer.schemas import TRIGGERS
+from repricer.schemas import RANK, TRIGGERS
 
 BUCKETS = 64
 
@@ -164,7 +164,8 @@ class _FactKeeper(StatefulProcessor):
             held |= {"click_name": None, "deadline_ms": None, "current_demand": 0.0, "historical_average": 0.0}
             held |= {"fresh": held["fresh"] or held["has_demand"], "has_demand": False}
             if held["shard"] == 0:
-                yield from self._priced(key[0], product, name, "RESET", None, now, held, factor, models[-1] if models else None)
+                place = (1000 * due, RANK["RESET"], 0)
+                yield from self._priced(key[0], product, name, "RESET", place, now, held, factor, models[-1] if models else None)
             self._products.updateValue((product,), tuple(held.values()))
         self._due.removeKey((due,))
 
@@ -206,8 +207,6 @@ class _FactKeeper(StatefulProcessor):
         first = held["fresh"] or any(held[k] != v for k, v in seen.items())
         if not conflict:
             held |= seen | {"fresh": False}
-        # a reset comes after all rows of its micro-batch
-        place = place or (None, None, None)
         lane = _FIRSTS if first and not conflict else 1 + bucket
         yield Row(*_PRICED)(product, lane, *place, name, metric_type, now, conflict, *facts, *[model[k] for k in _MODEL])
 
@@ -264,7 +263,8 @@ class _PriceKeeper(StatefulProcessor):
         known = self._last.exists()
         before = self._last.get()[0] if known else None
         # few rows: the first of each bucket after each change
-        for row in sorted(rows, key=lambda r: (r.at_us is None, *((r.at_us, r.rank, r.seq) if r.at_us is not None else (0, 0, 0)))):
+        # a reset comes after all other rows of its micro-batch
+        for row in sorted(rows, key=lambda r: (r.metric_type == "RESET", r.at_us, r.rank, r.seq)):
             yield made(*[row[name] for name in self._columns], known, before)
             known, before = True, row.new_amount
         self._last.update((before,))
@@ -368,8 +368,9 @@ def price_stream(
 ) -> DataFrame:
     """The price stream with `previous_price` and `is_alert`; `ts` is the time of pricing.
 
-    Triggers whose amounts differ in currency come with `is_conflict` and without a price. The other options are those
-    of `pricing_facts`.
+    Triggers whose amounts differ in currency come with `is_conflict` and without a price. `event_id` is that of the
+    trigger (product, kind and place in the log; of a reset its instant), and so the same however often it is priced. The
+    other options are those of `pricing_facts`.
     """
     facts = pricing_facts(log, models, **dealing)
     ctx = F.struct(
@@ -393,7 +394,7 @@ def price_stream(
         F.when(~F.col("is_conflict"), amount).cast("decimal(18,2)").alias("new_amount"),
         rule_currency(F.col("ctx")).alias("currency"),
     )
-    kept = [name for name in priced.columns if name not in ("lane", *_PLACE)]
+    kept = [name for name in priced.columns if name != "lane"]
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in priced.select(kept).schema)
     emitted = priced.groupBy("product_id", "lane").transformWithState(
         _PriceKeeper(kept), f"{fields}, has_previous boolean, previous_price decimal(18,2)", "append", "none"
@@ -416,4 +417,5 @@ def price_stream(
         F.struct(
             F.col("min_currency").alias("min"), F.col("max_currency").alias("max"), F.col("competitor_currency").alias("competitor")
         ).alias("currencies"),
+        F.md5(F.to_json(F.struct("product_id", "metric_type", *_PLACE))).alias("event_id"),
     )

@@ -19,7 +19,8 @@ from repricer.sources.ingest import decode_models, read_models
 from repricer.streaming import demand, surge
 from repricer.streaming.pricing import price_stream
 from repricer.streaming.session import ends_with_its_data, prepare
-from repricer.streaming.sinks import messages, write_alerts, write_messages, write_prices
+from repricer.streaming.monitor import COUNTS, Counts, counted
+from repricer.streaming.sinks import batch_writer, deduplicated, messages, received, with_headers, write_alerts, write_batches, write_messages, write_prices
 
 CLICK = "product_id string, product_name string, ts timestamp, seq bigint"
 
@@ -457,3 +458,65 @@ def test_versions_from_files_of_messages(streaming, tmp_path):
     good, bad = read_models(streaming, str(tmp_path / "sent"), fmt="text")
     assert [r.model_id for r in drain(good, tmp_path, "sent_models").collect()] == ["m"]
     assert [r.reason for r in drain(bad, tmp_path, "refused_models").collect()] == ["malformed"]
+
+
+def test_a_repeated_batch_gives_each_price_once(streaming, tmp_path):
+    batches = [
+        [update("p", 0, "INVENTORY", 0, quantity=50), update("q", 0, "CLICK", 1)],
+        [update("p", 1, "COMPETITOR", 2, competitor=eur("300.00")), update("p", 2, "CLICK", 3), update("p", 2, "CLICK", 4)],
+    ]
+    priced = price_stream(stream(streaming, str(tmp_path / "in"), EVENT_LOG, batches), models(streaming, tmp_path))
+    out = str(tmp_path / "out")
+    finish(write_batches(priced, out, checkpoint=str(tmp_path / "checkpoint"), once=True))
+    sent = streaming.read.parquet(out).select("batch", "topic", "key", "value", "message_id")
+    first = sorted(sent.collect())
+    assert Counter(r.topic for r in first) == {"prices": 4, "alerts": 1} and len({r.message_id for r in first}) == 5
+    # the last micro-batch runs again: its folder is replaced
+    again = streaming.createDataFrame(sent.where("batch = 1").drop("batch").collect(), sent.drop("batch").schema)
+    batch_writer(out)(again, 1)
+    assert sorted(streaming.read.parquet(out).select(sent.columns).collect()) == first
+    # another run over the same events sends the same ids, whatever the instant of pricing
+    other = str(tmp_path / "other")
+    finish(write_messages(priced, path=other, checkpoint=str(tmp_path / "other-checkpoint"), once=True))
+    assert {r.message_id for r in streaming.read.parquet(other).collect()} == {r.message_id for r in first}
+    # a consumer of an at-least-once topic
+    schema = "topic string, key string, value string, message_id string, sent_at timestamp"
+    once = [(r.topic, r.key, r.value, r.message_id, at(i)) for i, r in enumerate(first)]
+    twice = [(*r[:4], r[4] + dt.timedelta(seconds=30)) for r in once]
+    arriving = stream(streaming, str(tmp_path / "topic"), schema, [once[:3], twice[:3] + once[3:], twice])
+    got = drain(deduplicated(arriving, within="10 minutes"), tmp_path, "deduplicated")
+    assert sorted(r.message_id for r in got.collect()) == sorted(r.message_id for r in first)
+    sent = streaming.read.parquet(out)
+    assert deduplicated(sent.union(sent)).count() == 5
+
+
+def test_ids_travel_as_headers(spark):
+    out = spark.createDataFrame([("prices", "p", "{}", "prices:1")], "topic string, key string, value string, message_id string")
+    records = with_headers(out).selectExpr("topic", "cast(key as binary) key", "cast(value as binary) value", "headers", "timestamp'2025-01-01 00:00:00' timestamp")
+    assert [tuple(r) for r in received(records).collect()] == [("prices", "p", "{}", "prices:1", dt.datetime(2025, 1, 1))]
+
+
+def test_counts_of_late_refused_and_conflicting_rows(streaming, tmp_path):
+    counts = Counts()
+    streaming.streams.addListener(counts)
+    try:
+        times = [10, 4000, 4001, 4002, 20, 100, 200, 9000]
+        clicks = [[("p", "n", at(t), i)] for i, t in enumerate(times[:4])] + [[("p", "n", at(t), i) for i, t in enumerate(times[4:7])]] + [[("p", "n", at(9000), 9)]]
+        drain(demand.sliding_rate(stream(streaming, str(tmp_path / "clicks"), CLICK, clicks)), tmp_path, "late_counted")
+        dollars = ((Decimal("1.00"), "USD"), (Decimal("9.00"), "USD"))
+        log = stream(streaming, str(tmp_path / "in"), EVENT_LOG, [[update("p", 0, "CLICK", 0)], [update("p", 1, "RULE", 1, rule=dollars), update("p", 2, "CLICK", 2)]])
+        priced = counted(price_stream(log, models(streaming, tmp_path)), "priced", conflicts="is_conflict", alerts="is_alert")
+        drain(priced, tmp_path, "conflicts_counted", timers=True)
+        deadline = time.time() + 30
+        while time.time() < deadline and counts.table(streaming).where("query = 'conflicts_counted'").count() < 2:
+            time.sleep(0.5)
+    finally:
+        streaming.streams.removeListener(counts)
+    table = counts.table(streaming)
+    totals = {r["query"]: r for r in table.groupBy("query").agg(*[F.sum(c).alias(c) for c in ("rows_read", "dropped_late", "conflicts", "alerts")]).collect()}
+    assert (totals["late_counted"].rows_read, totals["late_counted"].dropped_late) == (8, 3)
+    assert (totals["conflicts_counted"].conflicts, totals["conflicts_counted"].alerts) == (2, 0)
+    counts.write(streaming, str(tmp_path / "counts"))
+    counts.write(streaming, str(tmp_path / "counts"))
+    assert sorted(streaming.read.parquet(str(tmp_path / "counts")).collect()) == sorted(table.collect())
+    assert streaming.read.parquet(str(tmp_path / "counts")).columns == [f.split()[0] for f in COUNTS.split(", ")]
