@@ -1,10 +1,11 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-A document of a source whose target is r times its size is due r copies. The whole part of r is
-certain. For the rest each document gets the Pareto rank (u / (1 - u)) / (p / (1 - p)), with u a
+A document is due copies in proportion to its weight, `limit` at most, so many that its source's words reach the target. The
+whole part is certain. For the rest each document gets the Pareto rank (u / (1 - u)) / (p / (1 - p)), with u a
 random number of its own and p the fraction of a copy still due, and documents are taken in rank
-order until the source's words reach the target. With document weights, p differs from document
-to document; sure documents rank first, and those already at the limit are left out.
+order until the source's words reach the target. By default a document's weight falls with the length of its text, so that
+a source's sample has more, shorter documents; weights are rounded to powers of 2 ** (1 / 4), so that a
+source has a bounded number of them and what is due is worked out on one row per source and weight.
 
 A source is never sorted as a whole: ranks are cut into buckets, bucket sums are added up, and
 only the bucket in which the target falls is looked at row by row. There, documents that still
@@ -30,6 +31,9 @@ SEED = 20
 BUCKET_ROWS = 2000
 #: Buckets of a source at most; a source of more rows has larger buckets.
 MOST_BUCKETS = 1 << 20
+#: Steps of a weight between powers of two, and powers of two up to which weights differ from 1.
+STEPS = 4
+MOST_POWERS = 64
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: float = LIMIT) -> DataFrame:
@@ -70,6 +74,39 @@ def _fill(rows: DataFrame) -> DataFrame:
     )
 
 
+def by_length(size: Column) -> Column:
+    """The default weight: 1 of the shortest documents, a quarter of those of some thousand words."""
+    return 1 / F.sqrt(1 + F.log2(F.greatest(size, F.lit(1))) * 1.5)
+
+
+def _copies_due(classes: DataFrame, targets: DataFrame, limit: float) -> DataFrame:
+    """Of sources and weight classes (source, class, words, rows): the copies that a document of each is due.
+
+    Columns source, class, source_size, source_rows, target, due and common, the odds of the source's mean fraction.
+    Classes of the highest weights may be at the limit; the others share what these leave by weight.
+    """
+    weighed = classes.withColumn("w", F.when(F.col("class").isNotNull(), F.pow(F.lit(2.0), F.col("class") / STEPS)).otherwise(0.0))
+    same = F.col("c.source").eqNullSafe(F.col("t.source"))
+    joined = weighed.alias("c").join(targets.alias("t"), same).select("c.*", "source_size", "source_rows", "target")
+    # a row per source and class
+    by_weight = Window.partitionBy("source").orderBy(F.col("w").desc(), "class")
+    before = by_weight.rowsBetween(Window.unboundedPreceding, -1)
+    onward = by_weight.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    whole = by_weight.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    left = F.col("target") - limit * F.coalesce(F.sum("words").over(before), F.lit(0))
+    rest = F.sum(F.col("w") * F.col("words")).over(onward)
+    levels = joined.withColumn("level", F.when(rest > 0, left / rest))
+    below = F.when(F.col("level") * F.col("w") <= limit, F.col("level"))
+    shared = levels.withColumn("level", F.first(below, ignorenulls=True).over(whole))
+    due = F.when(F.col("words") == 0, 0.0).otherwise(F.greatest(F.least(F.coalesce(F.col("level") * F.col("w"), F.lit(limit)), F.lit(limit)), F.lit(0.0)))
+    p = F.col("due") - F.floor("due")
+    drawn = F.when(p > 0, F.col("rows"))
+    mean = F.sum(drawn * p).over(whole) / F.sum(drawn).over(whole)
+    return shared.withColumn("due", due).select(
+        "source", "class", "source_size", "source_rows", "target", "due", F.when(mean < 1, mean / (1 - mean)).otherwise(1.0).alias("common")
+    )
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[float, ...] = WEIGHTS,
@@ -79,43 +116,43 @@ def mix(
 ) -> DataFrame:
     """Columns doc_id, source, size, source_size, target, copies and taken, one row per document.
 
-    `doc_weight` (1 by default) scales the copies due to a document within its source.
+    `doc_weight`, by default `by_length`, scales the copies due to a document within its source; documents of weight 0 take nothing
+    unless the others cannot reach the target.
     """
+    sized = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("source").cast("string").alias("source"),
+        word_count(text_of("text")).alias("size"),
+        *([doc_weight.cast("double").alias("w")] if doc_weight is not None else []),
+    )
+    weight = F.col("w") if doc_weight is not None else by_length(F.col("size"))
+    steps = F.round(F.log2(weight) * STEPS).cast("int")
+    most = MOST_POWERS * STEPS
     sizes = written(
-        docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"),
-            F.col("source").cast("string").alias("source"),
-            word_count(text_of("text")).alias("size"),
-            (F.greatest(doc_weight, F.lit(0.0)) if doc_weight is not None else F.lit(1.0)).cast("double").alias("w"),
-        ).withColumn("row", F.monotonically_increasing_id()),
+        sized.withColumn("class", F.when(weight > 0, F.greatest(F.least(steps, F.lit(most)), F.lit(-most))))
+        .withColumn("row", F.monotonically_increasing_id())
+        .drop("w"),
         "sizes",
     )
-    weighed = sizes.groupBy("source").agg(F.sum(F.col("w") * F.col("size")).alias("weighed_size"))
-    # one row per source; as a table its size is known, and Spark broadcasts it only while it is small
-    targets = written(
-        source_targets(sizes, weights, limit)
-        .alias("t")
-        .join(weighed.alias("p"), F.col("t.source").eqNullSafe(F.col("p.source")))
-        .select("t.*", "weighed_size"),
-        "targets",
-    )
-    due = F.when(F.col("weighed_size") > 0, F.col("target") * F.col("w") / F.col("weighed_size")).otherwise(0.0)
+    targets = source_targets(sizes, weights, limit)
+    classes = sizes.groupBy("source", "class").agg(F.sum("size").alias("words"), F.count(F.when(F.col("size") > 0, 1)).alias("rows"))
+    # a row per source and class; as a table its size is known, and Spark broadcasts it only while it is small
+    due = written(_copies_due(classes, targets, float(limit)), "due")
     u = unit("doc_id", "size", seed=seed)
     p = F.col("due") - F.col("whole")
-    rank = u * (1 - p) / ((1 - u) * p)
-    # the rank on a scale from 0 to 1; where no document has a weight all p of a source are the same,
-    # and u, which has the same order, cuts it into buckets of equal size
-    scale = u if doc_weight is None else rank / (1 + rank)
+    # the rank, against that of a document with the source's mean fraction: on a scale from 0 to 1, about evenly
+    rank = u / (1 - u) * F.col("common") / (p / (1 - p))
     buckets = F.least(F.lit(MOST_BUCKETS), F.ceil(F.col("source_rows") / BUCKET_ROWS))
     drawn = (F.col("size") > 0) & (p > 0)
+    same = F.col("s.source").eqNullSafe(F.col("t.source")) & F.col("s.class").eqNullSafe(F.col("t.class"))
     ranked = written(
         sizes.alias("s")
-        .join(targets.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source")))
-        .select("s.*", "source_size", "target", "source_rows", F.least(due, F.lit(float(limit))).alias("due"))
+        .join(due.alias("t"), same)
+        .select("s.*", "source_size", "target", "source_rows", "due", "common")
         .withColumn("whole", F.when(F.col("size") > 0, F.floor("due")).otherwise(0).cast("int"))
-        .withColumn("v", F.when(drawn, scale))
-        .withColumn("bucket", F.floor(F.col("v") * buckets))
-        .drop("due", "source_rows", "w"),
+        .withColumn("v", F.when(drawn, rank / (1 + rank)))
+        .withColumn("bucket", F.when(F.col("v").isNotNull(), F.least(F.floor(F.col("v") * buckets), buckets - 1)))
+        .drop("due", "source_rows", "class", "common"),
         "ranked",
     )
     # from here to `edges` one row per source and bucket
