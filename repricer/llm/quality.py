@@ -1,11 +1,11 @@
 """Quality rules whose cut-offs keep the share of good documents that they reject below a limit.
 
 A rule rejects documents whose signal is above a cut-off. On labelled holdouts, for each stratum,
-signal and cut-off of a fixed grid, let k of n good documents be above it. If their true share were
-`risk` or more, so few would be seen with a probability of at most P(Binomial(n, risk) <= k); a
+signal and cut-off of a fixed grid, let k of n good documents be above it. Each of m signals may reject p = `risk` / m. If the true
+share were p or more, so few would be seen with a probability of at most P(Binomial(n, p) <= k); a
 cut-off is sure if that is at most `doubt`, divided by the number of all strata, signals and cut-offs
-tried (Bonferroni). The lowest sure cut-off is used. So with probability 1 - `doubt` no rule rejects
-more than `risk` of the good documents of any stratum. A stratum with too few labels gets no rule.
+tried (Bonferroni). The lowest sure cut-off is used. So with probability 1 - `doubt` the rules of no stratum together reject
+more than `risk` of its good documents. A stratum with too few labels gets no rule.
 
 Null texts count as empty. A null stratum is a stratum of its own. Labels without a document, with
 null values, or repeated with different values are left out; with no label at all only the base
@@ -37,7 +37,8 @@ CUTOFFS = {
     "repeat_share": [x / 100 for x in range(4, 100, 2)],
     "word_length": [x / 4 for x in range(32, 80)],
 }
-RISK = 0.005
+#: Of the good documents of a stratum, the share that its rules together may reject.
+RISK = 0.025
 DOUBT = 0.05
 
 
@@ -149,20 +150,24 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 def cutoffs(signalled: DataFrame, labels: DataFrame, risk: float = RISK, doubt: float = DOUBT) -> DataFrame:
     """Columns stratum, signal and cutoff: the sure cut-offs, one row at most per stratum and signal.
 
+    `risk` is the share of good documents that all rules of a stratum together may reject: each signal has an even part of it, and
+    the share that several rules reject together is no more than the sum of theirs.
     All good labels are used; the binomial sum has fewer than risk times their number of terms.
     """
+    risk = risk / len(CUTOFFS)
     good = (
         labels.groupBy(F.col("doc_id").alias("_id"))
         .agg(F.min("quality").alias("low"), F.max("quality").alias("high"))
         .filter("low = 1 AND high = 1")
     )
-    single = (
-        signalled.join(good, F.col("doc_id") == F.col("_id"))
+    # ids are made rows before the join, so that one with many documents is no hot key of it
+    once = (
+        signalled.filter("doc_id IS NOT NULL")
         .groupBy("doc_id")
-        .agg(F.count("*").alias("rows"), F.first("stratum").alias("stratum"), *[F.max(s).alias(s) for s in CUTOFFS])
+        .agg(F.count("*").alias("rows"), F.min(F.struct("stratum")).alias("_of"), *[F.max(s).alias(s) for s in CUTOFFS])
         .filter("rows = 1")
     )
-    single = written(single, "holdout")
+    single = written(once.join(good, F.col("doc_id") == F.col("_id")).select("doc_id", "_of.stratum", *CUTOFFS), "holdout")
     sizes = single.groupBy("stratum").agg(F.count("*").alias("labelled"))
     # how many cut-offs of the grid lie below the value
     above = F.array(
