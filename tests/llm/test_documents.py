@@ -166,6 +166,60 @@ def test_mix(documents, messy):
     assert mixing.mix(documents([(1, None, None, None), (2, "", None, "a")])).agg(F.sum("taken")).first()[0] == 0
 
 
+def water_filled(rows, target, limit):
+    """The copies due to (weight, size) by weight, `limit` at most, so that their words are the target."""
+    capped: set = set()
+    while True:
+        free = sum(w * size for w, size in rows if w not in capped)
+        level = (target - limit * sum(size for w, size in rows if w in capped)) / free if free else 0
+        above = {w for w, size in rows if w not in capped and level * w > limit * (1 + 1e-12)}
+        if not above:
+            return {w: limit if w in capped else level * w for w, _ in rows}
+        capped.add(max(above))
+
+
+@pytest.mark.parametrize("doc_weight, buckets", [(None, 2000), (None, 7), (lambda: F.when(F.col("doc_id") % 3 == 0, 4.0).otherwise(1.0), 9)])
+def test_mix_takes_documents_in_the_order_of_pareto_ranks(documents, monkeypatch, doc_weight, buckets):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", buckets)
+    draw = random.Random(8)
+    rows = [(i, "w " * draw.choice([3, 10, 40, 90, 400]), "en", draw.choice("aaabbccccccd")) for i in range(400)] + [(900, None, None, "a"), (901, " ", None, "d")]
+    docs = documents(rows)
+    size = {i: len((t or "").split()) for i, t, *_ in rows}
+    u = {r[0]: r[1] for r in docs.select("doc_id", mixing.unit("doc_id", mixing.word_count(mixing.text_of("text")), seed=mixing.SEED)).collect()}
+    plain = lambda i: (4.0 if i % 3 == 0 else 1.0) if doc_weight else 1 / math.sqrt(1 + math.log2(max(1, size[i])) * 1.5)
+    weight = {i: 2.0 ** (round(math.log2(plain(i)) * 4) / 4) for i, *_ in rows}
+    found = {r["doc_id"]: r["copies"] for r in mixing.mix(docs, doc_weight=doc_weight and doc_weight()).collect()}
+    per = defaultdict(int)
+    for i, _, _, s in rows:
+        per[s] += size[i]
+    expected = {}
+    for source, target in targets(per).items():
+        own = [i for i, _, _, s in rows if s == source]
+        due = water_filled([(weight[i], size[i]) for i in own if size[i]], target, 3)
+        copies = {i: math.floor(due[weight[i]]) if size[i] else 0 for i in own}
+        left = {i: due[weight[i]] - copies[i] for i in own if size[i]}
+        ranks = sorted((u[i] / (1 - u[i]) / (p / (1 - p)), i) for i, p in left.items() if p > 0)
+        gap = target - sum(copies[i] * size[i] for i in own)
+        taken = [i for _, i in ranks if copies[i] + 1 == found[i]]
+        # all that rank before the first one that does not fit are taken, and of the others only such as still fit or come nearest
+        fits = 0
+        for _, i in ranks:
+            if fits + size[i] > gap:
+                break
+            fits += size[i]
+            assert i in taken
+        assert not [(i, size[i], found[i], copies[i]) for i in own if found[i] - copies[i] not in (0, 1) or found[i] > copies[i] and i not in left]
+        expected[source] = abs(target - sum(found[i] * size[i] for i in own))
+        assert expected[source] <= 0.02 * target + (3 if buckets == 2000 else 200)  # small buckets leave few documents to fill the gap with
+        later = [i for i in taken if i not in {j for _, j in ranks[: len(taken)]}]
+        assert len(later) <= 0.1 * len(ranks) + 3
+    # a document's chance falls with its length, or rises with its weight
+    light = [i for i, _, _, s in rows if s == "c" and (size[i] == 400 if doc_weight is None else i % 3)]
+    heavy = [i for i, _, _, s in rows if s == "c" and (size[i] == 3 if doc_weight is None else i % 3 == 0)]
+    mean = lambda ids: sum(found[i] for i in ids) / len(ids)
+    assert mean(heavy) > 1.2 * mean(light)
+
+
 def test_mix_follows_document_weights(documents):
     rows = [(i, "w " * 10, "en", "a" if i < 900 else "b") for i in range(1000)]
     weight = F.when(F.col("doc_id") % 2 == 0, 3.0).otherwise(1.0)
@@ -225,6 +279,25 @@ def test_rules_reject_only_what_the_labels_allow(spark, documents):
     assert quality.judged(documents([]), nobody).count() == 0
 
 
+def test_the_rules_of_a_stratum_together_reject_no_more_than_the_risk(spark):
+    """Signals that are high in different documents: each rule alone could reject a share that adds up to more."""
+    draw = F.rand(seed=4)
+    grids = {s: (grid[0], grid[-1]) for s, grid in quality.CUTOFFS.items()}
+    drawn = spark.range(60_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("string").alias("stratum"), draw.alias("u"))
+    share = 0.0025  # of each signal, in documents of its own
+    signalled = drawn.withColumns(
+        {s: F.when((F.col("u") >= k * share) & (F.col("u") < (k + 1) * share), high + 1.0).otherwise(low / 2) for k, (s, (low, high)) in enumerate(grids.items())}
+    )
+    labels = signalled.select("doc_id", F.lit(1).alias("quality"))
+    for risk in (0.025, 0.01):
+        rules = {(r["stratum"], r["signal"]): r["cutoff"] for r in quality.cutoffs(signalled, labels, risk=risk).collect()}
+        for stratum in ("0", "1"):
+            own = [F.col(s) > c for (of, s), c in rules.items() if of == stratum]
+            rejected = signalled.filter(F.col("stratum") == stratum).filter(F.array_contains(F.array(F.lit(False), *own), True)).count()
+            assert rejected <= risk * 30_000
+        assert len(rules) == (10 if risk == 0.025 else 0)
+
+
 def test_cutoffs_use_every_label(spark):
     n, above = 400_000, 1800
     value = F.when(F.col("doc_id") % (n // above) == 0, 1.0).otherwise(0.0)

@@ -23,6 +23,9 @@ COLUMNS = {
     "op8_": "doc_id n_shingles component_id",
     "op9_": "doc_id n_words n_tokens",
     "op10_": "doc_id keep_id group_size kept text_sha256",
+    "op11_": "query_id rank vec_id score",
+    "op12_": "part filter_order step kept removed redundant unique_fails good_lost toxic_lost shapley",
+    "op13_": "vec_id cluster distance cluster_inertia inertia centroid_sha256",
 }
 
 
@@ -30,8 +33,16 @@ COLUMNS = {
 def test_query(spark, name):
     found = QUERIES[name](spark, SAMPLE)
     assert found.columns == COLUMNS[re.match(r"op\d+_", name)[0]].split()
+    if name.startswith("op12_"):
+        parts = {r[0] or "" for r in table(spark, SAMPLE, "documents").select("lang").distinct().collect()}
+        assert Counter(r["part"] for r in found.collect()) == dict.fromkeys(parts, 600)
+        return
+    if name.startswith("op11_"):
+        vectors = [r[0] for r in table(spark, SAMPLE, "embeddings").select("vec_id").collect()]
+        assert Counter(r["query_id"] for r in found.collect()) == {i: 10 for i in vectors if i % 100 == 0}
+        return
     ids = Counter(r[0] for r in found.select(found.columns[0]).collect())
-    source = table(spark, SAMPLE, "pages" if name.startswith("op3_") else "documents")
+    source = table(spark, SAMPLE, {"op3_": "pages", "op13_": "embeddings"}.get(re.match(r"op\d+_", name)[0], "documents"))
     assert set(ids) == {r[0] for r in source.select(source.columns[0]).collect()}
     assert name.startswith("op1_") or set(ids.values()) == {1}
 
