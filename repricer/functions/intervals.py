@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _MICROS = {
@@ -33,3 +33,21 @@ def ceil_to(value: Column, width: int) -> Column:
 def slice_start(ts: Column, width: int) -> Column:
     """Start, in epoch microseconds, of the time slice that holds `ts`."""
     return floor_to(F.unix_micros(ts), width)
+
+
+#: Slice widths to choose from.
+WIDTHS = ("1 minute", "5 minutes", "15 minutes", "1 hour", "6 hours", "1 day", "7 days", "30 days")
+
+
+def slice_width_for(rows: DataFrame, *, most: int = 50_000) -> str:
+    """The widest slice that holds about `most` rows of any product, by each product's rows over the time that they span.
+
+    Takes one job over `product_id` and `ts` that adds up in the map tasks and gives one row. Products with no more than `most` rows
+    fit whatever the width. Wide slices mean few summary rows; no result depends on them.
+    """
+    at = F.unix_micros("ts")
+    spans = rows.groupBy("product_id").agg(F.count(F.lit(1)).alias("n"), (F.max(at) - F.min(at)).alias("span"))
+    least = spans.where(F.col("n") > most).agg(F.min(F.col("span") * (most / F.col("n"))).alias("width")).first()["width"]
+    if least is None:
+        return WIDTHS[-1]
+    return max((w for w in WIDTHS if micros(w) <= least), key=micros, default=WIDTHS[0])

@@ -2,7 +2,7 @@
 
 The sample streams are sparse (a few events per product and day), so the time constants
 of the surge, the surge factor's life and the inactivity gap are stretched for them; the
-demand windows and the pricing rules keep their defaults.
+demand windows and the pricing rules keep their defaults. Time slices are as wide as the busiest product allows.
 """
 
 from __future__ import annotations
@@ -21,16 +21,15 @@ from repricer.schemas import RANK
 from repricer.sources.ingest import decode_json
 from repricer.sources.tables import STREAMS, Sample, competitor_price, quantity, rule_bounds
 
-SURGE = {"n": 3, "within": "24 hours", "slice_width": "1 hour"}
+SURGE = {"n": 3, "within": "24 hours"}
 LINE_SURGE = {"n": 3, "within": "90 days", "slice_width": "30 days"}
 GAP = "1 day"
 TTL = "12 hours"
-SLICE = "1 hour"
 
 
 def updates(sample: Sample) -> DataFrame:
     """The five update streams united."""
-    surges = surge_adjustments(surge_runs(sample.orders(), **SURGE))
+    surges = surge_adjustments(surge_runs(sample.orders(), **SURGE, slice_width=sample.slice_width()))
     return metric_union(
         as_update(demand_metrics(sample.clicks()), "DEMAND"),
         as_update(sample.inventory(), "INVENTORY"),
@@ -42,7 +41,7 @@ def updates(sample: Sample) -> DataFrame:
 
 def united_log(sample: Sample) -> DataFrame:
     """The log as the union of separate streams, as it is built from separate topics."""
-    resets = as_update(inactivity_resets(sample.clicks(), gap=GAP, slice_width=SLICE), "RESET")
+    resets = as_update(inactivity_resets(sample.clicks(), gap=GAP, slice_width=sample.slice_width()), "RESET")
     return event_log(sample.clicks(), metric_union(updates(sample), resets))
 
 
@@ -68,8 +67,8 @@ def log(sample: Sample, *, mixed_currencies: bool = False) -> DataFrame:
     return metric_union(
         _direct(sample, mixed_currencies=mixed_currencies),
         as_update(demand_metrics(clicks), "DEMAND"),
-        as_update(surge_adjustments(surge_runs(sample.orders(), **SURGE)), "EMERGENCY"),
-        as_update(inactivity_resets(clicks, gap=GAP, slice_width=SLICE), "RESET"),
+        as_update(surge_adjustments(surge_runs(sample.orders(), **SURGE, slice_width=sample.slice_width())), "EMERGENCY"),
+        as_update(inactivity_resets(clicks, gap=GAP, slice_width=sample.slice_width()), "RESET"),
     )
 
 
@@ -84,14 +83,14 @@ def message_log(sample: Sample) -> DataFrame:
         as_update(rules, "RULE"),
         as_update(lookup_competitor_table(clicks, sample.competitor_answers()), "LOOKUP"),
         as_update(demand_metrics(clicks), "DEMAND"),
-        as_update(surge_adjustments(surge_runs(orders, **SURGE)), "EMERGENCY"),
-        as_update(inactivity_resets(clicks, gap=GAP, slice_width=SLICE), "RESET"),
+        as_update(surge_adjustments(surge_runs(orders, **SURGE, slice_width=sample.slice_width())), "EMERGENCY"),
+        as_update(inactivity_resets(clicks, gap=GAP, slice_width=sample.slice_width()), "RESET"),
     )
 
 
 def examples(sample: Sample) -> DataFrame:
-    return training_set(log(sample), sample.sales(), ttl=TTL, slice_width=SLICE)
+    return training_set(log(sample), sample.sales(), ttl=TTL, slice_width=sample.slice_width())
 
 
 def priced(sample: Sample) -> DataFrame:
-    return priced_rows(log(sample), sample.registry(), ttl=TTL, slice_width=SLICE)
+    return priced_rows(log(sample), sample.registry(), ttl=TTL, slice_width=sample.slice_width())

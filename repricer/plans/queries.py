@@ -92,7 +92,7 @@ def demand_metrics(sample: Sample) -> DataFrame:
 
 
 def surge_runs(sample: Sample) -> DataFrame:
-    return flat(surge.surge_runs(sample.orders(), **feeds.SURGE))
+    return flat(surge.surge_runs(sample.orders(), **feeds.SURGE, slice_width=sample.slice_width()))
 
 
 def surge_runs_lines(sample: Sample) -> DataFrame:
@@ -100,7 +100,7 @@ def surge_runs_lines(sample: Sample) -> DataFrame:
 
 
 def surge_adjustments(sample: Sample) -> DataFrame:
-    return flat(surge.surge_adjustments(surge.surge_runs(sample.orders(), **feeds.SURGE)))
+    return flat(surge.surge_adjustments(surge.surge_runs(sample.orders(), **feeds.SURGE, slice_width=sample.slice_width())))
 
 
 def competitor_lookup(sample: Sample) -> DataFrame:
@@ -136,21 +136,21 @@ def price_triggers(sample: Sample) -> DataFrame:
 
 def inactivity_resets(sample: Sample) -> DataFrame:
     clicks = sample.clicks()
-    return flat(state.inactivity_resets(clicks, gap=feeds.GAP, slice_width=feeds.SLICE))
+    return flat(state.inactivity_resets(clicks, gap=feeds.GAP, slice_width=sample.slice_width()))
 
 
 def inactivity_resets_tail(sample: Sample) -> DataFrame:
     """The default gap, with the reset after a product's last click."""
     clicks = sample.clicks()
-    return flat(state.inactivity_resets(clicks, close_tail=True, slice_width=feeds.SLICE))
+    return flat(state.inactivity_resets(clicks, close_tail=True, slice_width=sample.slice_width()))
 
 
 def state_asof(sample: Sample) -> DataFrame:
-    return flat(state.state_asof(feeds.log(sample), slice_width=feeds.SLICE).drop("slice"))
+    return flat(state.state_asof(feeds.log(sample), slice_width=sample.slice_width()).drop("slice"))
 
 
 def _context(sample: Sample) -> DataFrame:
-    return state.pricing_context(feeds.log(sample), ttl=feeds.TTL, slice_width=feeds.SLICE)
+    return state.pricing_context(feeds.log(sample), ttl=feeds.TTL, slice_width=sample.slice_width())
 
 
 def emergency_ttl(sample: Sample) -> DataFrame:
@@ -210,7 +210,7 @@ def reprice(sample: Sample) -> DataFrame:
 def reprice_from_messages(sample: Sample) -> DataFrame:
     """The same from JSON messages, decoded and run through every operator."""
     log = feeds.message_log(sample)
-    return flat(pricing.price_batch(log, sample.registry(), ttl=feeds.TTL, slice_width=feeds.SLICE))
+    return flat(pricing.price_batch(log, sample.registry(), ttl=feeds.TTL, slice_width=sample.slice_width()))
 
 
 def training_set(sample: Sample) -> DataFrame:
@@ -246,7 +246,7 @@ def currency_mismatch(sample: Sample) -> DataFrame:
     log = feeds.log(sample, mixed_currencies=True)
     return flat(
         pricing.currency_mismatches(
-            log, sample.registry(), ttl=feeds.TTL, slice_width=feeds.SLICE
+            log, sample.registry(), ttl=feeds.TTL, slice_width=sample.slice_width()
         )
     )
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repricer.functions.intervals import floor_to, micros
+from repricer.functions.intervals import floor_to, micros, slice_width_for
 from repricer.functions.money import amount, money
 
 # event type of each input
@@ -57,7 +57,7 @@ class Sample:
     """The tables of one folder; each is opened once however many streams use it."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self._spark, self._dir, self._open = spark, sf_dir, {}
+        self._spark, self._dir, self._open, self._width = spark, sf_dir, {}, None
 
     def table(self, name: str) -> DataFrame:
         if name not in self._open:
@@ -82,6 +82,13 @@ class Sample:
             "product_id", "product_name", "ts", "seq", "event_type", "value"
         )
 
+    def slice_width(self) -> str:
+        """The width of time slices that suits the busiest product of the events; worked out once."""
+        if self._width is None:
+            keyed = self.table("events").select(F.get_json_object("props", "$.k").alias("product_id"), F.col("ts").cast("timestamp").alias("ts"))
+            self._width = slice_width_for(keyed)
+        return self._width
+
     def clicks(self) -> DataFrame:
         return self.events("click").select("product_id", "product_name", "ts", "seq")
 

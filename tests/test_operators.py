@@ -283,3 +283,14 @@ def test_models_join_alike_broadcast_or_dealt(rows, registry):
     assert "BroadcastHashJoin" in plan
     large, plan = joined(broadcast_rows=1, salts=3)
     assert "held_salt" in plan and small == large and {m for _, m in small} == {None, "a", "b", "c", "d"}
+
+
+def test_slice_width_by_the_busiest_product(rows):
+    from repricer.functions.intervals import slice_width_for
+
+    seconds = 100_000
+    clicks = rows("product_id string, t double", *[("hot", float(t)) for t in range(0, seconds, 100)], *[("cold", float(t)) for t in (0, 1)])
+    # 1000 rows in 100,000 seconds: 50 of them in 5000 seconds, 9 in 900
+    assert slice_width_for(clicks, most=50) == "1 hour" and slice_width_for(clicks, most=9) == "5 minutes"
+    assert slice_width_for(clicks, most=1000) == "30 days" and slice_width_for(clicks, most=1) == "1 minute"
+    assert slice_width_for(clicks.where("false")) == "30 days"
