@@ -45,6 +45,33 @@ def test_language_held_out(documents, speech):
     assert by[1003]["lang"] == "yy" and by[None]["lang"] == "xx" and all(0 <= r["score"] <= 1 for r in found)
 
 
+def plain_grams(text):
+    letters = "".join(c if c.isalpha() else " " for c in f" {text} ".lower())
+    grams = (letters[i : i + 4] for i in range(len(letters) - 3))
+    return [gram for gram in grams if "  " not in gram]
+
+
+def test_language_decides_as_plain_sets_do(documents, speech):
+    """The filters against sets of the grams themselves: same decision, same share up to the filters' false positives."""
+    draw = random.Random(9)
+    rows = [(i, speech(lang, draw.randint(3, 60)) + draw.choice(["", "! 7", "\n(a)"]), lang) for i in range(300) for lang in [draw.choice(["xx", "yy", "zz"])]]
+    mixed = [(1000 + i, f"{speech('xx', 1 + i % 7)} {speech('yy', 1 + i % 5)} {speech('zz', i % 3)}", None) for i in range(60)]
+    learned = [(t, lang) for i, t, lang in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    sets = {}
+    for lang in ("xx", "yy", "zz"):
+        own = [t for t, x in learned if x == lang]
+        counts = Counter(gram for t in own for gram in set(plain_grams(t)))
+        sets[lang] = {gram for gram, n in counts.items() if n >= 2 and n >= language.MIN_SHARE * len(own)}
+    found = {r["doc_id"]: r for r in language.identified(documents(rows + mixed)).select("doc.doc_id", "predicted.*").collect()}
+    for i, text, _ in rows + mixed:
+        grams = plain_grams(text)
+        share = {lang: sum(gram in known for gram in grams) / len(grams) for lang, known in sets.items()}
+        best = sorted(share, key=lambda lang: (-share[lang], lang))
+        if share[best[0]] - share[best[1]] > 0.02:
+            assert found[i]["lang"] == best[0]
+        assert found[i]["score"] == pytest.approx(share[found[i]["lang"]], abs=0.02)
+
+
 def test_language_ignores_held_out_labels(documents, speech):
     rows = [(i, speech("xx" if i % 2 else "yy", 30), "xx" if i % 2 else "yy") for i in range(200)]
     wrong = [(i, t, "other" if zlib.crc32(str(i).encode()) % 3 == 1 else lang) for i, t, lang in rows]
