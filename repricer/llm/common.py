@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
+import gc
 import string
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space: space and U+0009 to U+000D. Words are the maximal runs of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
+#: Documents in a small Arrow batch.
+ARROW_ROWS = 1000
 _GAP_CHARS = " \t\n\x0b\x0c\r"
 
 
@@ -45,13 +52,42 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Python passes that are planned inside get ARROW_ROWS rows at once at most: texts are large, and a worker holds two batches."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def written(df: DataFrame, name: str, small_batches: bool = False) -> DataFrame:
     """The rows as a table in the shared folder: lineage ends here, and no later step computes them again."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with _small_batches(df.sparkSession) if small_batches else contextlib.nullcontext():
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def released(run):
+    """A pass over batches that gives back to the machine what it has used: a worker process outlives its tasks, and idle ones stay."""
+
+    def passing(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return passing
+
+
 def text_of(column: str | Column) -> Column:
     """The text, empty where null."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -99,9 +99,13 @@ def open_index(spark: SparkSession, path: str | None = None, buckets: int | None
 def distinct_documents(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """The rows whose texts are new to the index (to a fresh one by default), one per text, all columns kept."""
     index = index or open_index(docs.sparkSession)
-    kept = index.add(docs).filter("kept").select("doc_id", "digest")
-    # the row as one value, whatever its columns are called
+    decided = index.add(docs).groupBy("doc_id", "digest").agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
+    kept = written(decided.filter("kept").select("doc_id", "digest", "rows"), "kept")
+    # the row as one value, whatever its columns are called; whole rows are sent once, and never sorted
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), digest("text").alias("digest"), F.struct("*").alias("doc"))
-    once = rows.dropDuplicates(["id", "digest"])
     same = F.col("id").eqNullSafe(F.col("k.doc_id")) & (F.col("r.digest") == F.col("k.digest"))
-    return once.alias("r").join(kept.alias("k"), same, "left_semi").select("doc.*")
+    of = lambda keys: rows.alias("r").join(keys.alias("k").hint("shuffle_hash"), same, "left_semi")
+    chosen, several = of(kept.filter("rows = 1")), kept.filter("rows > 1")
+    if not several.isEmpty():
+        chosen = chosen.unionByName(of(several).dropDuplicates(["id", "digest"]))
+    return chosen.select("doc.*")

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repricer.llm.common import WORD, written
+from repricer.llm.common import WORD, released, written
 from repricer.llm.components import components
 
 #: Counters of the shingle counts, a power of two, and those that travel in one row.
@@ -51,6 +51,8 @@ HOT = 20_000
 LEADS = 8
 #: Pairs for each row that may still pass the filters when all pairs that are left are compared at once.
 FEW = 3
+#: Shingles of texts that a task keeps while it compares pairs.
+KNOWN_SHINGLES = 50_000
 #: Bits of the map of candidates, at most.
 _MAP_BITS = 1 << 27
 
@@ -165,7 +167,7 @@ def _read(docs: DataFrame, size: int) -> DataFrame:
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
-        read, "doc_id long, node binary, number long, n long, chunk int, counts binary"
+        released(read), "doc_id long, node binary, number long, n long, chunk int, counts binary"
     )
 
 
@@ -229,7 +231,7 @@ def _prefixes(docs: DataFrame, counts, similarity: Similarity, bits: int) -> Dat
         if waits:
             yield _packed(waiting, bits)
 
-    return docs.select("text").mapInPandas(emit, _PREFIX)
+    return docs.select("text").mapInPandas(released(emit), _PREFIX)
 
 
 def _packed(waiting: list[tuple], bits: int) -> pd.DataFrame:
@@ -352,7 +354,7 @@ def _texts(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             yield pd.DataFrame(rows, columns=["node", "spread", "words"])
 
     slot = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(bits)).alias("slot")
-    return docs.select("text", slot).mapInPandas(pick, "node binary, spread binary, words binary")
+    return docs.select("text", slot).mapInPandas(released(pick), "node binary, spread binary, words binary")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: Similarity) -> DataFrame:
@@ -370,7 +372,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: Similarity) -> Dat
         .filter(F.col("n") + F.col("m") - apart("spread_a", "spread_b") >= 2 * similarity.overlap(F.col("n"), F.col("m")))
         .select("a", "b")
     )
-    near = written(near, "near")
+    near = written(near, "near", small_batches=True)
     # of the texts only those of such pairs are sent, and a few more
     bits, held = _map_of(texts.sparkSession, near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
 
@@ -385,12 +387,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: Similarity) -> Dat
     @F.pandas_udf("boolean")
     def linked(x: pd.Series, y: pd.Series) -> pd.Series:
         known: dict[bytes, set] = {}
+        held = 0
 
         def of(packed: bytes) -> set:
+            nonlocal held
             if packed not in known:
-                if len(known) > 200:
+                own = shingles(zlib.decompress(packed).split(b" "), similarity.words)
+                held += len(own)
+                if held > KNOWN_SHINGLES:
                     known.clear()
-                known[packed] = shingles(zlib.decompress(packed).split(b" "), similarity.words)
+                    held = len(own)
+                known[packed] = own
             return known[packed]
 
         found = []
@@ -469,7 +476,7 @@ def _every_pair(left: DataFrame, similarity: Similarity) -> DataFrame:
 def _linked(docs: DataFrame, similarity: Similarity) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A row per document (doc_id, node, n), the nodes with their smallest doc_id (node, first_id, n), and the components of those that are linked."""
     spark = docs.sparkSession
-    read = written(_read(docs, similarity.words), "read")
+    read = written(_read(docs, similarity.words), "read", small_batches=True)
     counts = spark.sparkContext.broadcast(_total(read.filter("chunk IS NOT NULL").select("chunk", "counts")))
     rows = read.filter("chunk IS NULL").select("doc_id", "node", "number", "n")
     nodes = written(
@@ -480,8 +487,9 @@ def _linked(docs: DataFrame, similarity: Similarity) -> tuple[DataFrame, DataFra
         _prefixes(docs, counts, similarity, (BUCKETS * partitions).bit_length())
         .repartition("bucket")
         .sortWithinPartitions("bucket")
-        .mapInPandas(_meet(similarity), _MET),
+        .mapInPandas(released(_meet(similarity)), _MET),
         "met",
+        small_batches=True,
     )
     counts.unpersist()
     # from numbers to nodes; should two nodes share a number, both are looked at
@@ -491,14 +499,14 @@ def _linked(docs: DataFrame, similarity: Similarity) -> tuple[DataFrame, DataFra
     for side in ("a", "b"):
         pairs = pairs.withColumnRenamed(side, "number").join(named, "number").withColumnRenamed("node", side).drop("number")
     meeting = left.select("node").distinct().join(nodes, "node")
-    texts = written(_texts(docs, meeting.select(F.col("first_id").alias("doc_id")), similarity.words), "texts")
+    texts = written(_texts(docs, meeting.select(F.col("first_id").alias("doc_id")), similarity.words), "texts", small_batches=True)
 
     rows_left, pairs_left = left.count(), None
     links = None
     for step in itertools.count(1):
         pairs = written(pairs, "pairs")
         share = pairs.count() / max(1, LEADS * rows_left)  # of the pairs looked at, what the filters let pass
-        found = written(_verified(pairs, texts, similarity), "links")
+        found = written(_verified(pairs, texts, similarity), "links", small_batches=True)
         links = found if links is None else links.union(found)
         joined = written(components(links), "components")
         before = pairs_left
@@ -506,7 +514,7 @@ def _linked(docs: DataFrame, similarity: Similarity) -> tuple[DataFrame, DataFra
         if share * pairs_left <= FEW * rows_left or before is not None and pairs_left > 0.98 * before:
             break
         pairs = _pairs_with_leads(left, similarity, step)
-    found = written(_verified(written(_every_pair(left, similarity), "pairs"), texts, similarity), "links")
+    found = written(_verified(written(_every_pair(left, similarity), "pairs"), texts, similarity), "links", small_batches=True)
     if not found.isEmpty():
         joined = written(components(links.union(found)), "components")
     return rows, nodes, joined

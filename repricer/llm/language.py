@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from repricer.llm.common import unit
+from repricer.llm.common import released, unit
 
 ORDER = 4
 #: Of the grams of single letters.
@@ -167,7 +167,7 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> LanguageFilters:
     chosen = labelled.filter(unit("doc_id", seed=4) < drawn).select("lang", "text")
     used = F.create_map(*[F.lit(x) for r in sizes.collect() for x in (r["lang"], float(min(r["n"], sample)))])[F.col("lang")]
     counts = (
-        chosen.mapInPandas(_count_grams, "lang string, short boolean, gram long, n long")
+        chosen.mapInPandas(released(_count_grams), "lang string, short boolean, gram long, n long")
         .groupBy("lang", "short", "gram")
         .agg(F.sum("n").alias("n"))
         .filter((F.col("n") >= 2) & (F.col("n") >= MIN_SHARE * used))
@@ -189,8 +189,12 @@ def predictor(docs: DataFrame, filters: LanguageFilters):
     @F.pandas_udf("lang string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = held.value
-        for texts in batches:
-            yield pd.DataFrame([model.predict(text) for text in texts], columns=["lang", "score"])
+
+        def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            for texts in batches:
+                yield pd.DataFrame([model.predict(text) for text in texts], columns=["lang", "score"])
+
+        yield from released(predicted)(batches)
 
     return predict
 

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from repricer.llm.common import written
+from repricer.llm.common import released, written
 
 CAPACITY = 1024
 END = 2
@@ -121,7 +121,7 @@ def pieces(
             yield frame
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut_all, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(released(cut_all), schema)
 
 
 def fullest(left: dict[int, int], room: int) -> list[int]:
@@ -212,4 +212,4 @@ def placed(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def packed(docs: DataFrame, capacity: int = CAPACITY, end: int = END, vocabulary: str = VOCABULARY, with_ids: bool = False) -> DataFrame:
     """The pieces of all documents with the sequence and offset at which each is placed."""
-    return placed(written(pieces(docs, capacity, end, vocabulary, with_ids), "pieces"), capacity)
+    return placed(written(pieces(docs, capacity, end, vocabulary, with_ids), "pieces", small_batches=True), capacity)
