@@ -70,7 +70,18 @@ def written(df: DataFrame, name: str, small_batches: bool = False) -> DataFrame:
     path = new_path(df.sparkSession, name)
     with _small_batches(df.sparkSession) if small_batches else contextlib.nullcontext():
         df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._written_at = path
+    return table
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes tables that `written` made. Only for tables of which all that is read again has itself been written since."""
+    for df in tables:
+        if path := getattr(df, "_written_at", None):
+            jvm = df.sparkSession.sparkContext._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
 def released(run):

@@ -8,12 +8,14 @@ left after the shared shingle) and the suffix filter (how the sets spread over r
 space bounds their overlap) before the texts themselves are compared, once per pair.
 
 The order comes from a table of counts of fixed size that all documents add to; any order gives the
-same result, counts only make it fast. Prefixes travel packed, by range of the shingles, and under the first 64 bits of their nodes. What is wanted is which documents hang together, so pairs
-are not spelled out: in rounds, every shingle's nodes are compared with a few of them (others for each
-shingle and round), and only nodes of different components that meet in a prefix go on. When few
-pairs are expected to pass the filters, or a round joins hardly any, every one of them is compared, as an ordinary
-join, which Spark splits where it is skewed; a large group that shares a shingle without linking has all its pairs compared. Nodes of very common shingles are dealt over several
-tasks when prefixes meet.
+same result, counts only make it fast. Prefixes travel packed, by range of the shingles, and under the first 64 bits of their nodes.
+A node of a shingle goes on only if the sizes and places that occur there leave it a partner, so a large group that shares a
+shingle too late in its prefixes to be linked by it is gone before any pair is formed. What is wanted is which documents hang
+together, so pairs are not spelled out: in rounds, every shingle's nodes are compared with a few leads, the same ones for all
+shingles where they can be, and only nodes of different components that meet in a prefix go on. When few pairs are left, or a
+round joins hardly any, every one of them is compared that was not yet: the nodes outside a shingle's largest component with
+those of each size that they can be linked with, as an ordinary join, which Spark splits where it is skewed. Nodes of very
+common shingles are dealt over several tasks when prefixes meet. Tables of finished rounds are removed.
 
 Null texts and texts without words have no shingle and link with nothing. Rows that repeat a doc_id
 are linked by their own texts. An empty table gives no rows. Only `doc_id` and `text` are read.
@@ -33,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repricer.llm.common import WORD, released, written
+from repricer.llm.common import WORD, dropped, released, written
 from repricer.llm.components import components
 
 #: Counters of the shingle counts, a power of two, and those that travel in one row.
@@ -47,9 +49,9 @@ PACKED_ROWS = 1 << 19
 BUCKETS = 8
 #: Nodes of a shingle that one task handles in the first step, about.
 HOT = 20_000
-#: Leads that each node of a shingle is compared with in a round.
+#: Leads that each node of a shingle is compared with in a round after the first.
 LEADS = 8
-#: Pairs for each row that may still pass the filters when all pairs that are left are compared at once.
+#: Pairs for each row that the sizes and places still allow when all pairs that are left are compared at once.
 FEW = 3
 #: Shingles of texts that a task keeps while it compares pairs.
 KNOWN_SHINGLES = 50_000
@@ -248,7 +250,7 @@ def _packed(waiting: list[tuple], bits: int) -> pd.DataFrame:
 
 
 def _meet(similarity: Similarity):
-    """Of packed prefixes sorted by bucket: rows (shingle, number, n, at) that may be in a pair, once each, and the first candidate pairs (a, b, n, m): every node with LEADS others of its shingle and part."""
+    """Of packed prefixes sorted by bucket: rows (shingle, number, n, at) that may be in a pair, once each, and the first candidate pairs (a, b, n, m): every node with two others of its shingle and part."""
 
     def rows_of(packed: list[tuple]) -> pd.DataFrame:
         columns = [
@@ -281,34 +283,64 @@ def _reach(similarity: Similarity, n: np.ndarray, at: np.ndarray, m: np.ndarray,
     return np.minimum(n - at, m - at_m) >= -(-similarity.percent * (n + m) // (100 + similarity.percent))
 
 
+def _last_places(similarity: Similarity, group: np.ndarray, n: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each row the last place at which it may have a partner in its group, by the length and positional filters; -1 if none.
+
+    Of the rows of one size those with the first places are partners of the others, so sizes are compared, not rows.
+    """
+    order = np.lexsort((at, n, group))
+    g, size, place = group[order], n[order], at[order]
+    starts = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (size[1:] != size[:-1])])
+    many = np.diff(np.r_[starts, len(order)])
+    g, size, first = g[starts], size[starts], place[starts]
+    second = place[np.minimum(starts + 1, len(order) - 1)]
+    overlap = lambda x, y: -(-similarity.percent * (x + y) // (100 + similarity.percent))
+    own = size - overlap(size, size)
+    last = np.where((many > 1) & (second <= own), own, -1)
+    left = np.arange(len(starts))
+    for step in range(1, len(starts)):
+        left = left[left + step < len(starts)]
+        right = left + step
+        near = (g[left] == g[right]) & (size[left] * 100 >= size[right] * similarity.percent)
+        left, right = left[near], right[near]
+        if not len(left):
+            break
+        shared = overlap(size[left], size[right])
+        fits = size[right] - first[right] >= shared
+        last[left[fits]] = np.maximum(last[left[fits]], (size[left] - shared)[fits])
+        fits = size[left] - first[left] >= shared
+        last[right[fits]] = np.maximum(last[right[fits]], (size[right] - shared)[fits])
+    found = np.empty(len(order), dtype=np.int64)
+    found[order] = np.repeat(last, many)
+    return found
+
+
 def _shared(rows: pd.DataFrame, similarity: Similarity) -> Iterator[pd.DataFrame]:
     rows = rows.drop_duplicates(["shingle", "number"], ignore_index=True)
-    shingle, part = rows["shingle"].to_numpy(), rows["part"].to_numpy()
-    starts = np.flatnonzero(np.r_[True, (shingle[1:] != shingle[:-1]) | (part[1:] != part[:-1])])
-    sizes = np.diff(np.r_[starts, len(rows)])
+
+    def groups(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        shingle, part = rows["shingle"].to_numpy(), rows["part"].to_numpy()
+        starts = np.flatnonzero(np.r_[True, (shingle[1:] != shingle[:-1]) | (part[1:] != part[:-1])])
+        return starts, np.diff(np.r_[starts, len(rows)])
+
+    starts, sizes = groups(rows)
+    last = _last_places(similarity, np.repeat(np.arange(len(starts)), sizes), rows["n"].to_numpy(), rows["at"].to_numpy())
+    # partners of a shingle dealt over several parts may be in others
+    rows = rows[(rows["at"].to_numpy() <= last) | (rows["part"].to_numpy() > 0)]
+    yield rows[["shingle", "number", "n", "at"]].assign(a=None, b=None, size_a=None, size_b=None)
+    if not len(rows):
+        return
+    starts, sizes = groups(rows)
     number, n, at = rows["number"].to_numpy(), rows["n"].to_numpy(), rows["at"].to_numpy()
     pairs = []
-    for k in range(LEADS):
-        # another lead for each shingle, so that a node meets many others in the end
-        pick = (shingle[starts].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * k) >> np.uint64(33)).astype(np.int64)
-        lead = np.repeat(starts + pick % sizes, sizes)
+    # the least and the greatest number lead, so that nodes that share many shingles have the same leads in each
+    for lead in (np.repeat(starts, sizes), np.repeat(starts + sizes - 1, sizes)):
         m = n[lead]
         good = np.minimum(n, m) * 100 >= np.maximum(n, m) * similarity.percent
         good &= _reach(similarity, n, at, m, at[lead])
         own = np.flatnonzero(good & (lead != np.arange(len(rows))))
         x, y = np.minimum(own, lead[own]), np.maximum(own, lead[own])  # sorted by number within a shingle
         pairs.append(pd.DataFrame({"a": number[x], "b": number[y], "size_a": n[x], "size_b": n[y]}))
-    # rows without another of a size near enough in their shingle can be in no pair; nearest in size is next in order
-    group = np.repeat(np.arange(len(starts)), sizes)
-    order = np.lexsort((n, group))
-    x, y = order[:-1], order[1:]
-    near = (group[x] == group[y]) & (n[x] * 100 >= n[y] * similarity.percent)
-    # where there are just two, the place of the shingle tells as well
-    near &= (sizes[group[x]] > 2) | _reach(similarity, n[x], at[x], n[y], at[y])
-    wanted = part > 0
-    wanted[x[near]] = wanted[y[near]] = True
-    kept = pd.DataFrame({"shingle": shingle[wanted], "number": number[wanted], "n": n[wanted], "at": at[wanted]})
-    yield kept.assign(a=None, b=None, size_a=None, size_b=None)
     yield pd.concat(pairs, ignore_index=True).drop_duplicates(["a", "b"]).assign(shingle=None, number=None, n=None, at=None)
 
 
@@ -415,10 +447,22 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: Similarity) -> Dat
     )
 
 
-def _mixed(left: DataFrame, joined: DataFrame) -> tuple[DataFrame, int, int]:
-    """The rows with their new components, of shingles whose nodes are not all in one.
+def _classes(labelled: DataFrame, similarity: Similarity) -> DataFrame:
+    """Rows (shingle, n, m): nodes of size n outside the shingle's largest component may be linked with others of size m."""
+    sizes = written(
+        labelled.groupBy("shingle", "n").agg(F.min(F.when(F.col("minor"), F.col("at"))).alias("minor_at"), F.min("at").alias("at"), F.count("*").alias("c")), "sizes"
+    )
+    x = sizes.filter("minor_at IS NOT NULL").select("shingle", "n", "minor_at")
+    y = sizes.select("shingle", F.col("n").alias("m"), F.col("at").alias("at_m"), "c")
+    fits = _can_reach(similarity, F.col("n"), F.col("minor_at"), F.col("m"), F.col("at_m")) & ((F.col("n") != F.col("m")) | (F.col("c") > 1))
+    return x.join(y, "shingle").filter(fits).select("shingle", "n", "m")
+
+
+def _mixed(left: DataFrame, joined: DataFrame, similarity: Similarity) -> tuple[DataFrame, DataFrame, int, int]:
+    """The rows (shingle, node, n, at, component, minor) that may still be in a pair, and the sizes of such pairs (shingle, n, m).
 
-    With their number, and that of the pairs of nodes of different components that share a shingle.
+    With the number of rows, and that of the pairs that their sizes and first places allow. A row is `minor` outside the largest
+    component of its shingle; every pair of different components has one of these.
     """
     labelled = written(
         left.select("shingle", "node", "n", "at")
@@ -426,49 +470,68 @@ def _mixed(left: DataFrame, joined: DataFrame) -> tuple[DataFrame, int, int]:
         .withColumn("component", F.coalesce("component", "node")),
         "labelled",
     )
-    same = labelled.groupBy("shingle", "component").agg(F.count("*").cast("double").alias("c"))
-    groups = same.groupBy("shingle").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("inside"))
-    mixed = written(groups.filter(F.col("all") * F.col("all") > F.col("inside")), "mixed")
-    row = mixed.agg(F.sum("all").alias("rows"), F.sum((F.col("all") * F.col("all") - F.col("inside")) / 2).alias("pairs")).first()
-    left = written(labelled.join(mixed.select("shingle"), "shingle"), "left")
-    return left, int(row["rows"] or 0), int(row["pairs"] or 0)
+    same = labelled.groupBy("shingle", "component").agg(F.count("*").alias("c"))
+    groups = same.groupBy("shingle").agg(F.max(F.struct("c", "component")).alias("most"), F.count("*").alias("components"))
+    major = groups.filter("components > 1").select("shingle", F.col("most.component").alias("major"))
+    mixed = written(labelled.join(major, "shingle").withColumn("minor", F.col("component") != F.col("major")).drop("major"), "mixed")
+    classes = written(_classes(mixed, similarity), "classes")
+    # the least size that a size can be linked with asks for the least overlap
+    both = classes.union(classes.select("shingle", F.col("m").alias("n"), F.col("n").alias("m"))).groupBy("shingle", "n").agg(F.min("m").alias("m"))
+    kept = mixed.join(both, ["shingle", "n"]).filter(F.col("n") - F.col("at") >= similarity.overlap(F.col("n"), F.col("m"))).drop("m")
+    left = written(kept.select("shingle", "node", "n", "at", "component", "minor"), "left")
+    counts = left.groupBy("shingle", "n").agg(F.count(F.when(F.col("minor"), 1)).cast("double").alias("minor"), F.count("*").cast("double").alias("all"))
+    pairs = (
+        classes.join(counts.select("shingle", "n", "minor"), ["shingle", "n"])
+        .join(counts.select("shingle", F.col("n").alias("m"), "all"), ["shingle", "m"])
+        .agg(F.sum(F.col("minor") * F.col("all")).alias("pairs"))
+        .first()["pairs"]
+    )
+    dropped(labelled, mixed)
+    return left, classes, left.count(), int(pairs or 0)
+
+
+def _in_order(x: str, y: str, n: str, m: str) -> list[Column]:
+    """Columns a, b, n, m of a pair, the smaller node first."""
+    first = F.col(x) < F.col(y)
+    return [
+        F.when(first, F.col(x)).otherwise(F.col(y)).alias("a"),
+        F.when(first, F.col(y)).otherwise(F.col(x)).alias("b"),
+        F.when(first, F.col(n)).otherwise(F.col(m)).alias("n"),
+        F.when(first, F.col(m)).otherwise(F.col(n)).alias("m"),
+    ]
 
 
 def _pairs_with_leads(left: DataFrame, similarity: Similarity, step: int) -> DataFrame:
-    """Every node with LEADS nodes of each of its shingles, chosen anew for each shingle and step."""
+    """Nodes outside the largest component of a shingle with LEADS of its nodes, others in each step; half of these are in that component."""
     lead = F.struct("node", "n", "at", "component")
-    draw = lambda k: F.xxhash64("node", "shingle", F.lit(step * LEADS + k))
+    # drawn by the node alone, so that nodes that share many shingles have the same leads in each
+    draw = lambda k: F.struct(F.col("minor") == F.lit(k % 2 == 0), F.xxhash64("node", F.lit(step * LEADS + k)))
     leads = left.groupBy("shingle").agg(*[F.min_by(lead, draw(k)).alias(f"lead{k}") for k in range(LEADS)])
     leads = leads.select("shingle", F.array_distinct(F.array(*[f"lead{k}" for k in range(LEADS)])).alias("leads"))
-    x, y = "node", F.col("lead.node")
-    first = F.col(x) < y
     return (
-        left.join(written(leads, "leads"), "shingle")
+        left.filter("minor").join(written(leads, "leads"), "shingle")
         .withColumn("lead", F.explode("leads"))
         .filter((F.col("component") != F.col("lead.component")))
         .filter(_can_reach(similarity, F.col("n"), F.col("at"), F.col("lead.n"), F.col("lead.at")))
-        .select(
-            F.when(first, F.col(x)).otherwise(y).alias("a"),
-            F.when(first, y).otherwise(F.col(x)).alias("b"),
-            F.when(first, F.col("n")).otherwise(F.col("lead.n")).alias("n"),
-            F.when(first, F.col("lead.n")).otherwise(F.col("n")).alias("m"),
-        )
+        .select(*_in_order("node", "lead.node", "n", "lead.n"))
         .distinct()
     )
 
 
-def _every_pair(left: DataFrame, similarity: Similarity) -> DataFrame:
-    """All pairs of nodes of different components that share a shingle."""
-    x, y = left.alias("x"), left.alias("y")
+def _every_pair(left: DataFrame, classes: DataFrame, similarity: Similarity) -> DataFrame:
+    """All pairs of nodes of different components that share a shingle and pass the length and positional filters there."""
+    x = left.filter("minor").join(classes, ["shingle", "n"])
+    x = x.filter(F.col("n") - F.col("at") >= similarity.overlap(F.col("n"), F.col("m")))
+    x, y = x.alias("x"), left.alias("y")
     return (
         x.join(
             y,
             (F.col("x.shingle") == F.col("y.shingle"))
-            & (F.col("x.node") < F.col("y.node"))
+            & (F.col("x.m") == F.col("y.n"))
             & (F.col("x.component") != F.col("y.component"))
             & _can_reach(similarity, F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at")),
         )
-        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m"))
+        .select(*_in_order("x.node", "y.node", "x.n", "y.n"))
         .distinct()
     )
 
@@ -498,28 +561,38 @@ def _linked(docs: DataFrame, similarity: Similarity) -> tuple[DataFrame, DataFra
     pairs = met.filter("a IS NOT NULL").select("a", "b", F.col("size_a").alias("n"), F.col("size_b").alias("m")).distinct()
     for side in ("a", "b"):
         pairs = pairs.withColumnRenamed(side, "number").join(named, "number").withColumnRenamed("node", side).drop("number")
+    pairs = pairs.select(*_in_order("a", "b", "n", "m"))
     meeting = left.select("node").distinct().join(nodes, "node")
     texts = written(_texts(docs, meeting.select(F.col("first_id").alias("doc_id")), similarity.words), "texts", small_batches=True)
 
-    rows_left, pairs_left = left.count(), None
-    links = None
+    links, looked, pairs_left = None, None, None
     for step in itertools.count(1):
-        pairs = written(pairs, "pairs")
-        share = pairs.count() / max(1, LEADS * rows_left)  # of the pairs looked at, what the filters let pass
-        found = written(_verified(pairs, texts, similarity), "links", small_batches=True)
-        links = found if links is None else links.union(found)
+        links, looked = _looked_at(pairs, texts, similarity, links, looked)
         joined = written(components(links), "components")
-        before = pairs_left
-        left, rows_left, pairs_left = _mixed(left, joined)
-        if share * pairs_left <= FEW * rows_left or before is not None and pairs_left > 0.98 * before:
+        before, spent = pairs_left, left
+        left, classes, rows_left, pairs_left = _mixed(spent, joined, similarity)
+        dropped(met, spent)
+        if pairs_left <= FEW * rows_left or before is not None and pairs_left > 0.98 * before:
             break
         pairs = _pairs_with_leads(left, similarity, step)
-    found = written(_verified(written(_every_pair(left, similarity), "pairs"), texts, similarity), "links", small_batches=True)
-    if not found.isEmpty():
-        joined = written(components(links.union(found)), "components")
+    if pairs_left:
+        links, _ = _looked_at(_every_pair(left, classes, similarity), texts, similarity, links, looked)
+        joined = written(components(links), "components")
+    dropped(left, texts)
     return rows, nodes, joined
 
 
+def _looked_at(
+    pairs: DataFrame, texts: DataFrame, similarity: Similarity, links: DataFrame | None, looked: DataFrame | None
+) -> tuple[DataFrame, DataFrame]:
+    """The links found so far and the pairs compared so far, with those of `pairs` that were not compared before."""
+    fresh = pairs if looked is None else pairs.join(looked, ["a", "b"], "left_anti")
+    fresh = written(fresh, "pairs")
+    found = written(_verified(fresh, texts, similarity), "links", small_batches=True)
+    own = fresh.select("a", "b")
+    return (found, own) if links is None else (links.union(found), looked.union(own))
+
+
 def linked_documents(docs: DataFrame, similarity: Similarity = Similarity()) -> DataFrame:
     """Columns doc_id, n_shingles, component_id (the smallest doc_id reachable) and node (of its words), a row per document."""
     rows, nodes, joined = _linked(docs, similarity)

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 from types import SimpleNamespace
 
+import numpy as np
 import pytest
 from messy_tables import documents, make_texts, messy  # noqa: F401
 from pyspark.sql import functions as F
@@ -354,6 +355,52 @@ def test_common_shingles_dealt_over_tasks(documents, monkeypatch):
     assert Counter(map(tuple, found.collect())) == groups_of(rows, 4, 85)
 
 
+def compared(monkeypatch):
+    """Counts the pairs that are compared, and how often each is."""
+    seen, verified = Counter(), jaccard._verified
+
+    def counting(pairs, texts, similarity):
+        seen.update(frozenset((bytes(r["a"]), bytes(r["b"]))) for r in pairs.select("a", "b").collect())
+        return verified(pairs, texts, similarity)
+
+    monkeypatch.setattr(jaccard, "_verified", counting)
+    return seen
+
+
+def test_a_large_group_that_shares_shingles_too_late_to_link_forms_no_pairs(documents, monkeypatch):
+    seen = compared(monkeypatch)
+    # one own word amid forty common ones: 31 of 41 shingles are shared, and the common ones come last in the prefixes
+    rows = [(i, " ".join([*(f"c{k}" for k in range(20)), f"own{i}", *(f"c{k}" for k in range(20, 39))])) for i in range(3000)]
+    rows += [(9000, rows[0][1] + " more"), (9001, rows[7][1].upper())]
+    found = {r["doc_id"]: r["component_id"] for r in jaccard.linked_documents(documents(rows)).collect()}
+    assert found == {i: i for i in range(3000)} | {9000: 0, 9001: 7}
+    assert len(seen) < 100
+
+
+def test_near_copies_of_a_large_group_meet_few_of_each_other_and_each_pair_once(documents, monkeypatch):
+    seen = compared(monkeypatch)
+    rows = [(i, " ".join([*(f"c{k}" for k in range(120)), f"own{i}"])) for i in range(1500)]
+    rows += [(5000 + i, " ".join([*(f"c{k}" for k in range(90)), *(f"own{i}-{k}" for k in range(20))])) for i in range(20)]
+    found = jaccard.linked_documents(documents(rows)).collect()
+    assert {r["component_id"] for r in found if r["doc_id"] < 5000} == {0}
+    assert set(seen.values()) == {1} and len(seen) < 8 * len(rows)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_last_places(seed):
+    draw = np.random.default_rng(seed)
+    group, n, at = draw.integers(0, 12, 120), draw.integers(8, 30, 120), draw.integers(0, 9, 120)
+    similarity = jaccard.Similarity(5, 80)
+    last = jaccard._last_places(similarity, group, n, at)
+    for i in range(120):
+        fits = [
+            group[j] == group[i] and 100 * min(n[i], n[j]) >= 80 * max(n[i], n[j])
+            and min(n[i] - at[i], n[j] - at[j]) >= -(-80 * (n[i] + n[j]) // 180)
+            for j in range(120) if j != i
+        ]
+        assert (at[i] <= last[i]) == any(fits)
+
+
 def test_one_of_each_group(documents, messy):
     docs = documents([r for r in messy if r[0] is not None])
     out = jaccard.one_of_each_group(docs)
