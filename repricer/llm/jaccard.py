@@ -53,6 +53,8 @@ HOT = 20_000
 LEADS = 8
 #: Pairs for each row that the sizes and places still allow when all pairs that are left are compared at once.
 FEW = 3
+#: The same where the last round left more than half of them: another round costs more than so many.
+SLOW = 64
 #: Shingles of texts that a task keeps while it compares pairs.
 KNOWN_SHINGLES = 50_000
 #: Bits of the map of candidates, at most.
@@ -572,7 +574,9 @@ def _linked(docs: DataFrame, similarity: Similarity) -> tuple[DataFrame, DataFra
         before, spent = pairs_left, left
         left, classes, rows_left, pairs_left = _mixed(spent, joined, similarity)
         dropped(met, spent)
-        if pairs_left <= FEW * rows_left or before is not None and pairs_left > 0.98 * before:
+        if pairs_left <= FEW * rows_left:
+            break
+        if before is not None and pairs_left > (0.5 if pairs_left <= SLOW * rows_left else 0.98) * before:
             break
         pairs = _pairs_with_leads(left, similarity, step)
     if pairs_left:
