@@ -520,22 +520,31 @@ def _pairs_with_leads(left: DataFrame, similarity: Similarity, step: int) -> Dat
     )
 
 
+def _meetings(left: DataFrame, classes: DataFrame, similarity: Similarity) -> DataFrame:
+    """Pairs of nodes of different components at the first shingle of `left` that both have, if they pass the length and positional filters there.
+
+    Places follow one global order, so a shingle that both have before this one is before it in each; the first shared shingle of
+    linked sets is kept in `left` for both and passes the filters, so no link is lost, and near copies meet once, not at every shingle.
+    """
+    own = left.groupBy("node").agg(F.collect_list(F.struct("at", "shingle")).alias("own"))
+    earlier = F.transform(F.filter("own", lambda s: s["at"] < F.col("at")), lambda s: s["shingle"])
+    placed = left.join(own, "node").withColumn("earlier", earlier).drop("own")
+    x = placed.filter("minor").join(classes, ["shingle", "n"])
+    x = x.filter(F.col("n") - F.col("at") >= similarity.overlap(F.col("n"), F.col("m")))
+    x, y = x.alias("x"), placed.alias("y")
+    return x.join(
+        y,
+        (F.col("x.shingle") == F.col("y.shingle"))
+        & (F.col("x.m") == F.col("y.n"))
+        & (F.col("x.component") != F.col("y.component"))
+        & _can_reach(similarity, F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at"))
+        & ~F.arrays_overlap(F.col("x.earlier"), F.col("y.earlier")),
+    ).select(*_in_order("x.node", "y.node", "x.n", "y.n"))
+
+
 def _every_pair(left: DataFrame, classes: DataFrame, similarity: Similarity) -> DataFrame:
     """All pairs of nodes of different components that share a shingle and pass the length and positional filters there."""
-    x = left.filter("minor").join(classes, ["shingle", "n"])
-    x = x.filter(F.col("n") - F.col("at") >= similarity.overlap(F.col("n"), F.col("m")))
-    x, y = x.alias("x"), left.alias("y")
-    return (
-        x.join(
-            y,
-            (F.col("x.shingle") == F.col("y.shingle"))
-            & (F.col("x.m") == F.col("y.n"))
-            & (F.col("x.component") != F.col("y.component"))
-            & _can_reach(similarity, F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at")),
-        )
-        .select(*_in_order("x.node", "y.node", "x.n", "y.n"))
-        .distinct()
-    )
+    return _meetings(left, classes, similarity).distinct()
 
 
 def _linked(docs: DataFrame, similarity: Similarity) -> tuple[DataFrame, DataFrame, DataFrame]:

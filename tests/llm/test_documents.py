@@ -386,6 +386,20 @@ def test_near_copies_of_a_large_group_meet_few_of_each_other_and_each_pair_once(
     assert set(seen.values()) == {1} and len(seen) < 8 * len(rows)
 
 
+def test_every_pair_meets_a_pair_once_at_its_first_shared_shingle(documents):
+    spark = documents([]).sparkSession
+    similarity = jaccard.Similarity(4, 85)
+    # two nodes of 40 shingles share the first ten of their prefixes; the positional filter lets the first four through
+    left = spark.createDataFrame(
+        [(s, node, 40, s, node, node == b"y") for s in range(10) for node in (b"x", b"y")],
+        "shingle long, node binary, n long, at long, component binary, minor boolean",
+    )
+    classes = spark.createDataFrame([(s, 40, 40) for s in range(10)], "shingle long, n long, m long")
+    met = jaccard._meetings(left, classes, similarity).collect()
+    assert [(bytes(r["a"]), bytes(r["b"])) for r in met] == [(b"x", b"y")]
+    assert jaccard._every_pair(left, classes, similarity).count() == 1
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_last_places(seed):
     draw = np.random.default_rng(seed)
